@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,15 @@ SENTENCE_END = r"([.!?])[ \t\n\r\f]+"
 SENTENCE_MARK = "\u0001"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over ``value``, computed once.
+
+    A column expression used inside a lambda is evaluated again for every element, and Catalyst may
+    inline a column that was selected before; a lambda variable is neither.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def two_units(token: Column) -> Column:
     """UTF-16 length above one: two characters, or one character outside the basic plane."""
     return (F.length(token) > 1) | (F.octet_length(token) > 3)
@@ -67,9 +78,13 @@ def words_before_repeat(words: Column) -> Column:
     array_distinct keeps first occurrences in order, so both arrays agree exactly until the first
     repeat; this is linear in the number of words.
     """
-    agrees = F.zip_with(words, F.array_distinct(words), lambda a, b: a.eqNullSafe(b))
-    first_repeat = F.array_position(agrees, False).cast("int")
-    return F.when(first_repeat > 0, F.slice(words, 1, first_repeat - 1)).otherwise(words)
+
+    def cut(all_words: Column) -> Column:
+        agrees = F.zip_with(all_words, F.array_distinct(all_words), lambda a, b: a.eqNullSafe(b))
+        first_repeat = F.array_position(agrees, False).cast("int")
+        return F.when(first_repeat > 0, F.slice(all_words, 1, first_repeat - 1)).otherwise(all_words)
+
+    return let(words, cut)
 
 
 def _edge_run(token: Column, word: Column) -> Column:
@@ -81,22 +96,30 @@ def _edge_run(token: Column, word: Column) -> Column:
     return behind | before
 
 
-def strip_runs(text: Column, known: Column | None) -> Column:
-    """Tokens with one punctuation run stripped where the bare word is in ``known``.
+def strip_runs(text: Column, full_map: bool = False) -> Column:
+    """Tokens with one punctuation run stripped where the bare word is a mapped one.
 
-    Removing punctuation never moves a space, so pieces and bare words line up by position.
-    ``known`` None stands for all words of the text.
+    Mapped are the words before the first repeated word, or all words with ``full_map``. Removing
+    punctuation never moves a space, so pieces and bare words line up by position.
     """
     pieces = F.split(text, " ")
     bare = F.split(F.translate(text, SINGLE_MARKS, ""), " ")
 
-    def settle(token: Column, word: Column) -> Column:
-        stripped = (token != word) & two_units(word) & _edge_run(token, word)
-        if known is not None:
-            stripped = stripped & F.array_contains(known, word)
-        return F.when(stripped, word).when(two_units(token), token)
+    def settle(known: Column | None) -> Callable[[Column, Column], Column]:
+        def one(token: Column, word: Column) -> Column:
+            stripped = (token != word) & two_units(word) & _edge_run(token, word)
+            if known is not None:
+                stripped = stripped & F.array_contains(known, word)
+            return F.when(stripped, word).when(two_units(token), token)
+
+        return one
 
-    return F.filter(F.zip_with(pieces, bare, settle), lambda t: t.isNotNull())
+    if full_map:
+        settled = F.zip_with(pieces, bare, settle(None))
+    else:
+        known = words_before_repeat(F.filter(bare, two_units))
+        settled = let(known, lambda k: F.zip_with(pieces, bare, settle(k)))
+    return F.filter(settled, lambda t: t.isNotNull())
 
 
 def is_upper(token: Column) -> Column:
@@ -116,7 +139,7 @@ def is_stop(token: Column, following: Column) -> Column:
 
 def first_stop(tokens: Column) -> Column:
     """1-based position of the first stop token, 0 when there is none."""
-    flags = F.transform(tokens, lambda t, i: is_stop(t, F.get(tokens, i + 1)))
+    flags = F.zip_with(tokens, F.slice(tokens, 2, F.greatest(F.size(tokens), F.lit(0))), is_stop)
     return F.array_position(flags, True).cast("int")
 
 

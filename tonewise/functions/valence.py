@@ -11,7 +11,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tonewise.functions import fixed_values as fixed
-from tonewise.functions.text import is_upper
 
 _EMPHATIC = ["so", "this"]
 
@@ -27,23 +26,21 @@ def negates(token: Column) -> Column:
     return token.isin(fixed.NEGATIONS) | token.contains("n't")
 
 
-def caps_boost(v: Column, token: Column, caps: Column) -> Column:
+def caps_boost(v: Column, shouted: Column) -> Column:
     """An upper-case token in a text of mixed case moves away from zero."""
     away = F.when(v > 0, v + fixed.CAPS_BOOST).otherwise(v - fixed.CAPS_BOOST)
-    return F.when(caps & is_upper(token), away).otherwise(v)
+    return F.when(shouted, away).otherwise(v)
 
 
-def degree_shift(v: Column, before: Column, caps: Column, distance: int) -> Column:
-    """A degree word raises or lowers the valence, less so from further away."""
-    low = F.lower(before)
+def degree_shift(v: Column, low: Column, shouted: Column, distance: int) -> Column:
+    """A degree word, in lower case, raises or lowers the valence, less so from further away."""
     base = F.when(low.isin(fixed.RAISING), F.lit(fixed.BOOST)).when(
         low.isin(fixed.LOWERING), F.lit(-fixed.BOOST)
     )
     signed = F.when(v < 0, -base).otherwise(base)
-    shouted = F.when(v > 0, signed + fixed.CAPS_BOOST).otherwise(signed - fixed.CAPS_BOOST)
-    shift = F.when(caps & is_upper(before), shouted).otherwise(signed)
+    louder = F.when(v > 0, signed + fixed.CAPS_BOOST).otherwise(signed - fixed.CAPS_BOOST)
     fade = {1: 1.0, 2: 0.95, 3: 0.9}[distance]
-    return v + F.coalesce(shift * F.lit(fade), F.lit(0.0))
+    return v + F.coalesce(F.when(shouted, louder).otherwise(signed) * F.lit(fade), F.lit(0.0))
 
 
 def negation(v: Column, prev: list[Column], distance: int) -> Column:
@@ -64,16 +61,23 @@ def idioms(v: Column, token: Column, prev: list[Column], following: list[Column]
     Only reached where three tokens come before.
     """
     one, two, three = prev
-    ending = F.coalesce(
-        _idiom(F.concat_ws(" ", one, token)),
-        _idiom(F.concat_ws(" ", two, one, token)),
-        _idiom(F.concat_ws(" ", two, one)),
-        _idiom(F.concat_ws(" ", three, two, one)),
-        _idiom(F.concat_ws(" ", three, two)),
+
+    def first_of(*phrases: Column) -> Column:
+        values = F.transform(F.array(*phrases), _idiom)
+        return F.get(F.filter(values, lambda value: value.isNotNull()), F.lit(0))
+
+    ending = first_of(
+        F.concat_ws(" ", one, token),
+        F.concat_ws(" ", two, one, token),
+        F.concat_ws(" ", two, one),
+        F.concat_ws(" ", three, two, one),
+        F.concat_ws(" ", three, two),
     )
-    starting = F.coalesce(
-        F.when(following[1].isNotNull(), _idiom(F.concat_ws(" ", token, *following))),
-        F.when(following[0].isNotNull(), _idiom(F.concat_ws(" ", token, following[0]))),
+    # concat gives null where a following token is missing.
+    space = F.lit(" ")
+    starting = first_of(
+        F.concat(token, space, following[0], space, following[1]),
+        F.concat(token, space, following[0]),
     )
     pair = [word for word in fixed.LOWERING + fixed.RAISING if " " in word]
     lowered = F.concat_ws(" ", three, two).isin(pair) | F.concat_ws(" ", two, one).isin(pair)
@@ -81,10 +85,10 @@ def idioms(v: Column, token: Column, prev: list[Column], following: list[Column]
     return settled - F.when(lowered, F.lit(fixed.BOOST)).otherwise(F.lit(0.0))
 
 
-def least(v: Column, prev: list[Column], known: Column) -> Column:
+def least(v: Column, low: list[Column], known: Column) -> Column:
     """"least" right before flips, unless it is "at least" or "very least"."""
-    exempt = F.coalesce(F.lower(prev[1]).isin(["at", "very"]), F.lit(False))
-    return F.when(~known & (F.lower(prev[0]) == "least") & ~exempt, v * fixed.NEGATION_FACTOR).otherwise(v)
+    exempt = F.coalesce(low[1].isin(["at", "very"]), F.lit(False))
+    return F.when(~known & (low[0] == "least") & ~exempt, v * fixed.NEGATION_FACTOR).otherwise(v)
 
 
 def contrast(v: Column, position: Column, but: Column) -> Column:

@@ -13,7 +13,7 @@ SALTS = 16
 
 @dataclass(frozen=True)
 class Lookup:
-    """A side table with unique ``key`` values and whether it was measured to fit a broadcast."""
+    """A side table, its join key, and whether it was measured to fit a broadcast."""
 
     table: DataFrame
     key: str

@@ -52,10 +52,9 @@ def token_rows(
 ) -> DataFrame:
     """One row per scanned token with its neighbours, and one marker row (position -1) per text."""
     body = F.coalesce(F.col(text), F.lit(""))
-    known = None if full_punct_map else tx.words_before_repeat(tx.bare_words(body))
     tokens = F.col("tokens")
     rows = df.select(
-        *key, tx.strip_runs(body, known).alias("tokens"), tx.punctuation_emphasis(body).alias("emphasis")
+        *key, tx.strip_runs(body, full_punct_map).alias("tokens"), tx.punctuation_emphasis(body).alias("emphasis")
     )
     rows = rows.select(
         *key,
@@ -70,16 +69,14 @@ def token_rows(
     )
     marked = F.concat(F.array(F.lit(None).cast("string")), F.slice(tokens, 1, F.col("scanned")))
     rows = rows.select("*", F.posexplode(marked).alias("place", "token"))
-    place = F.col("place")
-    near = {f"prev{d}": F.get(tokens, place - 1 - d) for d in (1, 2, 3)}
-    near |= {f"next{d}": F.get(tokens, place - 1 + d) for d in (1, 2)}
-    is_marker = place == 0
+    is_marker = F.col("place") == 0
     return rows.select(
         *key,
-        (place - 1).alias("position"),
+        (F.col("place") - 1).alias("position"),
         "token",
         F.lower("token").alias("entry_key"),
-        *[F.when(~is_marker, col).alias(name) for name, col in near.items()],
+        # The three tokens before, the token, and the two behind it; null beyond the ends.
+        F.array(*[F.get(tokens, F.col("place") - 1 + d) for d in range(-3, 3)]).alias("around"),
         "caps",
         "but",
         F.when(is_marker, F.col("scanned")).alias("scanned"),
@@ -87,13 +84,29 @@ def token_rows(
     )
 
 
-def lexicon_hits(tokens: DataFrame, side: Lookup, names: Sequence[str], boosters_count: bool) -> DataFrame:
-    """Keep marker rows and tokens in a lexicon; flag which neighbours are in each lexicon."""
+def lexicon_hits(tokens: DataFrame, side: Lookup, names: Sequence[str]) -> DataFrame:
+    """Keep marker rows and tokens in a lexicon; flag which neighbours are in each lexicon.
+
+    Within one generated stage the neighbours are only read for rows that pass the filter. The
+    array function behind it ends that stage, so no generated method outgrows what the JVM compiles.
+    """
     hits = lookup(tokens, "entry_key", side)
     found = F.coalesce(*[F.col(n) for n in names]).isNotNull()
-    if not boosters_count:
-        found = found & ~tx.is_stop(F.col("token"), F.col("next1"))
-    hits = hits.where((F.col("position") < 0) | found)
+    passed = found & ~tx.is_stop(F.col("token"), F.get("around", F.lit(4)))
+    hits = hits.where((F.col("position") < 0) | passed).drop("entry_key")
+    hits = hits.withColumn("near", F.transform("around", F.lower)).withColumn(
+        "shouts", F.transform("around", tx.is_upper)
+    )
+    hits = hits.select(
+        *[c for c in hits.columns if c not in ("around", "near", "shouts", "caps")],
+        *[F.get("around", F.lit(3 - d)).alias(f"prev{d}") for d in (1, 2, 3)],
+        *[F.get("around", F.lit(3 + d)).alias(f"next{d}") for d in (1, 2)],
+        *[F.get("near", F.lit(3 - d)).alias(f"low{d}") for d in (1, 2, 3)],
+        *[
+            (F.col("caps") & F.coalesce(F.get("shouts", F.lit(3 - d)), F.lit(False))).alias(f"shout{d}")
+            for d in (0, 1, 2, 3)
+        ],
+    )
     for d in (1, 2, 3):
         near = Lookup(
             side.table.select(
@@ -102,7 +115,7 @@ def lexicon_hits(tokens: DataFrame, side: Lookup, names: Sequence[str], boosters
             "near_entry",
             side.small,
         )
-        hits = lookup(hits.withColumn("near_key", F.lower(f"prev{d}")), "near_key", near)
+        hits = lookup(hits, f"low{d}", near)
         hits = hits.select(
             *[c for c in hits.columns if not c.startswith("near_")],
             *[F.col(f"near_{n}").isNotNull().alias(f"known{d}_{n}") for n in names],
@@ -120,15 +133,15 @@ def apply_rules(hits: DataFrame, name: str, prefix: str = "") -> DataFrame:
     step = lambda label: f"{prefix}{label}"
     col = lambda label: F.col(step(label))
     prev = [F.col(f"prev{d}") for d in (1, 2, 3)]
+    low = [F.col(f"low{d}") for d in (1, 2, 3)]
     following = [F.col("next1"), F.col("next2")]
-    caps = F.col("caps")
 
     out = hits.withColumn(step("lookup"), F.col(name))
-    out = out.withColumn(step("caps_step"), rules.caps_boost(col("lookup"), F.col("token"), caps))
+    out = out.withColumn(step("caps_step"), rules.caps_boost(col("lookup"), F.col("shout0")))
     last = "caps_step"
     for d in (1, 2, 3):
         applies = (F.col("position") >= d) & ~F.col(f"known{d}_{name}")
-        shifted = rules.degree_shift(col(last), prev[d - 1], caps, d)
+        shifted = rules.degree_shift(col(last), low[d - 1], F.col(f"shout{d}"), d)
         out = out.withColumn(step(f"degree{d}"), F.when(applies, shifted).otherwise(col(last)))
         turned = rules.negation(col(f"degree{d}"), prev, d)
         out = out.withColumn(
@@ -138,7 +151,7 @@ def apply_rules(hits: DataFrame, name: str, prefix: str = "") -> DataFrame:
     applies = (F.col("position") >= 3) & ~F.col(f"known3_{name}")
     phrased = rules.idioms(col(last), F.col("token"), prev, following)
     out = out.withColumn(step("idiom"), F.when(applies, phrased).otherwise(col(last)))
-    out = out.withColumn(step("least"), rules.least(col("idiom"), prev, F.col(f"known1_{name}")))
+    out = out.withColumn(step("least"), rules.least(col("idiom"), low, F.col(f"known1_{name}")))
     return out.withColumn(
         step("but_step"), rules.contrast(col("least"), F.col("position"), F.col("but"))
     )
@@ -156,7 +169,7 @@ def trace(
     side = combine_lexicons(lexicons)
     names = list(lexicons)
     tokens = token_rows(df, key, text, stop_at_booster, full_punct_map)
-    hits = lexicon_hits(tokens, side, names, boosters_count=False)
+    hits = lexicon_hits(tokens, side, names)
     for name in names:
         hits = apply_rules(hits, name, prefix=f"{name}_")
     return hits
