@@ -8,9 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tonewise.functions import fixed_values as fixed
+from tonewise.functions.valence import stops
 
 SINGLE_MARKS = "".join(run for run in fixed.PUNCTUATION_RUNS if len(run) == 1)
-BOOSTER_WORDS = fixed.RAISING + fixed.LOWERING
 # Upper-case letters of the basic plane: a surrogate pair never counts as upper case.
 UPPER_ONLY = r"^[\p{javaUpperCase}&&[\x{0}-\x{FFFF}]]*\z"
 SENTENCE_END = r"([.!?])[ \t\n\r\f]+"
@@ -54,9 +54,9 @@ def join_tokens(tokens: Column) -> Column:
     return F.when(F.size(tokens) == 0, "").otherwise(F.concat(F.lit(" "), F.array_join(tokens, " ")))
 
 
-def drop_stop_words(tokens: Column, words: list[str]) -> Column:
+def drop_stop_words(tokens: Column, stop_words: list[str]) -> Column:
     """Remove stop words in any case, keeping the order and repeats of the rest."""
-    return F.filter(tokens, lambda t: ~F.lower(t).isin(words))
+    return F.filter(tokens, lambda t: ~F.lower(t).isin(stop_words))
 
 
 def hashtags(body: Column) -> Column:
@@ -131,16 +131,10 @@ def caps_differential(tokens: Column) -> Column:
     return F.exists(tokens, is_upper) & F.exists(tokens, lambda t: ~is_upper(t))
 
 
-def is_stop(token: Column, following: Column) -> Column:
-    """A degree word, or "kind" in any case before an exact "of"."""
-    kind_of = (F.lower(token) == "kind") & (F.coalesce(following, F.lit("")) == "of")
-    return F.lower(token).isin(BOOSTER_WORDS) | kind_of
-
-
-def first_stop(tokens: Column) -> Column:
-    """1-based position of the first stop token, 0 when there is none."""
-    flags = F.zip_with(tokens, F.slice(tokens, 2, F.greatest(F.size(tokens), F.lit(0))), is_stop)
-    return F.array_position(flags, True).cast("int")
+def first_stop(tokens: str) -> Column:
+    """1-based position of the first stop token in the named column, 0 when there is none."""
+    flags = f"zip_with({tokens}, slice({tokens}, 2, size({tokens})), (t, f) -> {stops('t', 'f')})"
+    return F.expr(f"CAST(array_position({flags}, true) AS INT)")
 
 
 def first_but(tokens: Column) -> Column:

@@ -1,100 +1,100 @@
-"""Rules that change one token's valence, given its neighbours.
+"""Rules that change one token's valence, as SQL expressions over a hit row.
 
-Each rule is a Column expression over the running valence ``v``. ``prev`` holds the one to three
-tokens before, nearest first; a rule that looks at distance d applies only where that token exists
-and is itself not in the lexicon.
+A hit row has ``token``, ``position``, ``but``, the tokens before (``prev1`` nearest, ``prev2``,
+``prev3``), the same in lower case (``low1``...), the tokens behind (``next1``, ``next2``) and
+``shout0`` to ``shout3``: whether the token, or the one at that distance, is upper case in a text of
+mixed case. ``v`` names the column with the valence so far.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from collections.abc import Iterable
 
 from tonewise.functions import fixed_values as fixed
 
-_EMPHATIC = ["so", "this"]
+EMPHATIC = ("so", "this")
+PAIRS = [word for word in fixed.LOWERING + fixed.RAISING if " " in word]
 
 
-def _idiom(phrase: Column) -> Column:
-    branch = None
-    for words, value in fixed.IDIOMS.items():
-        branch = (F if branch is None else branch).when(phrase == words, F.lit(value))
-    return branch
+def words(items: Iterable[str]) -> str:
+    """A list of string literals."""
+    return ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in items)
 
 
-def negates(token: Column) -> Column:
-    return token.isin(fixed.NEGATIONS) | token.contains("n't")
+def stops(token: str, following: str) -> str:
+    """A degree word, or "kind" in any case before an exact "of"."""
+    return (
+        f"(lower({token}) IN ({words(fixed.RAISING + fixed.LOWERING)}) "
+        f"OR (lower({token}) = 'kind' AND coalesce({following}, '') = 'of'))"
+    )
+
 
+def _away(v: str, amount: str) -> str:
+    return f"CASE WHEN {v} > 0 THEN {amount} + {fixed.CAPS_BOOST}D ELSE {amount} - {fixed.CAPS_BOOST}D END"
 
-def caps_boost(v: Column, shouted: Column) -> Column:
+
+def caps_boost(v: str) -> str:
     """An upper-case token in a text of mixed case moves away from zero."""
-    away = F.when(v > 0, v + fixed.CAPS_BOOST).otherwise(v - fixed.CAPS_BOOST)
-    return F.when(shouted, away).otherwise(v)
+    return f"CASE WHEN shout0 THEN {_away(v, v)} ELSE {v} END"
 
 
-def degree_shift(v: Column, low: Column, shouted: Column, distance: int) -> Column:
-    """A degree word, in lower case, raises or lowers the valence, less so from further away."""
-    base = F.when(low.isin(fixed.RAISING), F.lit(fixed.BOOST)).when(
-        low.isin(fixed.LOWERING), F.lit(-fixed.BOOST)
+def degree_shift(v: str, distance: int) -> str:
+    """A degree word raises or lowers the valence, less so from further away."""
+    base = (
+        f"CASE WHEN low{distance} IN ({words(fixed.RAISING)}) THEN {fixed.BOOST}D "
+        f"WHEN low{distance} IN ({words(fixed.LOWERING)}) THEN -{fixed.BOOST}D END"
     )
-    signed = F.when(v < 0, -base).otherwise(base)
-    louder = F.when(v > 0, signed + fixed.CAPS_BOOST).otherwise(signed - fixed.CAPS_BOOST)
-    fade = {1: 1.0, 2: 0.95, 3: 0.9}[distance]
-    return v + F.coalesce(F.when(shouted, louder).otherwise(signed) * F.lit(fade), F.lit(0.0))
+    signed = f"({base}) * CASE WHEN {v} < 0 THEN -1D ELSE 1D END"
+    fade = {1: "1D", 2: "0.95D", 3: "0.9D"}[distance]
+    louder = f"CASE WHEN {v} > 0 THEN {fixed.CAPS_BOOST}D ELSE -{fixed.CAPS_BOOST}D END"
+    shift = f"({signed} + CASE WHEN shout{distance} THEN {louder} ELSE 0D END) * {fade}"
+    return f"{v} + coalesce({shift}, 0D)"
 
 
-def negation(v: Column, prev: list[Column], distance: int) -> Column:
+def negation(v: str, distance: int) -> str:
     """Negation flips and dampens; "never so" and "never this" strengthen."""
-    flipped = F.when(negates(prev[distance - 1]), v * fixed.NEGATION_FACTOR).otherwise(v)
-    if distance == 1:
-        return flipped
-    if distance == 2:
-        strengthened = (prev[1] == "never") & prev[0].isin(_EMPHATIC)
-        return F.when(strengthened, v * 1.5).otherwise(flipped)
-    strengthened = ((prev[2] == "never") & prev[1].isin(_EMPHATIC)) | prev[0].isin(_EMPHATIC)
-    return F.when(strengthened, v * 1.25).otherwise(flipped)
-
-
-def idioms(v: Column, token: Column, prev: list[Column], following: list[Column]) -> Column:
+    token = f"prev{distance}"
+    negates = f"{token} IN ({words(fixed.NEGATIONS)}) OR contains({token}, 'n\\'t')"
+    emphatic = words(EMPHATIC)
+    strong = {
+        1: "",
+        2: f"WHEN prev2 = 'never' AND prev1 IN ({emphatic}) THEN {v} * 1.5D",
+        3: f"WHEN (prev3 = 'never' AND prev2 IN ({emphatic})) OR prev1 IN ({emphatic}) THEN {v} * 1.25D",
+    }[distance]
+    return f"CASE {strong} WHEN {negates} THEN {v} * ({fixed.NEGATION_FACTOR}D) ELSE {v} END"
+
+
+def idioms(v: str) -> str:
     """An idiom ending here sets the valence; one starting here overrides it; then degree pairs.
 
-    Only reached where three tokens come before.
+    Only reached where three tokens come before. A phrase with a missing token is null and never
+    found; the longer of two phrases starting here wins.
     """
-    one, two, three = prev
-
-    def first_of(*phrases: Column) -> Column:
-        values = F.transform(F.array(*phrases), _idiom)
-        return F.get(F.filter(values, lambda value: value.isNotNull()), F.lit(0))
-
-    ending = first_of(
-        F.concat_ws(" ", one, token),
-        F.concat_ws(" ", two, one, token),
-        F.concat_ws(" ", two, one),
-        F.concat_ws(" ", three, two, one),
-        F.concat_ws(" ", three, two),
-    )
-    # concat gives null where a following token is missing.
-    space = F.lit(" ")
-    starting = first_of(
-        F.concat(token, space, following[0], space, following[1]),
-        F.concat(token, space, following[0]),
-    )
-    pair = [word for word in fixed.LOWERING + fixed.RAISING if " " in word]
-    lowered = F.concat_ws(" ", three, two).isin(pair) | F.concat_ws(" ", two, one).isin(pair)
-    settled = F.coalesce(starting, ending, v)
-    return settled - F.when(lowered, F.lit(fixed.BOOST)).otherwise(F.lit(0.0))
-
-
-def least(v: Column, low: list[Column], known: Column) -> Column:
-    """"least" right before flips, unless it is "at least" or "very least"."""
-    exempt = F.coalesce(low[1].isin(["at", "very"]), F.lit(False))
-    return F.when(~known & (low[0] == "least") & ~exempt, v * fixed.NEGATION_FACTOR).otherwise(v)
-
-
-def contrast(v: Column, position: Column, but: Column) -> Column:
+    table = " ".join(f"WHEN '{phrase}' THEN {value}D" for phrase, value in fixed.IDIOMS.items())
+    phrases = [
+        "token || ' ' || next1 || ' ' || next2",
+        "token || ' ' || next1",
+        "prev1 || ' ' || token",
+        "prev2 || ' ' || prev1 || ' ' || token",
+        "prev2 || ' ' || prev1",
+        "prev3 || ' ' || prev2 || ' ' || prev1",
+        "prev3 || ' ' || prev2",
+    ]
+    values = f"transform(array({', '.join(phrases)}), p -> CASE p {table} END)"
+    settled = f"coalesce(get(filter({values}, value -> value IS NOT NULL), 0), {v})"
+    lowered = f"prev3 || ' ' || prev2 IN ({words(PAIRS)}) OR prev2 || ' ' || prev1 IN ({words(PAIRS)})"
+    return f"{settled} - CASE WHEN {lowered} THEN {fixed.BOOST}D ELSE 0D END"
+
+
+def least(v: str, known: str) -> str:
+    """ "least" right before flips, unless it is "at least" or "very least"."""
+    exempt = "coalesce(low2 IN ('at', 'very'), false)"
+    return f"CASE WHEN low1 = 'least' AND NOT {known} AND NOT {exempt} THEN {v} * ({fixed.NEGATION_FACTOR}D) ELSE {v} END"
+
+
+def contrast(v: str) -> str:
     """Before the "but" half, behind it one and a half."""
     return (
-        F.when((but >= 0) & (position < but), v * 0.5)
-        .when((but >= 0) & (position > but), v * 1.5)
-        .otherwise(v)
+        f"CASE WHEN but >= 0 AND position < but THEN {v} * 0.5D "
+        f"WHEN but >= 0 AND position > but THEN {v} * 1.5D ELSE {v} END"
     )

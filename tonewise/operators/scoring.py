@@ -40,7 +40,8 @@ def combine_lexicons(lexicons: Mapping[str, DataFrame]) -> Lookup:
     merged = stacked.groupBy("entry").agg(
         *[F.max(F.when(F.col("lexicon") == name, F.col("valence"))).alias(name) for name in lexicons]
     )
-    return measure(merged, "entry")
+    # The rows before merging bound those after it, and counting them needs no shuffle.
+    return Lookup(merged, "entry", measure(stacked, "entry").small)
 
 
 def token_rows(
@@ -62,7 +63,7 @@ def token_rows(
         "emphasis",
         tx.caps_differential(tokens).alias("caps"),
         tx.first_but(tokens).alias("but"),
-        (tx.first_stop(tokens) if stop_at_booster else F.lit(0)).alias("stop"),
+        (tx.first_stop("tokens") if stop_at_booster else F.lit(0)).alias("stop"),
     )
     rows = rows.withColumn(
         "scanned", F.when(F.col("stop") > 0, F.col("stop")).otherwise(F.size("tokens"))
@@ -92,7 +93,7 @@ def lexicon_hits(tokens: DataFrame, side: Lookup, names: Sequence[str]) -> DataF
     """
     hits = lookup(tokens, "entry_key", side)
     found = F.coalesce(*[F.col(n) for n in names]).isNotNull()
-    passed = found & ~tx.is_stop(F.col("token"), F.get("around", F.lit(4)))
+    passed = found & ~F.expr(rules.stops("token", "get(around, 4)"))
     hits = hits.where((F.col("position") < 0) | passed).drop("entry_key")
     hits = hits.withColumn("near", F.transform("around", F.lower)).withColumn(
         "shouts", F.transform("around", tx.is_upper)
@@ -123,38 +124,30 @@ def lexicon_hits(tokens: DataFrame, side: Lookup, names: Sequence[str]) -> DataF
     return hits
 
 
-def apply_rules(hits: DataFrame, name: str, prefix: str = "") -> DataFrame:
-    """Run the rules for one lexicon in order; every step stays a named column.
+def apply_rules(hits: DataFrame, name: str) -> DataFrame:
+    """Run the rules for one lexicon in order; every step stays a column ``<name>_<step>``.
 
     Steps: ``lookup``, ``caps``, then per distance ``degree<d>`` and ``negation<d>``, ``idiom``,
     ``least``, ``but``. Catalyst keeps each step a projection of its own because the next step reads
     it more than once, so the expression does not grow with the number of rules.
     """
-    step = lambda label: f"{prefix}{label}"
-    col = lambda label: F.col(step(label))
-    prev = [F.col(f"prev{d}") for d in (1, 2, 3)]
-    low = [F.col(f"low{d}") for d in (1, 2, 3)]
-    following = [F.col("next1"), F.col("next2")]
-
-    out = hits.withColumn(step("lookup"), F.col(name))
-    out = out.withColumn(step("caps_step"), rules.caps_boost(col("lookup"), F.col("shout0")))
-    last = "caps_step"
+    steps = [("lookup", name), ("caps", rules.caps_boost(f"{name}_lookup"))]
+
+    def add(step: str, rule: str, applies: str | None = None) -> None:
+        last = f"{name}_{steps[-1][0]}"
+        steps.append((step, f"CASE WHEN {applies} THEN {rule} ELSE {last} END" if applies else rule))
+
     for d in (1, 2, 3):
-        applies = (F.col("position") >= d) & ~F.col(f"known{d}_{name}")
-        shifted = rules.degree_shift(col(last), low[d - 1], F.col(f"shout{d}"), d)
-        out = out.withColumn(step(f"degree{d}"), F.when(applies, shifted).otherwise(col(last)))
-        turned = rules.negation(col(f"degree{d}"), prev, d)
-        out = out.withColumn(
-            step(f"negation{d}"), F.when(applies, turned).otherwise(col(f"degree{d}"))
-        )
-        last = f"negation{d}"
-    applies = (F.col("position") >= 3) & ~F.col(f"known3_{name}")
-    phrased = rules.idioms(col(last), F.col("token"), prev, following)
-    out = out.withColumn(step("idiom"), F.when(applies, phrased).otherwise(col(last)))
-    out = out.withColumn(step("least"), rules.least(col("idiom"), low, F.col(f"known1_{name}")))
-    return out.withColumn(
-        step("but_step"), rules.contrast(col("least"), F.col("position"), F.col("but"))
-    )
+        reachable = f"position >= {d} AND NOT known{d}_{name}"
+        before = f"{name}_{steps[-1][0]}"
+        add(f"degree{d}", rules.degree_shift(before, d), reachable)
+        add(f"negation{d}", rules.negation(f"{name}_degree{d}", d), reachable)
+    add("idiom", rules.idioms(f"{name}_negation3"), f"position >= 3 AND NOT known3_{name}")
+    add("least", rules.least(f"{name}_idiom", f"known1_{name}"))
+    add("but", rules.contrast(f"{name}_least"))
+    for step, expression in steps:
+        hits = hits.selectExpr("*", f"{expression} AS {name}_{step}")
+    return hits
 
 
 def trace(
@@ -171,7 +164,7 @@ def trace(
     tokens = token_rows(df, key, text, stop_at_booster, full_punct_map)
     hits = lexicon_hits(tokens, side, names)
     for name in names:
-        hits = apply_rules(hits, name, prefix=f"{name}_")
+        hits = apply_rules(hits, name)
     return hits
 
 
@@ -195,7 +188,7 @@ def score_texts(
     hits = trace(df, key, text, lexicons, stop_at_booster, full_punct_map)
     sums = [F.max("scanned").alias("scanned"), F.max("emphasis").alias("emphasis")]
     for name in names:
-        v = F.col(f"{name}_but_step")
+        v = F.col(f"{name}_but")
         nano = _nano(v)
         unit = F.lit(int(NANO))
         sums += [

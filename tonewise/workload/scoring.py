@@ -59,7 +59,7 @@ def stop_rule(spark: SparkSession, sf: str) -> DataFrame:
     rows = fx.tweets(spark, sf, wide=True).select(
         "tweet_id", tx.strip_runs(body).alias("tokens")
     )
-    rows = rows.select("tweet_id", "tokens", tx.first_stop(F.col("tokens")).alias("stop"))
+    rows = rows.select("tweet_id", "tokens", tx.first_stop("tokens").alias("stop"))
     return rows.where(F.size("tokens") > 0).select(
         "tweet_id",
         (F.col("stop") - 1).alias("stop_position"),
@@ -74,14 +74,14 @@ def lexicon_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("vader_v6", _sql(TWIN, "v5 AS valence", "v6_v AS boosted"))
 def caps_rule(spark: SparkSession, sf: str) -> DataFrame:
-    return _step(spark, sf, ("lookup", "valence"), ("caps_step", "boosted"))
+    return _step(spark, sf, ("lookup", "valence"), ("caps", "boosted"))
 
 
 @query("vader_v7", _sql(PUBLISHED, "v6_v AS valence", "g1 AS near", "g2 AS middle", "g3 AS far"))
 def degree_rule(spark: SparkSession, sf: str) -> DataFrame:
     """Degree words only act when the scan goes on behind them."""
     return _step(
-        spark, sf, ("caps_step", "valence"), ("degree1", "near"), ("degree2", "middle"), ("degree3", "far"),
+        spark, sf, ("caps", "valence"), ("degree1", "near"), ("degree2", "middle"), ("degree3", "far"),
         stop_at_booster=False, full_punct_map=True,
     )
 
@@ -103,7 +103,7 @@ def least_rule(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("vader_v11", _sql(TWIN, "v10 AS valence", "v11 AS weighed"))
 def contrast_rule(spark: SparkSession, sf: str) -> DataFrame:
-    return _step(spark, sf, ("least", "valence"), ("but_step", "weighed"))
+    return _step(spark, sf, ("least", "valence"), ("but", "weighed"))
 
 
 @query("vader_v12", TWIN + "SELECT id AS tweet_id, emphasis FROM emph")
