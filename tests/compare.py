@@ -71,7 +71,7 @@ def main() -> None:
         try:
             status, n, spent, twin = compare(spark, con, name, sf)
         except Exception as error:  # noqa: BLE001
-            status, n, spent, twin = f"ERROR {str(error)[:1500]}", -1, 0.0, 0.0
+            status, n, spent, twin = f"ERROR {str(error)[:700]}", -1, 0.0, 0.0
         bad += not status.startswith(("ok", "rows-only"))
         if not status.startswith(("ok", "rows-only")):
             spark.catalog.clearCache()

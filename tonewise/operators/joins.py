@@ -20,8 +20,9 @@ class Lookup:
     small: bool
 
 
-def measure(table: DataFrame, key: str, limit: int = BROADCAST_ROWS) -> Lookup:
+def measure(table: DataFrame, key: str, limit: int | None = None) -> Lookup:
     """Count the side table, but never further than the limit."""
+    limit = BROADCAST_ROWS if limit is None else limit
     small = table.select(key).limit(limit + 1).count() <= limit
     return Lookup(table, key, small)
 

@@ -89,23 +89,23 @@ def mark_trained(executions: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def judge_actions(actions: DataFrame) -> DataFrame:
-    """Accept or refuse each requested action (run, action, at, seq).
+    """Accept or refuse each requested action (run, action, asked_at, seq).
 
-    Evaluating needs a training of the same run at an earlier (at, seq). The first training per run
+    Evaluating needs a training of the same run at an earlier (asked_at, seq). The first training per run
     is one map-side-combined aggregate, looked up by run, so a run with very many actions is neither
     sorted nor gathered in one task.
     """
     first = (
         actions.where(F.col("action") == "train")
         .groupBy("run")
-        .agg(F.min(F.struct("at", "seq")).alias("first_train"))
+        .agg(F.min(F.struct("asked_at", "seq")).alias("first_train"))
         .withColumnRenamed("run", "trained_run")
     )
     # One row per run: it grows with the data, so it always takes the salted way.
     judged = lookup(actions, "run", Lookup(first, "trained_run", small=False))
-    ready = F.coalesce(F.col("first_train") < F.struct("at", "seq"), F.lit(False))
+    ready = F.coalesce(F.col("first_train") < F.struct("asked_at", "seq"), F.lit(False))
     return judged.select(
-        "run", "action", "at", "seq", ((F.col("action") != "evaluate") | ready).alias("accepted")
+        "run", "action", "asked_at", "seq", ((F.col("action") != "evaluate") | ready).alias("accepted")
     )
 
 
@@ -117,7 +117,7 @@ def run_states(actions: DataFrame) -> DataFrame:
         .when(F.col("action") == "create", "created")
     )
     judged = judge_actions(actions).withColumn("state", state)
-    moment = F.struct("at", "seq")
+    moment = F.struct("asked_at", "seq")
     return judged.groupBy("run").agg(
         F.coalesce(
             F.max_by("state", F.when(F.col("state").isNotNull(), moment)), F.lit("created")

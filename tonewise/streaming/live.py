@@ -95,8 +95,7 @@ def stream_ingest(
         batch.persist()
         try:
             _replace_batch(batch.drop("ts"), tweets_path, batch_id)
-            out = messages(batch).withColumn("timestamp", F.timestamp_millis(batch["createdAt"]))
-            _replace_batch(out, messages_path, batch_id)
+            _replace_batch(messages(batch, stamped=True), messages_path, batch_id)
         finally:
             batch.unpersist()
 

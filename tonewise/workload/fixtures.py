@@ -61,7 +61,7 @@ EXECUTIONS = """SELECT concat('r', CAST(o_custkey AS STRING)) AS id, concat('m',
   CASE o_orderstatus WHEN 'O' THEN 'created' WHEN 'P' THEN 'trained' ELSE 'runned' END AS status FROM orders"""
 
 ACTIONS = """SELECT concat('r', CAST(o_custkey AS STRING)) AS run, CASE o_orderstatus WHEN 'O' THEN 'train'
-  WHEN 'P' THEN 'evaluate' ELSE 'execute' END AS action, CAST(o_orderkey AS BIGINT) AS at,
+  WHEN 'P' THEN 'evaluate' ELSE 'execute' END AS action, CAST(o_orderkey AS BIGINT) AS asked_at,
   CAST(o_custkey AS BIGINT) AS seq FROM orders"""
 
 AGGS = """SELECT concat(l_returnflag, '-', CAST(l_suppkey AS STRING)) AS id, concat('src', CAST(l_suppkey % 20 AS STRING)) AS topic_id,

@@ -1 +1,118 @@
-"""."""
+"""Training, evaluation, prediction and storage of models."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tonewise.functions import labels
+from tonewise.operators import models as ml
+from tonewise.operators import splits as sp
+from tonewise.plans import jobs
+from tonewise.session import scratch_dir
+from tonewise.sources import sinks
+from tonewise.sources.tables import read_table
+from tonewise.workload import aggregates as ag
+from tonewise.workload import fixtures as fx
+from tonewise.workload import query
+from tonewise.workload.twin import common, three_way, two
+
+BERNOULLI = ml.ModelSpec(id="nb2", kind="bayes", type_model="bernoulli", n_class_words=1024)
+MULTINOMIAL = ml.ModelSpec(id="nb3", kind="bayes", n_class_words=1024)
+FOREST = ml.ModelSpec(id="rf", kind="rr", num_trees=8, depth=4, n_class_words=256)
+BOOSTED = ml.ModelSpec(id="gb", kind="boosting", num_iterations=4, depth=3, n_class_words=256)
+
+
+def _metrics(spark: SparkSession, sf: str, *specs: ml.ModelSpec) -> DataFrame:
+    tweets = fx.flagged_tweets(spark, sf, wide=True)
+    root = scratch_dir(spark, "models")
+    found = [jobs.train_and_evaluate(tweets, spec, fx.lexicons(spark), root).metrics for spec in specs]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+@query("train_bayes")
+def train_bayes(spark: SparkSession, sf: str) -> DataFrame:
+    return _metrics(spark, sf, BERNOULLI, MULTINOMIAL)
+
+
+@query("train_forest")
+def train_forest(spark: SparkSession, sf: str) -> DataFrame:
+    return _metrics(spark, sf, FOREST)
+
+
+@query("train_gbt")
+def train_gbt(spark: SparkSession, sf: str) -> DataFrame:
+    return _metrics(spark, sf, BOOSTED)
+
+
+@query("predict")
+def predict(spark: SparkSession, sf: str) -> DataFrame:
+    """Train, store, load and run on the rows kept for classification."""
+    tweets = fx.flagged_tweets(spark, sf, wide=True)
+    root = scratch_dir(spark, "models")
+    lexicons = fx.lexicons(spark)
+    jobs.train_and_evaluate(tweets, MULTINOMIAL, lexicons, root)
+    return jobs.run_saved(tweets, MULTINOMIAL, lexicons, root, ag.RUN)
+
+
+@query("save_load_model", "SELECT count(*) AS rows, count(*) AS agreeing FROM documents")
+def save_load_model(spark: SparkSession, sf: str) -> DataFrame:
+    """A stored model predicts as the one that was trained."""
+    root = scratch_dir(spark, "models")
+    rows = jobs.prepared(fx.flagged_tweets(spark, sf, wide=True), BERNOULLI, fx.lexicons(spark))
+    fitted = ml.train(rows.where("split = 'train'"), BERNOULLI)
+    ml.save_model(fitted, root, BERNOULLI.kind, BERNOULLI.id)
+    loaded = ml.load_model(root, BERNOULLI.kind, BERNOULLI.id)
+    both = loaded.transform(
+        fitted.transform(rows).select("features", F.col("prediction").alias("expected"))
+    )
+    return both.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("prediction") == F.col("expected")).alias("agreeing")
+    )
+
+
+PREDICTIONS = f"""predictions AS (SELECT {three_way('t.tweet_id')} AS split, {two('r.result')} AS prediction,
+  CAST(l.quality AS DOUBLE) AS label FROM runs r JOIN tweets t ON r.tweet_id = t.tweet_id JOIN labels l ON t.tweet_id = l.doc_id)"""
+ACCURACY = "round(avg(CAST(prediction = label AS INT)) FILTER (WHERE split = '{}'), 9) AS {}_accuracy"
+
+
+@query(
+    "evaluate_splits",
+    common(*ag.VADER_RUN, PREDICTIONS)
+    + f"SELECT {ACCURACY.format('train', 'train')}, {ACCURACY.format('validation', 'valid')}, "
+    f"{ACCURACY.format('classify', 'test')} FROM predictions",
+)
+def evaluate_splits(spark: SparkSession, sf: str) -> DataFrame:
+    """The lexicon's two classes as predictions of the quality label, per split."""
+    results = ag.run_vader(spark, sf).select(F.col("idTweet").alias("tweet_id"), labels.two_class(F.col("result")).alias("prediction"))
+    truth = fx.table(spark, sf, "labels").select(F.col("doc_id").alias("tweet_id"), F.col("quality").cast("double").alias("label"))
+    predictions = sp.split_random(results.join(truth, "tweet_id"), sp.Weights(0.6, 0.2, 0.2))
+    scored = ml.evaluate_splits(predictions, "bayes")
+    return scored.select(*[F.round(c, 9).alias(c) for c in scored.columns])
+
+
+@query("write_results", common(*ag.VADER_RUN) + ag.RESULT_SQL.format(kind="vader"))
+def write_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Result rows written by run and read back."""
+    root = scratch_dir(spark, "results")
+    sinks.write_results(ag.run_vader(spark, sf), root, "tweet_results")
+    return read_table(spark, f"{root}/tweet_results")
+
+
+@query(
+    "run_and_tally",
+    common(*ag.VADER_RUN)
+    + """SELECT 'vader' AS kind, topic, count(*) FILTER (WHERE result > 0.5) AS positive,
+      count(*) FILTER (WHERE result <= -0.5) AS negative, count(*) FILTER (WHERE result > -0.5 AND result < 0.5) AS neutral
+      FROM runs GROUP BY topic""",
+)
+def run_and_tally(spark: SparkSession, sf: str) -> DataFrame:
+    """One unsupervised run: results to the result table, its tally from the stored rows."""
+    root = scratch_dir(spark, "results")
+    results, _ = jobs.run_unsupervised(fx.tweets(spark, sf, wide=True), "vader", fx.lexicons(spark), ag.RUN, ("topic",))
+    sinks.write_results(results, root, "tweet_results")
+    stored = read_table(spark, f"{root}/tweet_results")
+    return jobs.tally(stored, "vader", ["topic"]).withColumn("kind", F.lit("vader"))
