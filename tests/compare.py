@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 import duckdb
 
-import __spark_entry__ as entry
+import __spark_entry__ as entry  # noqa: E402
 from tonewise.session import build_session
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml import Model
-from pyspark.ml.classification import NaiveBayes, NaiveBayesModel, RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.feature import HashingTF
+from pyspark.ml import Model, PipelineModel
+from pyspark.ml.classification import NaiveBayes, RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.feature import HashingTF, IndexToString, SQLTransformer, StringIndexer
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +17,7 @@ from tonewise.operators.splits import Weights
 
 # Folder prefix of each saved kind.
 MODEL_PREFIX = {"bayes": "bayes", "rr": "randomforest", "boosting": "gradient"}
-_MODEL_CLASS = {"bayes": NaiveBayesModel, "rr": RandomForestClassificationModel, "boosting": GBTRegressionModel}
+_MODEL_CLASS = {"bayes": PipelineModel, "rr": RandomForestClassificationModel, "boosting": GBTRegressionModel}
 
 
 @dataclass(frozen=True)
@@ -55,7 +55,24 @@ def spec_features(df: DataFrame, spec: ModelSpec) -> DataFrame:
 
 
 def train_bayes(train: DataFrame, spec: ModelSpec) -> Model:
-    return NaiveBayes(modelType=spec.type_model, smoothing=spec.smoothing).fit(train)
+    """Naive Bayes on the classes that occur.
+
+    The estimator predicts the rank of a class among those it has seen, so classes are indexed
+    before the fit and predictions turned back into class values: a training split without neutral
+    rows must not shift the positive class.
+    """
+    indexer = StringIndexer(
+        inputCol="label", outputCol="class_index", stringOrderType="alphabetAsc", handleInvalid="keep"
+    ).fit(train)
+    model = NaiveBayes(
+        labelCol="class_index",
+        predictionCol="class_prediction",
+        modelType=spec.type_model,
+        smoothing=spec.smoothing,
+    ).fit(indexer.transform(train))
+    back = IndexToString(inputCol="class_prediction", outputCol="class_name", labels=indexer.labels)
+    value = SQLTransformer(statement="SELECT *, CAST(class_name AS DOUBLE) AS prediction FROM __THIS__")
+    return PipelineModel([indexer, model, back, value])
 
 
 def train_forest(train: DataFrame, spec: ModelSpec) -> Model:

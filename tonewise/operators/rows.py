@@ -89,7 +89,11 @@ def track_topics(
     rows = df.drop("topic").withColumn(
         "_words", F.array_distinct(F.split(F.lower(text), TOKEN_BREAK))
     )
-    words = (rows if side.small else rows.select(key, "_words")).withColumn("_word", F.explode("_words"))
+    # The outer form, because for the plain one Catalyst adds a test for empty arrays and pushes it
+    # to the scan, where the words would be made a second time; an empty row finds no anchor anyway.
+    words = (rows if side.small else rows.select(key, "_words")).withColumn(
+        "_word", F.explode_outer("_words")
+    )
     if side.small:
         candidates = lookup(words, "_word", side, "inner")
     else:
@@ -99,8 +103,17 @@ def track_topics(
     def all_in(phrase: Column) -> Column:
         return F.forall(phrase, lambda w: F.array_contains(F.col("_words"), w))
 
-    matched = candidates.where(all_in(F.col("words")) & ~F.exists(F.col("earlier"), all_in))
-    return matched.select(*[c for c in df.columns if c != "topic"], "topic")
+    # Most candidates fail on a first word; this test stays in the generated stage of the join, so
+    # a failing candidate's row is never copied. The exact test follows in the explode.
+    for n in (0, 1, 2):
+        candidates = candidates.where(
+            F.coalesce(F.array_contains("_words", F.get("words", F.lit(n))), F.lit(True))
+        )
+    followed = F.filter(
+        F.array("topic"),
+        lambda topic: all_in(F.col("words")) & ~F.exists(F.col("earlier"), all_in),
+    )
+    return candidates.select(*[c for c in df.columns if c != "topic"], F.explode(followed).alias("topic"))
 
 
 def language_fanout(df: DataFrame, languages: Sequence[str], fanout: bool = False) -> DataFrame:

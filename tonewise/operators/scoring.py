@@ -20,7 +20,7 @@ from tonewise.functions import text as tx
 from tonewise.functions import valence as rules
 from tonewise.operators.joins import Lookup, lookup, measure
 
-NANO = 1e9
+NANO = 1_000_000_000.0
 
 
 def combine_lexicons(lexicons: Mapping[str, DataFrame]) -> Lookup:
@@ -52,21 +52,17 @@ def token_rows(
     full_punct_map: bool = False,
 ) -> DataFrame:
     """One row per scanned token with its neighbours, and one marker row (position -1) per text."""
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(F.col("body"), F.lit(""))
     tokens = F.col("tokens")
-    rows = df.select(
-        *key, tx.strip_runs(body, full_punct_map).alias("tokens"), tx.punctuation_emphasis(body).alias("emphasis")
-    )
-    rows = rows.select(
+    # Later columns of this select refer to earlier ones; Catalyst makes a projection of each step.
+    rows = df.select(*key, F.col(text).alias("body")).select(
         *key,
-        "tokens",
-        "emphasis",
+        tx.strip_runs(body, full_punct_map).alias("tokens"),
+        tx.punctuation_emphasis(body).alias("emphasis"),
         tx.caps_differential(tokens).alias("caps"),
         tx.first_but(tokens).alias("but"),
         (tx.first_stop("tokens") if stop_at_booster else F.lit(0)).alias("stop"),
-    )
-    rows = rows.withColumn(
-        "scanned", F.when(F.col("stop") > 0, F.col("stop")).otherwise(F.size("tokens"))
+        F.expr("CASE WHEN stop > 0 THEN stop ELSE size(tokens) END").alias("scanned"),
     )
     marked = F.concat(F.array(F.lit(None).cast("string")), F.slice(tokens, 1, F.col("scanned")))
     rows = rows.select("*", F.posexplode(marked).alias("place", "token"))
@@ -95,33 +91,28 @@ def lexicon_hits(tokens: DataFrame, side: Lookup, names: Sequence[str]) -> DataF
     found = F.coalesce(*[F.col(n) for n in names]).isNotNull()
     passed = found & ~F.expr(rules.stops("token", "get(around, 4)"))
     hits = hits.where((F.col("position") < 0) | passed).drop("entry_key")
-    hits = hits.withColumn("near", F.transform("around", F.lower)).withColumn(
-        "shouts", F.transform("around", tx.is_upper)
+    carried = [c for c in hits.columns if c not in ("around", "caps")]
+    hits = hits.selectExpr(
+        *carried,
+        "around",
+        "caps",
+        "transform(around, t -> lower(t)) AS near",
+        f"transform(around, t -> t RLIKE r'{tx.UPPER_ONLY}') AS shouts",
     )
-    hits = hits.select(
-        *[c for c in hits.columns if c not in ("around", "near", "shouts", "caps")],
-        *[F.get("around", F.lit(3 - d)).alias(f"prev{d}") for d in (1, 2, 3)],
-        *[F.get("around", F.lit(3 + d)).alias(f"next{d}") for d in (1, 2)],
-        *[F.get("near", F.lit(3 - d)).alias(f"low{d}") for d in (1, 2, 3)],
-        *[
-            (F.col("caps") & F.coalesce(F.get("shouts", F.lit(3 - d)), F.lit(False))).alias(f"shout{d}")
-            for d in (0, 1, 2, 3)
-        ],
+    hits = hits.selectExpr(
+        *carried,
+        *[f"get(around, {3 - d}) AS prev{d}" for d in (1, 2, 3)],
+        *[f"get(around, {3 + d}) AS next{d}" for d in (1, 2)],
+        *[f"get(near, {3 - d}) AS low{d}" for d in (1, 2, 3)],
+        *[f"caps AND coalesce(get(shouts, {3 - d}), false) AS shout{d}" for d in (0, 1, 2, 3)],
     )
+    plain = hits.columns
     for d in (1, 2, 3):
-        near = Lookup(
-            side.table.select(
-                F.col("entry").alias("near_entry"), *[F.col(n).alias(f"near_{n}") for n in names]
-            ),
-            "near_entry",
-            side.small,
-        )
-        hits = lookup(hits, f"low{d}", near)
-        hits = hits.select(
-            *[c for c in hits.columns if not c.startswith("near_")],
-            *[F.col(f"near_{n}").isNotNull().alias(f"known{d}_{n}") for n in names],
-        )
-    return hits
+        near = side.table.selectExpr(f"entry AS entry{d}", *[f"{n} AS {n}_near{d}" for n in names])
+        hits = lookup(hits, f"low{d}", Lookup(near, f"entry{d}", side.small))
+    return hits.selectExpr(
+        *plain, *[f"{n}_near{d} IS NOT NULL AS known{d}_{n}" for d in (1, 2, 3) for n in names]
+    )
 
 
 def apply_rules(hits: DataFrame, name: str) -> DataFrame:
@@ -145,9 +136,7 @@ def apply_rules(hits: DataFrame, name: str) -> DataFrame:
     add("idiom", rules.idioms(f"{name}_negation3"), f"position >= 3 AND NOT known3_{name}")
     add("least", rules.least(f"{name}_idiom", f"known1_{name}"))
     add("but", rules.contrast(f"{name}_least"))
-    for step, expression in steps:
-        hits = hits.selectExpr("*", f"{expression} AS {name}_{step}")
-    return hits
+    return hits.selectExpr("*", *[f"{expression} AS {name}_{step}" for step, expression in steps])
 
 
 def trace(
@@ -198,51 +187,35 @@ def score_texts(
             F.count(F.when(v != 0, True)).alias(f"{name}_moved"),
         ]
     totals = hits.groupBy(*key).agg(*sums)
-    for name in names:
-        totals = _finish(totals, name)
-    return totals.select(*key, *names)
-
-
-def _finish(totals: DataFrame, name: str) -> DataFrame:
-    """Emphasis, normalisation and shares from the sums of one lexicon."""
-    total = F.col(f"{name}_sum") / NANO
-    emphasis = F.col("emphasis")
-    out = totals.select(
-        "*",
-        (total + F.signum(total) * emphasis).alias("_s"),
-        (F.col(f"{name}_up") / NANO).alias("_up"),
-        (F.col(f"{name}_down") / NANO).alias("_down"),
-        (F.col("scanned") - F.col(f"{name}_moved")).cast("double").alias("_flat"),
-    )
-    out = out.select(
-        "*",
-        (F.col("_s") / F.sqrt(F.col("_s") * F.col("_s") + float(fixed.NORMALISER))).alias("_norm"),
-        F.when(F.col("_up") > F.abs("_down"), F.col("_up") + emphasis)
-        .otherwise(F.col("_up"))
-        .alias("_gain"),
-        F.when(F.col("_up") < F.abs("_down"), F.col("_down") - emphasis)
-        .otherwise(F.col("_down"))
-        .alias("_loss"),
-    )
-    out = out.withColumn("_all", F.col("_gain") + F.abs("_loss") + F.col("_flat"))
-    empty = F.col("scanned") == 0
-
-    def share(part: str) -> Column:
-        return F.when(empty, 0.0).otherwise(
-            tx.round_half_up(F.abs(F.try_divide(F.col(part), F.col("_all"))), 3)
-        )
-
-    bounded = F.least(F.greatest(F.col("_norm"), F.lit(-1.0)), F.lit(1.0))
-    scores = F.struct(
-        share("_loss").alias("neg"),
-        share("_flat").alias("neu"),
-        share("_gain").alias("pos"),
-        F.when(empty, 0.0).otherwise(tx.round_half_up(bounded, 4)).alias("compound"),
-    )
-    # The lexicon's own column name is free again: only its sums are left in the totals.
-    return out.withColumn(name, scores).drop(
-        "_s", "_up", "_down", "_flat", "_norm", "_gain", "_loss", "_all"
-    )
+    steps = [step for name in names for step in _finish(name)]
+    return totals.selectExpr(*key, *totals.columns[len(key):], *steps).select(*key, *names)
+
+
+def _finish(name: str) -> list[str]:
+    """Emphasis, normalisation and shares from the sums of one lexicon, one column per step."""
+    n = f"{name}_"
+    bounded = f"least(greatest({n}norm, -1D), 1D)"
+
+    def rounded(value: str, places: int) -> str:
+        scale = f"{10**places}D"
+        return f"CASE WHEN scanned = 0 THEN 0D ELSE CAST(floor({value} * {scale} + 0.5D) AS DOUBLE) / {scale} END"
+
+    def share(part: str) -> str:
+        return rounded(f"abs(try_divide({n}{part}, {n}whole))", 3)
+
+    return [
+        f"{n}sum / {NANO}D AS {n}total",
+        f"{n}total + signum({n}total) * emphasis AS {n}s",
+        f"{n}s / sqrt({n}s * {n}s + {fixed.NORMALISER}D) AS {n}norm",
+        f"{n}up / {NANO}D AS {n}rise",
+        f"{n}down / {NANO}D AS {n}fall",
+        f"CASE WHEN {n}rise > abs({n}fall) THEN {n}rise + emphasis ELSE {n}rise END AS {n}gain",
+        f"CASE WHEN {n}rise < abs({n}fall) THEN {n}fall - emphasis ELSE {n}fall END AS {n}loss",
+        f"CAST(scanned - {n}moved AS DOUBLE) AS {n}flat",
+        f"{n}gain + abs({n}loss) + {n}flat AS {n}whole",
+        f"named_struct('neg', {share('loss')}, 'neu', {share('flat')}, 'pos', {share('gain')}, "
+        f"'compound', {rounded(bounded, 4)}) AS {name}",
+    ]
 
 
 def vader_scores(

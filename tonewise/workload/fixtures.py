@@ -93,7 +93,7 @@ def tweets(spark: SparkSession, sf: str, wide: bool = False) -> DataFrame:
     return spark.sql(TWEETS.replace("FROM documents", "FROM {documents}"), documents=documents)
 
 
-def flagged_tweets(spark: SparkSession, sf: str, wide: bool = False) -> DataFrame:
+def flagged_tweets(spark: SparkSession, sf: str, wide: bool = True) -> DataFrame:
     return flag_emoji(tweets(spark, sf, wide), aliases(spark))
 
 

@@ -125,7 +125,7 @@ def statuses(spark: SparkSession, sf: str) -> DataFrame:
         F.struct(key.alias("id"), "createdAt", geo.alias("geoLocation"), user.alias("user"), F.col("tweetText").alias("text"))
     )
     value = F.when(key % 13 == 5, F.concat(F.lit("<"), status)).otherwise(status)
-    return fx.tweets(spark, sf).select(value.alias("value"), F.col("lenguage").alias("lang"))
+    return fx.tweets(spark, sf, wide=True).select(value.alias("value"), F.col("lenguage").alias("lang"))
 
 
 @query("flag_emoji", common() + "SELECT tweet_id, contain_emoji FROM tweets")

@@ -60,7 +60,7 @@ def stop_rule(spark: SparkSession, sf: str) -> DataFrame:
         "tweet_id", tx.strip_runs(body).alias("tokens")
     )
     rows = rows.select("tweet_id", "tokens", tx.first_stop("tokens").alias("stop"))
-    return rows.where(F.size("tokens") > 0).select(
+    return rows.select(
         "tweet_id",
         (F.col("stop") - 1).alias("stop_position"),
         F.when(F.col("stop") > 0, F.col("stop")).otherwise(F.size("tokens")).alias("scanned"),

@@ -32,14 +32,14 @@ def _stop_list() -> str:
 
 @query("emoji_to_alias", common() + f"SELECT tweet_id, {aliased('lower(tweetText)')} AS message FROM tweets")
 def emoji_to_alias(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.tweets(spark, sf).select(
+    return fx.tweets(spark, sf, wide=True).select(
         "tweet_id", em.emoji_to_alias(F.lower("tweetText"), fx.aliases(spark)).alias("message")
     )
 
 
 @query("strip_emoji", common() + f"SELECT tweet_id, {stripped('tweetText')} AS clean FROM tweets")
 def strip_emoji(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.tweets(spark, sf).select(
+    return fx.tweets(spark, sf, wide=True).select(
         "tweet_id", em.strip_emoji(F.col("tweetText"), fx.aliases(spark)).alias("clean")
     )
 
@@ -53,7 +53,7 @@ SPACE_SQL = common(
 @query("space_tokens", SPACE_SQL + "SELECT tweet_id, CAST(position AS INT) AS position, token FROM split_text")
 def space_tokens(spark: SparkSession, sf: str) -> DataFrame:
     tokens = tx.space_tokens(F.col("tweetText"))
-    return fx.tweets(spark, sf).select("tweet_id", F.posexplode(tokens).alias("position", "token"))
+    return fx.tweets(spark, sf, wide=True).select("tweet_id", F.posexplode(tokens).alias("position", "token"))
 
 
 @query(
@@ -66,7 +66,7 @@ def space_tokens(spark: SparkSession, sf: str) -> DataFrame:
 def stopwords(spark: SparkSession, sf: str) -> DataFrame:
     words = StopWordsRemover.loadDefaultStopWords("english")
     kept = tx.drop_stop_words(tx.space_tokens(F.col("tweetText")), words)
-    return fx.tweets(spark, sf).select("tweet_id", F.array_join(kept, " ").alias("message"))
+    return fx.tweets(spark, sf, wide=True).select("tweet_id", F.array_join(kept, " ").alias("message"))
 
 
 @query(
@@ -75,7 +75,7 @@ def stopwords(spark: SparkSession, sf: str) -> DataFrame:
     + "SELECT tweet_id, CASE WHEN rtrim(tweetText, ' ') = '' THEN '' ELSE ' ' || rtrim(tweetText, ' ') END AS joined FROM tweets",
 )
 def join_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.tweets(spark, sf).select(
+    return fx.tweets(spark, sf, wide=True).select(
         "tweet_id", tx.join_tokens(tx.space_tokens(F.col("tweetText"))).alias("joined")
     )
 
@@ -88,7 +88,7 @@ def join_tokens(spark: SparkSession, sf: str) -> DataFrame:
 def senti_tokens(spark: SparkSession, sf: str) -> DataFrame:
     body = F.col("tweetText")
     tokens = tx.strip_runs(body)
-    rows = fx.tweets(spark, sf, wide=True).select("tweet_id", tokens.alias("t")).where(F.size("t") > 0)
+    rows = fx.tweets(spark, sf, wide=True).select("tweet_id", tokens.alias("t"))
     return rows.select("tweet_id", F.array_join("t", " ").alias("tokens"), F.size("t").cast("bigint").alias("n"))
 
 
@@ -99,7 +99,7 @@ def senti_tokens(spark: SparkSession, sf: str) -> DataFrame:
 def caps_differential(spark: SparkSession, sf: str) -> DataFrame:
     body = F.col("tweetText")
     tokens = tx.strip_runs(body)
-    rows = fx.tweets(spark, sf, wide=True).select("tweet_id", tokens.alias("t")).where(F.size("t") > 0)
+    rows = fx.tweets(spark, sf, wide=True).select("tweet_id", tokens.alias("t"))
     return rows.select("tweet_id", tx.caps_differential(F.col("t")).alias("caps"))
 
 
@@ -109,7 +109,7 @@ def caps_differential(spark: SparkSession, sf: str) -> DataFrame:
     + "SELECT f.emoji, a.alias, count(*) AS n FROM found f JOIN emoji_alias a ON f.emoji = a.emoji GROUP BY f.emoji, a.alias",
 )
 def emoji_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return count_emoji(fx.tweets(spark, sf), fx.aliases(spark))
+    return count_emoji(fx.tweets(spark, sf, wide=True), fx.aliases(spark))
 
 
 @query(
@@ -119,7 +119,7 @@ def emoji_counts(spark: SparkSession, sf: str) -> DataFrame:
     "WHERE starts_with(hashtag, '#')",
 )
 def hashtags(spark: SparkSession, sf: str) -> DataFrame:
-    return rw.hashtag_rows(fx.tweets(spark, sf), "tweet_id")
+    return rw.hashtag_rows(fx.tweets(spark, sf, wide=True), "tweet_id")
 
 
 @query(
