@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 128 * 1024 * 1024
 SALTS = 16
 
 
@@ -21,10 +22,13 @@ class Lookup:
 
 
 def measure(table: DataFrame, key: str, limit: int | None = None) -> Lookup:
-    """Count the side table, but never further than the limit."""
+    """Count rows and bytes of the side table, but never read further than the row limit."""
     limit = BROADCAST_ROWS if limit is None else limit
-    small = table.select(key).limit(limit + 1).count() <= limit
-    return Lookup(table, key, small)
+    text = F.to_json(F.struct(*table.columns))
+    size = table.select(F.octet_length(text).alias("bytes")).limit(limit + 1).agg(
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")
+    ).first()
+    return Lookup(table, key, size["rows"] <= limit and size["bytes"] <= BROADCAST_BYTES)
 
 
 def lookup(df: DataFrame, on: str, side: Lookup, how: str = "left", salts: int = SALTS) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tonewise import schemas
 from tonewise.functions.emoji import EmojiAliases, has_emoji
 from tonewise.functions.text import hashtags
-from tonewise.operators.joins import lookup, measure
+from tonewise.operators.joins import Lookup, lookup, measure
 
 # A phrase matches whole tokens; letters, digits and the marks # @ _ belong to a token.
 TOKEN_BREAK = r"[^\p{L}\p{N}#@_]+"
@@ -64,6 +64,7 @@ def topic_phrases(pickups: DataFrame) -> DataFrame:
     )
     return phrases.select("topic", "phrases", F.posexplode("phrases").alias("rank", "words")).select(
         "topic",
+        "rank",
         "words",
         F.slice("phrases", 1, F.col("rank")).alias("earlier"),
         # The longest word of a phrase is the rarest as a rule, so it gives the fewest candidates.
@@ -80,25 +81,20 @@ def track_topics(
 ) -> DataFrame:
     """Each row once per followed topic that has a phrase whose words all occur in the text.
 
-    Distinct words of a row are looked up as phrase anchors; the rest of the phrase is checked
-    against the row's own words. A topic is emitted for the first of its phrases that matches, so
-    no grouping follows. With a list that fits a broadcast nothing is shuffled. With a longer one
-    only (key, word) pairs go through the salted join, and the rows meet their candidates by key.
+    With a list of phrases that fits a broadcast nothing is shuffled: the row's distinct words are
+    looked up as phrase anchors, the rest of the phrase is checked against the row's own words, and
+    a topic is emitted for the first of its phrases that matches, so no grouping follows.
     """
-    side = measure(topic_phrases(pickups), "anchor")
-    rows = df.drop("topic").withColumn(
-        "_words", F.array_distinct(F.split(F.lower(text), TOKEN_BREAK))
-    )
+    phrases = measure(topic_phrases(pickups), "anchor")
+    columns = [c for c in df.columns if c != "topic"]
     # The outer form, because for the plain one Catalyst adds a test for empty arrays and pushes it
     # to the scan, where the words would be made a second time; an empty row finds no anchor anyway.
-    words = (rows if side.small else rows.select(key, "_words")).withColumn(
-        "_word", F.explode_outer("_words")
-    )
-    if side.small:
-        candidates = lookup(words, "_word", side, "inner")
-    else:
-        pairs = lookup(words.select(key, "_word"), "_word", side, "inner")
-        candidates = rows.join(pairs, key)
+    words = df.withColumn(
+        "_words", F.array_distinct(F.split(F.lower(text), TOKEN_BREAK))
+    ).withColumn("_word", F.explode_outer("_words"))
+    if not phrases.small:
+        return _track_by_counting(df.select(*columns), words.select(key, "_word"), phrases.table, key)
+    candidates = lookup(words.drop("topic"), "_word", phrases, "inner")
 
     def all_in(phrase: Column) -> Column:
         return F.forall(phrase, lambda w: F.array_contains(F.col("_words"), w))
@@ -113,7 +109,22 @@ def track_topics(
         F.array("topic"),
         lambda topic: all_in(F.col("words")) & ~F.exists(F.col("earlier"), all_in),
     )
-    return candidates.select(*[c for c in df.columns if c != "topic"], F.explode(followed).alias("topic"))
+    return candidates.select(*columns, F.explode(followed).alias("topic"))
+
+
+def _track_by_counting(df: DataFrame, words: DataFrame, phrases: DataFrame, key: str) -> DataFrame:
+    """The way for a long list: a phrase matches where as many words are found as it has.
+
+    Only (key, word) pairs meet the phrase words, salted, and counts combine before the shuffle; the
+    rows are joined once, with the topics found.
+    """
+    needed = phrases.select(
+        "topic", "rank", F.size("words").alias("needed"), F.explode("words").alias("needed_word")
+    )
+    met = lookup(words, "_word", Lookup(needed, "needed_word", small=False), "inner")
+    counted = met.groupBy(key, "topic", "rank", "needed").agg(F.count(F.lit(1)).alias("found"))
+    topics = counted.where("found = needed").select(key, "topic").distinct()
+    return df.join(topics, key)
 
 
 def language_fanout(df: DataFrame, languages: Sequence[str], fanout: bool = False) -> DataFrame:
@@ -165,9 +176,18 @@ def page_rows(df: DataFrame, page: int, page_size: int, sort: str, key: str, asc
 
 
 def upsert_rows(target: DataFrame, updates: DataFrame, key: str = "id") -> DataFrame:
-    """Replace rows that have an update; updates of unknown ids are not taken in."""
-    known = updates.join(target.select(key), key, "left_semi")
-    return target.join(updates.select(key), key, "left_anti").unionByName(known)
+    """Replace rows that have an update; updates of unknown ids are not taken in.
+
+    Ids are unique on both sides, so one left join does for removing and inserting.
+    """
+    new = updates.select(key, F.struct(*target.columns).alias("_new"))
+    joined = target.join(new, key, "left")
+    return joined.select(
+        *[
+            F.when(F.col("_new").isNotNull(), F.col("_new")[c]).otherwise(target[c]).alias(c)
+            for c in target.columns
+        ]
+    )
 
 
 def unknown_updates(target: DataFrame, updates: DataFrame, key: str = "id") -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.ml import Model
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame
@@ -14,6 +13,7 @@ from tonewise.operators import models as ml
 from tonewise.operators.splits import split_emoji_aware
 from tonewise.operators.tagging import Lexicons, as_results, labels_of, run_emoji, run_sentences, run_vader, tokens_of
 from tonewise.operators.tallies import tally
+from tonewise.session import scratch_dir
 
 UNSUPERVISED = {"vader": run_vader, "emoji": run_emoji, "nlp": run_sentences}
 
@@ -33,6 +33,17 @@ def prepared(tweets: DataFrame, spec: ml.ModelSpec, lexicons: Lexicons) -> DataF
     return features.join(labels_of(tweets, spec.tag, spec.label_kind, lexicons), "tweet_id")
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """Prepared rows written once to the shared scratch folder, laid out by split.
+
+    Scoring is then not repeated when an executor is lost, lineage is cut before the iterative
+    trainers, and the trainers read the training split only.
+    """
+    path = scratch_dir(rows.sparkSession, "prepared")
+    rows.write.partitionBy("split").parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 @dataclass(frozen=True)
 class Trained:
     model: Model
@@ -41,20 +52,11 @@ class Trained:
 
 
 def train_and_evaluate(tweets: DataFrame, spec: ml.ModelSpec, lexicons: Lexicons, root: str) -> Trained:
-    """Fit on the training split, save, and compute the three accuracies.
-
-    The prepared rows are read many times by the tree trainers, so they are kept for the time of
-    the fit; a lost executor only means its blocks are computed again.
-    """
-    rows = prepared(tweets, spec, lexicons).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model = ml.train(rows.where(F.col("split") == "train"), spec)
-        path = ml.save_model(model, root, spec.kind, spec.id)
-        metrics = evaluate(rows, model, spec)
-        measured = metrics.first()
-    finally:
-        rows.unpersist()
-    return Trained(model, path, tweets.sparkSession.createDataFrame([measured], metrics.schema))
+    """Fit on the training split, save, and compute the three accuracies."""
+    rows = stored(prepared(tweets, spec, lexicons))
+    model = ml.train(rows.where(F.col("split") == "train"), spec)
+    path = ml.save_model(model, root, spec.kind, spec.id)
+    return Trained(model, path, evaluate(rows, model, spec))
 
 
 def evaluate(rows: DataFrame, model: Model, spec: ml.ModelSpec) -> DataFrame:

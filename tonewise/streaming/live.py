@@ -131,7 +131,7 @@ def score_messages(batch: DataFrame, lexicons: Lexicons) -> DataFrame:
     the digest of the text, salted because one text may be a large part of a batch.
     """
     rows = skip_bad_rows(batch, "value").withColumn("digest", F.sha2(F.col("value"), 256))
-    texts = rows.select("digest", "value").dropDuplicates(["digest"])
+    texts = rows.select("digest", "value").distinct()
     scored = sentence_scores(texts, lexicons, ["digest"], "value").select(
         F.col("digest").alias("scored_digest"), labels.five_class(F.col("compound")).alias("code")
     )

@@ -62,7 +62,7 @@ def predict(spark: SparkSession, sf: str) -> DataFrame:
 def save_load_model(spark: SparkSession, sf: str) -> DataFrame:
     """A stored model predicts as the one that was trained."""
     root = scratch_dir(spark, "models")
-    rows = jobs.prepared(fx.flagged_tweets(spark, sf, wide=True), BERNOULLI, fx.lexicons(spark))
+    rows = jobs.stored(jobs.prepared(fx.flagged_tweets(spark, sf, wide=True), BERNOULLI, fx.lexicons(spark)))
     fitted = ml.train(rows.where("split = 'train'"), BERNOULLI)
     ml.save_model(fitted, root, BERNOULLI.kind, BERNOULLI.id)
     loaded = ml.load_model(root, BERNOULLI.kind, BERNOULLI.id)
