@@ -29,7 +29,7 @@ BODY = """replace(replace(replace(replace(text, chr(10), ' '),
 TWEETS = f"""SELECT doc_id AS tweet_id, CAST(1704067200000 + doc_id * 1000 AS BIGINT) AS createdAt,
   CAST(doc_id % 97 AS BIGINT) AS user_id, concat('user', CAST(doc_id % 97 AS STRING)) AS user_name,
   CAST(doc_id % 5000 AS INT) AS user_followers,
-  CASE WHEN doc_id % 32 < 16 THEN concat({PHRASE}, ' ', {BODY}) ELSE concat({BODY}, ' ', {PHRASE}) END AS tweetText,
+  coalesce(CASE WHEN doc_id % 32 < 16 THEN concat({PHRASE}, ' ', {BODY}) ELSE concat({BODY}, ' ', {PHRASE}) END, '') AS tweetText,
   lang AS lenguage, source AS topic FROM documents"""
 
 LEXICON = """SELECT token, CAST(valence AS DOUBLE) AS valence FROM (VALUES ('good',1.9),('great',3.1),('bad',-2.5),

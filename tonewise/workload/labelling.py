@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,18 +131,20 @@ def tag_nlp(spark: SparkSession, sf: str) -> DataFrame:
     return _tag(spark, sf, "nlp", "multinomial")
 
 
-@query("hash_features")
+@query(
+    "hash_features",
+    common(MESSAGE)
+    + """SELECT tweet_id, CAST(len(string_split(rtrim(message, ' '), ' ')) AS DOUBLE) AS total, true AS fits FROM messages""",
+)
 def hash_features(spark: SparkSession, sf: str) -> DataFrame:
-    """Counts per text of the hashed bag of words: entries, and their total."""
+    """Hashed counts add up to the number of tokens, over no more entries than distinct tokens."""
     tokens = tg.tokens_of(fx.tweets(spark, sf, wide=True), fx.lexicons(spark))
-    hashed = ml.hash_features(tokens, 1024)
-    from pyspark.ml.functions import vector_to_array
-
     counts = vector_to_array("features")
-    return hashed.select(
+    sums = ml.hash_features(tokens, 1024).select("tweet_id", "tokens", counts.alias("counts"))
+    return sums.select(
         "tweet_id",
-        F.size(F.filter(counts, lambda c: c > 0)).alias("entries"),
-        F.aggregate(counts, F.lit(0.0), lambda a, c: a + c).alias("total"),
+        F.aggregate("counts", F.lit(0.0), lambda a, c: a + c).alias("total"),
+        (F.size(F.filter("counts", lambda c: c > 0)) <= F.size(F.array_distinct("tokens"))).alias("fits"),
     )
 
 

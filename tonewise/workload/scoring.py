@@ -171,6 +171,24 @@ def emoji_blend(spark: SparkSession, sf: str) -> DataFrame:
     return _blend(spark, sf)
 
 
+@query(
+    "emoji_word_scores",
+    common(blend())
+    + "SELECT e.id AS tweet_id, e.compound AS emoji, w.compound AS word, b.compound AS blended FROM bl_e_scores e "
+    "JOIN bl_w_scores w ON e.id = w.id JOIN bl_scores b ON e.id = b.id",
+)
+def emoji_word_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Both lexicons scored in one pass, with the blend of the two."""
+    tables = fx.lexicons(spark)
+    scored = sc.score_texts(
+        fx.tweets(spark, sf, wide=True), KEY, "tweetText", {"emoji": tables.emoji, "word": tables.words}
+    )
+    emoji, word = F.col("emoji.compound"), F.col("word.compound")
+    return scored.select(
+        "tweet_id", emoji.alias("emoji"), word.alias("word"), ((emoji * 2 + word) / 3).alias("blended")
+    )
+
+
 @query("vader_scores", TWIN + "SELECT id AS tweet_id, neg, neu, pos, compound FROM scores")
 def vader_scores(spark: SparkSession, sf: str) -> DataFrame:
     return _scores(spark, sf)
