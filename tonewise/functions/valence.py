@@ -1,9 +1,10 @@
 """Rules that change one token's valence, as SQL expressions over a hit row.
 
 A hit row has ``token``, ``position``, ``but``, the tokens before (``prev1`` nearest, ``prev2``,
-``prev3``), the same in lower case (``low1``...), the tokens behind (``next1``, ``next2``) and
-``shout0`` to ``shout3``: whether the token, or the one at that distance, is upper case in a text of
-mixed case. ``v`` names the column with the valence so far.
+``prev3``), the same in lower case (``low1``...), the tokens behind (``next1``, ``next2``), and per
+distance ``shout<d>``, whether that token is upper case in a text of mixed case, ``push<d>``, what it
+adds as a degree word, and ``turns<d>``, whether it negates. ``v`` names the column with the valence
+so far.
 """
 
 from __future__ import annotations
@@ -29,6 +30,19 @@ def stops(token: str, following: str) -> str:
     )
 
 
+def degree(token: str) -> str:
+    """What a degree word adds to a positive valence; null for other words."""
+    return (
+        f"CASE WHEN lower({token}) IN ({words(fixed.RAISING)}) THEN {fixed.BOOST}D "
+        f"WHEN lower({token}) IN ({words(fixed.LOWERING)}) THEN -{fixed.BOOST}D END"
+    )
+
+
+def negates(token: str) -> str:
+    """Exact spelling in the list, or any word with n't."""
+    return f"coalesce({token} IN ({words(fixed.NEGATIONS)}) OR contains({token}, 'n\\'t'), false)"
+
+
 def _away(v: str, amount: str) -> str:
     return f"CASE WHEN {v} > 0 THEN {amount} + {fixed.CAPS_BOOST}D ELSE {amount} - {fixed.CAPS_BOOST}D END"
 
@@ -40,11 +54,7 @@ def caps_boost(v: str) -> str:
 
 def degree_shift(v: str, distance: int) -> str:
     """A degree word raises or lowers the valence, less so from further away."""
-    base = (
-        f"CASE WHEN low{distance} IN ({words(fixed.RAISING)}) THEN {fixed.BOOST}D "
-        f"WHEN low{distance} IN ({words(fixed.LOWERING)}) THEN -{fixed.BOOST}D END"
-    )
-    signed = f"({base}) * CASE WHEN {v} < 0 THEN -1D ELSE 1D END"
+    signed = f"push{distance} * CASE WHEN {v} < 0 THEN -1D ELSE 1D END"
     fade = {1: "1D", 2: "0.95D", 3: "0.9D"}[distance]
     louder = f"CASE WHEN {v} > 0 THEN {fixed.CAPS_BOOST}D ELSE -{fixed.CAPS_BOOST}D END"
     shift = f"({signed} + CASE WHEN shout{distance} THEN {louder} ELSE 0D END) * {fade}"
@@ -53,15 +63,13 @@ def degree_shift(v: str, distance: int) -> str:
 
 def negation(v: str, distance: int) -> str:
     """Negation flips and dampens; "never so" and "never this" strengthen."""
-    token = f"prev{distance}"
-    negates = f"{token} IN ({words(fixed.NEGATIONS)}) OR contains({token}, 'n\\'t')"
     emphatic = words(EMPHATIC)
     strong = {
         1: "",
         2: f"WHEN prev2 = 'never' AND prev1 IN ({emphatic}) THEN {v} * 1.5D",
         3: f"WHEN (prev3 = 'never' AND prev2 IN ({emphatic})) OR prev1 IN ({emphatic}) THEN {v} * 1.25D",
     }[distance]
-    return f"CASE {strong} WHEN {negates} THEN {v} * ({fixed.NEGATION_FACTOR}D) ELSE {v} END"
+    return f"CASE {strong} WHEN turns{distance} THEN {v} * ({fixed.NEGATION_FACTOR}D) ELSE {v} END"
 
 
 def idioms(v: str) -> str:

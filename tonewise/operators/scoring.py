@@ -21,6 +21,7 @@ from tonewise.functions import valence as rules
 from tonewise.operators.joins import Lookup, lookup, measure
 
 NANO = 1_000_000_000.0
+RESERVED = {"body", "tokens", "token", "position", "emphasis", "caps", "but", "stop", "scanned", "around", "entry"}
 
 
 def combine_lexicons(lexicons: Mapping[str, DataFrame]) -> Lookup:
@@ -98,6 +99,8 @@ def lexicon_hits(tokens: DataFrame, side: Lookup, names: Sequence[str]) -> DataF
         "caps",
         "transform(around, t -> lower(t)) AS near",
         f"transform(around, t -> t RLIKE r'{tx.UPPER_ONLY}') AS shouts",
+        f"transform(around, t -> {rules.degree('t')}) AS pushes",
+        f"transform(around, t -> {rules.negates('t')}) AS turns",
     )
     hits = hits.selectExpr(
         *carried,
@@ -105,6 +108,8 @@ def lexicon_hits(tokens: DataFrame, side: Lookup, names: Sequence[str]) -> DataF
         *[f"get(around, {3 + d}) AS next{d}" for d in (1, 2)],
         *[f"get(near, {3 - d}) AS low{d}" for d in (1, 2, 3)],
         *[f"caps AND coalesce(get(shouts, {3 - d}), false) AS shout{d}" for d in (0, 1, 2, 3)],
+        *[f"get(pushes, {3 - d}) AS push{d}" for d in (1, 2, 3)],
+        *[f"get(turns, {3 - d}) AS turns{d}" for d in (1, 2, 3)],
     )
     plain = hits.columns
     for d in (1, 2, 3):
@@ -148,6 +153,9 @@ def trace(
     full_punct_map: bool = False,
 ) -> DataFrame:
     """Rows of valence-bearing tokens (plus marker rows) with every rule's outcome per lexicon."""
+    taken = set(key) & (RESERVED | set(lexicons))
+    if taken:
+        raise ValueError(f"rename these key columns before scoring: {sorted(taken)}")
     side = combine_lexicons(lexicons)
     names = list(lexicons)
     tokens = token_rows(df, key, text, stop_at_booster, full_punct_map)
