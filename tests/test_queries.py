@@ -7,6 +7,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from tonewise import workload
 from tests.compare import compare, duck
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -21,7 +22,7 @@ def test_every_twin_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(workload.QUERIES))
 def test_query(spark, twin, name):
     status, rows, _, _ = compare(spark, twin, name, SF)
     assert status in ("ok", "rows-only"), status

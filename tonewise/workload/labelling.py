@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonewise.functions import labels
+from tonewise.functions.fixed_values import ENGLISH_STOP_WORDS
 from tonewise.operators import models as ml
 from tonewise.operators import splits as sp
 from tonewise.operators import tagging as tg
 from tonewise.workload import fixtures as fx
 from tonewise.workload import query
-from tonewise.workload.texts import english_stop_words
 from tonewise.workload.twin import aliased, blend, bucket, common, five, fold, longest_sentence, scorer, three, three_way, two
 
 WEIGHTS = sp.Weights(0.6, 0.2, 0.2)
@@ -98,7 +98,7 @@ def tag_vader_score(spark: SparkSession, sf: str) -> DataFrame:
 
 STOPPED = f"""kept AS (SELECT tweet_id, string_agg(w, ' ' ORDER BY n) AS message FROM (SELECT tweet_id,
   unnest(string_split(rtrim(message, ' '), ' ')) AS w, generate_subscripts(string_split(rtrim(message, ' '), ' '), 1) AS n
-  FROM messages) WHERE w NOT IN ({', '.join("'" + w.replace("'", "''") + "'" for w in english_stop_words())}) GROUP BY tweet_id)"""
+  FROM messages) WHERE w NOT IN ({', '.join("'" + w.replace("'", "''") + "'" for w in ENGLISH_STOP_WORDS)}) GROUP BY tweet_id)"""
 
 
 @query(
@@ -108,7 +108,7 @@ STOPPED = f"""kept AS (SELECT tweet_id, string_agg(w, ' ' ORDER BY n) AS message
     "JOIN scores s ON m.tweet_id = s.id LEFT JOIN kept k ON m.tweet_id = k.tweet_id",
 )
 def tag_vader_bayes(spark: SparkSession, sf: str) -> DataFrame:
-    return _tag(spark, sf, "vader", "bernoulli", stop_words=english_stop_words())
+    return _tag(spark, sf, "vader", "bernoulli", stop_words=ENGLISH_STOP_WORDS)
 
 
 @query("tag_emoji", _tag_sql(EMOJI_TAG, "bl_scores", three("compound")))

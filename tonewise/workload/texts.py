@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import zipfile
-from pathlib import Path
-
-import pyspark
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonewise.functions import emoji as em
 from tonewise.functions import text as tx
+from tonewise.functions.fixed_values import ENGLISH_STOP_WORDS
 from tonewise.operators import rows as rw
 from tonewise.operators.tallies import emoji_counts as count_emoji
 from tonewise.workload import fixtures as fx
@@ -19,15 +15,8 @@ from tonewise.workload import query
 from tonewise.workload.twin import aliased, common, longest_sentence, scorer, stripped
 
 
-def english_stop_words() -> list[str]:
-    """Spark's own English list, read from its jar so that no session is needed."""
-    jar = next(Path(pyspark.__file__).parent.glob("jars/spark-mllib_*.jar"))
-    with zipfile.ZipFile(jar) as archive:
-        return archive.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split()
-
-
 def _stop_list() -> str:
-    return ", ".join("'" + w.replace("'", "''") + "'" for w in english_stop_words())
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH_STOP_WORDS)
 
 
 @query("emoji_to_alias", common() + f"SELECT tweet_id, {aliased('lower(tweetText)')} AS message FROM tweets")
@@ -64,8 +53,7 @@ def space_tokens(spark: SparkSession, sf: str) -> DataFrame:
       WHERE lower(token) NOT IN ({_stop_list()}) GROUP BY tweet_id) k ON t.tweet_id = k.tweet_id""",
 )
 def stopwords(spark: SparkSession, sf: str) -> DataFrame:
-    words = StopWordsRemover.loadDefaultStopWords("english")
-    kept = tx.drop_stop_words(tx.space_tokens(F.col("tweetText")), words)
+    kept = tx.drop_stop_words(tx.space_tokens(F.col("tweetText")), ENGLISH_STOP_WORDS)
     return fx.tweets(spark, sf, wide=True).select("tweet_id", F.array_join(kept, " ").alias("message"))
 
 
