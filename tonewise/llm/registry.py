@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonewise.llm import lm
+from tonewise.llm import lm, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -32,3 +32,9 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", lm.held_out().alias("held_out"))
     model = lm.train(docs.where(~F.col("held_out")))
     return lm.score(docs, model, keep=("doc_id", "held_out"))
+
+
+@query("op3_substring_dedup")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return substrings.dedupe(docs).select("doc_id", "n_words", "n_removed", substrings.kept_digest(F.col("text")).alias("kept_sha256"))
