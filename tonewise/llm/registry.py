@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonewise.llm import lm, substrings
+from tonewise.llm import lm, substrings, subwords
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -38,3 +38,17 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return substrings.dedupe(docs).select("doc_id", "n_words", "n_removed", substrings.kept_digest(F.col("text")).alias("kept_sha256"))
+
+
+@query("op6_toxicity")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", subwords.fold(5, 0).alias("held_out"))
+    model = subwords.toxicity(docs, table(spark, sf, "labels").where(~subwords.fold(5, 0)))
+    return subwords.score(docs, model, 0.5, keep=("doc_id", "held_out"))
+
+
+@query("op7_quality_classifier")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", subwords.fold(4, 2).alias("held_out"))
+    model = subwords.quality(docs, table(spark, sf, "labels").where(~subwords.fold(4, 2)))
+    return subwords.score(docs, model, 0.7, keep=("doc_id", "held_out"))

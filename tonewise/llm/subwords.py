@@ -289,8 +289,8 @@ def fold(modulus: int, remainder: int, doc_id: str = "doc_id") -> F.Column:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Classifier:
-    """Learns ``toxic`` from runs of 24 words in lower case."""
-    return train(*sample(docs, labels, "toxic", text=text, doc_id=doc_id), window=24, lower=True, epochs=8)
+    """Learns ``toxic`` from runs of 3 words in lower case: an insult is a word or two, wherever it stands."""
+    return train(*sample(docs, labels, "toxic", text=text, doc_id=doc_id), window=3, lower=True, epochs=4)
 
 
 def quality(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Classifier:
