@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonewise.llm import lm, substrings, subwords
+from tonewise.llm import jaccard, lm, substrings, subwords
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -52,3 +52,8 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", subwords.fold(4, 2).alias("held_out"))
     model = subwords.quality(docs, table(spark, sf, "labels").where(~subwords.fold(4, 2)))
     return subwords.score(docs, model, 0.7, keep=("doc_id", "held_out"))
+
+
+@query("op10_jaccard_join")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf, "documents"))
