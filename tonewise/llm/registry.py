@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonewise.llm import jaccard, lm, substrings, subwords
+from tonewise.llm import jaccard, lm, mixing, packing, substrings, subwords
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -57,3 +57,15 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_jaccard_join")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.classes(table(spark, sf, "documents"))
+
+
+@query("op1_packing")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(table(spark, sf, "documents"), ids=False)
+
+
+@query("op5_mixing", mixing.ORACLE)
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    mixed = mixing.mix(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
