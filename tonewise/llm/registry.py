@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonewise.llm import jaccard, lm, mixing, packing, substrings, subwords
+from tonewise.llm import ann, jaccard, lm, mixing, packing, rules, substrings, subwords
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -69,3 +69,13 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     mixed = mixing.mix(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@query("op8_quality_rules")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return rules.judge(table(spark, sf, "documents"))
+
+
+@query("op9_nearest_neighbours")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return ann.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)

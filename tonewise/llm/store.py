@@ -77,7 +77,7 @@ def unpack(table: pa.Table, name: str, dtype: str) -> np.ndarray:
 class Writer:
     """Collects keyed values of one task and sends them, reduced, as packed rows."""
 
-    def __init__(self, fields: dict[str, str], how: dict[str, str], bits: int, limit: int = 3_000_000):
+    def __init__(self, fields: dict[str, str], how: dict[str, str], bits: int, limit: int = 1_000_000):
         self.fields, self.how, self.bits, self.limit = fields, how, bits, limit
         self.parts: list[tuple[np.ndarray, dict[str, np.ndarray]]] = []
         self.held = 0

@@ -264,7 +264,7 @@ def repeats(docs: DataFrame, text: str, doc_id: str, window: int) -> tuple[str,
                 masks.append(mask - (1 << 64) if mask >> 63 else mask)
         return pa.table({"context": pa.array(keys, pa.int64()), "mask": pa.array(masks, pa.int64())})
 
-    shards = F.pmod(F.xxhash64("anchor"), F.lit(1 << bits)).cast("int")
+    shards = F.pmod(F.xxhash64("anchor"), F.lit(4 << bits)).cast("int")
     marked = found.where("words is not null").withColumn("shard", shards).groupBy("shard").applyInArrow(marks, "context long, mask long")
     early = found.where("words is null").groupBy("context").agg(F.min("id").alias("low"))
 

@@ -35,8 +35,8 @@ BUCKETS = 1 << 18
 NGRAMS = (3, 4, 5)
 DIMENSIONS = 8
 #: Bounds of the training sample.
-ROWS = 12_000
-BYTES = 48 << 20
+ROWS = 8_000
+BYTES = 24 << 20
 
 _U64 = np.uint64
 #: Buckets that fewer training texts than this hold keep the weight 0.
@@ -122,7 +122,7 @@ def _runs(bounds: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(first, counts) + inside // window, np.repeat(np.arange(rows), runs)
 
 
-def train(texts: list[str | None], labels: list[int], window: int = 0, lower: bool = False, patterns: bool = False,
+def train(texts: pa.Array | pa.ChunkedArray, labels: np.ndarray, window: int = 0, lower: bool = False, patterns: bool = False,
           epochs: int = 6, batch: int = 64, rate: float = 0.3, seed: int = 7) -> Classifier:
     """Learn from texts with labels 0 and 1."""
     y = np.asarray(labels, np.int64)
@@ -212,33 +212,30 @@ def _frequent(words: np.ndarray, bounds: np.ndarray, sub: np.ndarray, ptr: np.nd
     return seen >= LEAST_TEXTS
 
 
-def _vocabulary(texts: list[str | None], lower: bool, patterns: bool) -> tuple[np.ndarray, ...]:
+def _vocabulary(texts: pa.Array | pa.ChunkedArray, lower: bool, patterns: bool) -> tuple[np.ndarray, ...]:
     """Word numbers of all texts with row bounds, the buckets of each distinct word, and patterns."""
-    hashes, counts, pats, known, lists = [], [], [], [], []
-    for chunk in chunks(pa.array(texts, pa.large_string()), lower=lower):
-        distinct, first = np.unique(chunk.hashes, return_index=True)
-        ids, owners = subword_ids(chunk, first)
+    known, numbers = np.zeros(0, _U64), np.zeros(0, np.int32)  # sorted hashes and their word numbers
+    words, counts, pats, subs, sizes = [], [], [], [], []
+    for chunk in chunks(texts, lower=lower):
+        distinct, first, back = np.unique(chunk.hashes, return_index=True, return_inverse=True)
+        at = np.searchsorted(known, distinct)
+        new = np.flatnonzero(known[np.minimum(at, len(known) - 1)] != distinct) if len(known) else np.arange(len(distinct))
+        ids, owners = subword_ids(chunk, first[new])
         order = np.argsort(owners, kind="stable")
-        known.append(distinct)
-        lists.append((ids[order], np.bincount(owners, minlength=len(distinct))))
-        hashes.append(chunk.hashes)
+        subs.append(ids[order])
+        sizes.append(np.bincount(owners, minlength=len(new)))
+        numbers = np.insert(numbers, at[new], np.arange(len(known), len(known) + len(new), dtype=np.int32))
+        known = np.insert(known, at[new], distinct[new])
+        words.append(numbers[np.searchsorted(known, distinct)][back])
         counts.append(chunk.counts)
         if patterns:
             pats.append(pattern_ids(chunk).astype(np.int8))
-    every = np.concatenate(known)
-    vocabulary, pick = np.unique(every, return_index=True)
-    size = np.concatenate([n for _, n in lists])
-    start = np.cumsum(size) - size
-    ids = np.concatenate([i for i, _ in lists])
-    size, start = size[pick], start[pick]
-    ptr = np.concatenate([[0], np.cumsum(size)])
-    sub = ids[np.repeat(start - ptr[:-1], size) + np.arange(int(ptr[-1]))]
-    words = np.searchsorted(vocabulary, np.concatenate(hashes)).astype(np.int32)
     bounds = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
-    return words, bounds, sub, ptr, np.concatenate(pats) if patterns else np.zeros(0, np.int8)
+    ptr = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+    return np.concatenate(words), bounds, np.concatenate(subs), ptr, np.concatenate(pats) if patterns else np.zeros(0, np.int8)
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = ROWS, size: int = BYTES, text: str = "text", doc_id: str = "doc_id") -> tuple[list, list]:
+def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = ROWS, size: int = BYTES, text: str = "text", doc_id: str = "doc_id") -> tuple[pa.ChunkedArray, np.ndarray]:
     """Texts and labels of the training rows; ``labels`` holds the ids that may be learned from.
 
     Rows with a null id or label are left out; of several labels of one id the largest counts.
@@ -257,8 +254,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = ROWS, siz
     share = min(1.0, size / max(held["b"] or 0, 1), 2 * rows / max(held["n"], 1))
     if share < 1:
         stored = stored.where(F.pmod(F.xxhash64("_id", F.lit(13)), F.lit(1 << 30)) < int((1 << 30) * share))
-    got = sorted(((r["_id"], r["_text"] or "", r["_label"]) for r in stored.toLocalIterator()))
-    return [t for _, t, _ in got], [y for _, _, y in got]
+    got = stored.toArrow().sort_by([("_id", "ascending"), ("_label", "ascending"), ("_text", "ascending")])
+    return got.column("_text"), got.column("_label").to_numpy()
 
 
 def score(docs: DataFrame, model: Classifier, threshold: float, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
