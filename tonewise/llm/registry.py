@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonewise.llm import ann, jaccard, lm, mixing, packing, rules, substrings, subwords
+from tonewise.llm import ann, extract, jaccard, lm, mixing, packing, rules, substrings, subwords
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -79,3 +79,9 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_nearest_neighbours")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return ann.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op4_html_extraction")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    found = extract.extract(table(spark, sf, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -3,7 +3,8 @@
 Every text is hashed once; the hashes of n consecutive words come from differences of running sums.
 Within a text, an n-gram or a line that equals an earlier one is a repetition, and the characters of
 all repeated n-grams of one length are measured against the characters of all words. A text stays
-if no length and not the lines exceed their share. All work is local to a row.
+if neither any length nor the lines exceed their share and it has at most one symbol in ten words.
+All work is local to a row.
 
 Null and empty texts have no words and fail. Rows that share an id are judged each for itself.
 """
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 from tonewise.llm.words import _BASE, _BYTE, Chunk, chunks, grams, inside, mix, powers
 
 #: Largest share of characters in repeated n-grams, by n.
-SHARES = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
+SHARES = {5: 0.25, 6: 0.24, 7: 0.23, 8: 0.22, 9: 0.21, 10: 0.20}
 LINE_SHARE = 0.30
+#: Most symbols for each ten words.
+SYMBOLS = 1
 LEAST_WORDS = 50
 MOST_REPEAT_PERCENT = 50
 
@@ -93,7 +96,7 @@ def measures(chunk: Chunk) -> dict[str, np.ndarray]:
     out["n_repeat_words"] = _sums(_covered(at[several], 3, len(chunk.hashes)), chunk.bounds)
     failed = (n_words < LEAST_WORDS) | (100 * out["n_repeat_words"] > MOST_REPEAT_PERCENT * n_words)
     of = np.maximum(word_chars, 1)
-    kept = ~failed & (line_chars <= LINE_SHARE * of)
+    kept = ~failed & (line_chars <= LINE_SHARE * of) & (10 * out["n_symbols"] <= SYMBOLS * n_words)
     out["dup_line_share"] = line_chars / of
     for n, most in SHARES.items():
         at = inside(chunk.bounds, n)
