@@ -264,13 +264,13 @@ def score(docs: DataFrame, model: Classifier, threshold: float, text: str = "tex
     Null and empty texts get the score of no evidence. Columns named score and predicted are replaced.
     """
     keep = tuple(k for k in keep if k not in ("score", "predicted"))
-    rows = docs.select(*keep, F.col(text).alias("_scored_text"))
-    width, shared = len(keep), docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).alias("_scored_text"))
+    width, at, shared = len(keep), rows.columns.index(text if text in keep else "_scored_text"), docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for chunk in chunks(batch.column(width), lower=model.lower):
+            for chunk in chunks(batch.column(at), lower=model.lower):
                 got = 1 / (1 + np.exp(-np.clip(model.logits(chunk), -500, 500)))
                 part = batch.slice(chunk.first, chunk.rows)
                 verdict = pa.array((got >= threshold).astype(np.int32))
