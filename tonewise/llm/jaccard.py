@@ -3,9 +3,11 @@
 1. Every text becomes its set of distinct shingles. Texts with one set are one class, represented by
    the smallest id; only representatives go on, so thousands of copies cost one.
 2. Two linked sets differ in at most D shingles. Each set is dealt by hash into a few more than D
-   parts; then at least one part that is not empty is the same in both. Equal parts connect their
-   owners to the smallest of them. Sets whose parts are too often empty also offer the smallest
-   hashes of their shingles, which two linked sets share. So no link crosses the connected
+   parts; then at least one part that is not empty is the same in both. Shingles that many texts of
+   a task hold are left out of the parts of sets that have enough others (which ones are left out
+   has no influence on the result), so a passage in every third text does not connect them. Equal
+   parts connect their owners to the smallest of them. Sets whose parts are too often empty also
+   offer the smallest hashes of their shingles, which two linked sets share. So no link crosses the connected
    components of this candidate graph, and most texts are in none.
 3. Each component goes to one task, which bulk-loads a signature tree (a node holds the OR of the
    token bitmaps below it, the range of sizes and the least number of bits) and traverses it against
@@ -30,10 +32,13 @@ from pyspark.sql import functions as F
 
 from tonewise.llm import store
 from tonewise.llm.graph import components
-from tonewise.llm.words import Chunk, chunks, grams, inside, mix
+from tonewise.llm.words import Chunk, chunks, grams, inside, mix, unmix
 
 #: Shingles that one tree takes; larger candidate components are dealt into blocks.
 BLOCK = 4_000_000
+#: A shingle is common if, among about a million shingles of one task, so many texts and this share of them hold it.
+COMMON_TEXTS = 8
+COMMON_SHARE = 0.01
 PIVOTS = 16
 FANOUT = 8
 
@@ -84,45 +89,81 @@ class Parts:
         """The most shingles in which linked sets of these summed sizes can differ."""
         return (self.den - self.num) * both // (self.den + self.num)
 
-    def keys(self, values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of all rows and the row of each; linked rows with different sets share a key."""
+    def keys(self, values: np.ndarray, bounds: np.ndarray, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of all rows and the row of each; linked rows with different sets share a key.
+
+        ``common`` marks shingles that very many texts hold. Leaving them out of both sets of a pair
+        does not make the pair differ in more, so parts are first made of the others; rows for which
+        those are too few also offer parts of all their shingles, and if need be their first ones.
+        """
         sizes = np.diff(bounds)
+        if common is None or not common.any():
+            keys, owners, lacking = self._parts(values, bounds, sizes, np.ones(len(sizes), bool), 1)
+            found = [(keys, owners)]
+        else:
+            rare = np.concatenate([[0], np.cumsum(~common)])
+            keys, owners, lacking = self._parts(values[~common], rare[bounds], sizes, np.ones(len(sizes), bool), 1)
+            found = [(keys, owners)]
+            keys, owners, lacking = self._parts(values, bounds, sizes, lacking, 2)
+            found.append((keys, owners))
+        for row in np.flatnonzero(lacking):
+            n = int(sizes[row])
+            prefix = n + (-self.num * n) // self.den + 1  # n - ceil(similarity * n) + 1
+            found.append((mix(values[bounds[row] : bounds[row] + prefix] + _U64(43)), np.full(prefix, row)))
+        return np.concatenate([k for k, _ in found]), np.concatenate([o for _, o in found])
+
+    def _parts(self, values: np.ndarray, bounds: np.ndarray, sizes: np.ndarray, of: np.ndarray, space: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of the parts of the rows ``of``, their owners, and the rows whose filled parts are too few."""
         kind = np.searchsorted(self.edges, sizes, side="right") - 1
         largest = sizes * self.den // self.num
+        held = np.diff(bounds)
         lacking = np.zeros(len(sizes), bool)
-        keys, owners = [], []
+        keys, owners = [np.zeros(0, _U64)], [np.zeros(0, np.int64)]
         for ahead in (0, 1):
             to = kind + ahead
             limit = self.edges[np.minimum(to + 1, len(self.edges) - 1)] - 1
             differ = self.differ(sizes + np.minimum(limit, largest))
-            rows = np.flatnonzero((sizes > 0) & (differ > 0) & ((ahead == 0) | (largest >= self.edges[to])))
+            rows = np.flatnonzero(of & (sizes > 0) & (differ > 0) & ((ahead == 0) | (largest >= self.edges[to])))
             if not len(rows):
                 continue
             count = self.parts[to[rows]]
             first = np.cumsum(count) - count
-            size = sizes[rows]
+            size = held[rows]
             flat = np.repeat(bounds[rows] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
             part = ((values[flat] >> _U64(33)) * np.repeat(count, size).astype(_U64)) >> _U64(31)
             part = part.astype(np.int64) + np.repeat(first, size)
             sums = np.zeros(int(count.sum()), _U64)
             np.add.at(sums, part, mix(values[flat] + _U64(29)))
-            filled = np.bincount(part, minlength=len(sums))
+            use = np.bincount(part, minlength=len(sums)) > 0
             owner = np.repeat(rows, count)
             place = np.arange(len(sums)) - np.repeat(first, count)
-            name = mix((np.repeat(to[rows], count).astype(_U64) << _U64(40)) + place.astype(_U64) + _U64(1))
-            use = filled > 0
+            name = mix((np.repeat(to[rows], count).astype(_U64) << _U64(40)) + (place.astype(_U64) << _U64(2)) + _U64(space))
             keys.append(mix(sums + name)[use])
             owners.append(owner[use])
-            full = np.bincount(owner[use], minlength=len(sizes))
-            lacking[rows] |= full[rows] <= differ[rows]
-        for row in np.flatnonzero(lacking):
-            n = int(sizes[row])
-            prefix = n + (-self.num * n) // self.den + 1  # n - ceil(similarity * n) + 1
-            keys.append(mix(values[bounds[row] : bounds[row] + prefix] + _U64(43)))
-            owners.append(np.full(len(keys[-1]), row))
-        if not keys:
-            return np.zeros(0, _U64), np.zeros(0, np.int64)
-        return np.concatenate(keys), np.concatenate(owners)
+            filled = np.bincount(owner[use], minlength=len(sizes))
+            lacking[rows] |= filled[rows] <= differ[rows]
+        return np.concatenate(keys), np.concatenate(owners), lacking
+
+
+class Common:
+    """Collects shingles that a noticeable share of a task's texts hold."""
+
+    def __init__(self) -> None:
+        self.values: list[np.ndarray] = []
+        self.texts = self.held = 0
+
+    def add(self, values: np.ndarray, texts: int) -> np.ndarray:
+        self.values.append(values)
+        self.texts += texts
+        self.held += len(values)
+        return self.found() if self.held > 1_000_000 else values[:0]
+
+    def found(self) -> np.ndarray:
+        values = np.sort(np.concatenate([np.zeros(0, _U64), *self.values]))
+        least = max(COMMON_TEXTS, int(self.texts * COMMON_SHARE))
+        self.values, self.texts, self.held = [], 0, 0
+        at = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+        return values[at[np.diff(np.append(at, len(values))) >= least]]
 
 
 def _stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -256,6 +297,19 @@ def linked(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> np.nd
 
 
 MEMBER = {"group": "i8"}
+SIEVE = 1 << 22
+_sieves: dict[str, np.ndarray] = {}
+
+
+def _sieve(folder: str, bits: int) -> np.ndarray:
+    """Which lower bits some common shingle has; most other shingles need no further look."""
+    if folder not in _sieves:
+        _sieves.clear()
+        _sieves[folder] = np.zeros(SIEVE, bool)
+        for shard in range(1 << bits):
+            keys = store.mapped(folder, "common", shard, {"key": "u8", **MEMBER})["key"]
+            _sieves[folder][(unmix(np.asarray(keys)) & _U64(SIEVE - 1)).astype(np.int64)] = True
+    return _sieves[folder]
 
 
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = 4, num: int = 85, den: int = 100, block: int = BLOCK) -> DataFrame:
@@ -266,14 +320,24 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int
     parts = Parts(num, den)
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Size and hash of each set; a size of -1 marks a common shingle."""
+        common, names = Common(), ["id", "n", "set_key"]
+
+        def listed(values: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.nulls(len(values), pa.int64()), pa.array(np.full(len(values), -1)), pa.array(values.view("i8"))], names)
+
         for batch in batches:
             for chunk in chunks(batch.column(1), lower=True):
                 values, bounds = shingle_sets(chunk, n)
                 ids = batch.column(0).slice(chunk.first, chunk.rows)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(bounds), pa.int64()), pa.array(set_keys(values, bounds).view("i8"))], ["id", "n", "set_key"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(bounds), pa.int64()), pa.array(set_keys(values, bounds).view("i8"))], names)
+                yield listed(common.add(values, chunk.rows))
+        yield listed(common.found())
 
     docs.mapInArrow(digests, "id long, n long, set_key long").write.parquet(f"{folder}/digests")
     digest = spark.read.schema("id long, n long, set_key long").parquet(f"{folder}/digests")
+    common = digest.where("n = -1").select("set_key").distinct()
+    digest = digest.where("n >= 0")
     distinct = digest.where("n > 0 and id is not null").groupBy("set_key", "n").agg(F.min("id").alias("id"))
     distinct.write.parquet(f"{folder}/distinct")
     distinct = spark.read.schema("set_key long, n long, id long").parquet(f"{folder}/distinct")
@@ -291,6 +355,13 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int
         store.build(rows.mapInArrow(members, store.schema(MEMBER)), folder, name, MEMBER, {"group": "min"})
 
     save(distinct.select("set_key", "id"), "first")
+    save(common.select(F.col("set_key"), F.lit(0).cast("long")), "common")
+
+    def is_common(values: np.ndarray) -> np.ndarray:
+        maybe = np.flatnonzero(_sieve(folder, bits)[(values & _U64(SIEVE - 1)).astype(np.int64)])
+        out = np.zeros(len(values), bool)
+        out[maybe] = store.lookup(folder, "common", bits, mix(values[maybe]), {}, {})["found"]
+        return out
 
     def sets_of(batch: pa.RecordBatch, name: str, by_set: bool) -> Iterator[tuple]:
         """(ids, groups, values, bounds) of the rows that the array ``name`` lists."""
@@ -328,7 +399,7 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int
 
         for batch in batches:
             for ids, _, values, bounds in sets_of(batch, "", True):
-                keys, owners = parts.keys(values, bounds)
+                keys, owners = parts.keys(values, bounds, is_common(values))
                 held.append((keys, ids[owners]))
                 if sum(len(k) for k, _ in held) > 3_000_000:
                     yield flush()

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from tonewise.llm.store import new_folder
 
@@ -101,7 +102,7 @@ def mix(sized: DataFrame, size: str = "size", source: str = "source", doc_id: st
             columns = [*batch.columns, pa.array(places), pa.array(np.full(len(index), part), pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, [*names, "_place", "_partition"])
 
-    kinds = ", ".join(f"`{k}` {sized.schema[k].dataType.simpleString()}" for k in names) + ", _place long, _partition int"
+    kinds = StructType([*sized.schema.fields, StructField("_place", LongType()), StructField("_partition", IntegerType())])
     ordered.mapInArrow(number, kinds).write.parquet(f"{folder}/ordered")
     placed = spark.read.schema(kinds).parquet(f"{folder}/ordered")
     counts = placed.groupBy(F.col(source).alias("_source"), "_partition").agg(F.count("*").alias("n"), F.sum(size).alias("words"))

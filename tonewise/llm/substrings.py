@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tonewise.llm import store
 from tonewise.llm.words import Chunk, chunks, grams, inside, mix
@@ -346,8 +347,7 @@ def dedupe(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window:
                 columns += [pa.array(chunk.counts, pa.int64()), pa.array(lost, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, [*names, "n_words", "n_removed"])
 
-    kinds = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
-    return docs.mapInArrow(cut, f"{kinds}, n_words long, n_removed long")
+    return docs.mapInArrow(cut, StructType([*docs.schema.fields, StructField("n_words", LongType()), StructField("n_removed", LongType())]))
 
 
 def _cut_rows(chunk: Chunk, gone: np.ndarray, lost: np.ndarray, texts: pa.Array) -> Iterator[str | None]:

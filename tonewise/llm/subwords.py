@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from tonewise.llm.store import new_folder
 from tonewise.llm.words import _BYTE, Chunk, chunks, mix, powers
@@ -276,8 +277,8 @@ def score(docs: DataFrame, model: Classifier, threshold: float, text: str = "tex
                 verdict = pa.array((got >= threshold).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([*part.columns[:width], pa.array(got), verdict], [*keep, "score", "predicted"])
 
-    kinds = "".join(f"`{k}` {rows.schema[k].dataType.simpleString()}, " for k in keep)
-    return rows.mapInArrow(run, kinds + "score double, predicted int")
+    kinds = [rows.schema[k] for k in keep]
+    return rows.mapInArrow(run, StructType([*kinds, StructField("score", DoubleType()), StructField("predicted", IntegerType())]))
 
 
 def fold(modulus: int, remainder: int, doc_id: str = "doc_id") -> F.Column:

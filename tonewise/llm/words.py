@@ -57,6 +57,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U64(31))
 
 
+def unmix(x: np.ndarray) -> np.ndarray:
+    """The value that ``mix`` turned into this one."""
+    x = x ^ (x >> _U64(31)) ^ (x >> _U64(62))
+    x = x * _U64(pow(0x94D049BB133111EB, -1, 1 << 64))
+    x = x ^ (x >> _U64(27)) ^ (x >> _U64(54))
+    x = x * _U64(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
+    return x ^ (x >> _U64(30)) ^ (x >> _U64(60))
+
+
 @dataclass
 class Chunk:
     """Consecutive rows of a batch: their text bytes, and their words as byte ranges and hashes."""
