@@ -163,7 +163,8 @@ def repeated(streams: list[list[str]], run: int = RUN, least_pages: int = LEAST_
     pages = np.bincount(held, minlength=int(rank.max()) + 1 if n else 0)
     often = pages >= max(least_pages, int(np.ceil(least_share * len(streams))))
     edge = np.zeros(n + 1 + run, np.int64)
-    starts = np.flatnonzero(often[rank]) if n else np.zeros(0, np.int64)
+    ends = np.repeat(np.cumsum(page_of) - 1, page_of)  # of each token's page
+    starts = np.flatnonzero(often[rank] & (np.arange(n) + run <= ends)) if n else np.zeros(0, np.int64)
     np.add.at(edge, starts, 1)
     np.add.at(edge, starts + run, -1)
     covered = np.cumsum(edge)[:n] > 0
