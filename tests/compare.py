@@ -50,7 +50,9 @@ def compare(spark, con, name: str, sf: str) -> tuple[str, int, float, float]:
     kinds = {d[0]: str(d[1]) for d in cursor.description}
     want = rows_of([d[0] for d in cursor.description], cursor.fetchall())
     twin = time.time() - started
-    if got == want:
+    same = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "float": "FLOAT", "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP", "date": "DATE"}
+    typed = all(same.get(kind, kinds.get(name)) == kinds.get(name) for name, kind in frame.dtypes)
+    if got == want and typed:
         return "ok", len(got[1]), spent, twin
     detail = f"columns {got[0]} / {want[0]}; rows {len(got[1])} / {len(want[1])}; {dict(frame.dtypes)} / {kinds}"
     extra = [r for r in got[1] if r not in set(want[1])][:3]

@@ -89,7 +89,7 @@ def _codes(spark, rows):
     )
 
 
-def test_live_tally_restarts_and_drops_late_rows(spark):
+def test_live_tally_restarts_and_counts_late_rows(spark):
     source, out, mark = (scratch_dir(spark, label) for label in ("source", "tally", "mark"))
 
     def feed(rows):
@@ -101,11 +101,71 @@ def test_live_tally_restarts_and_drops_late_rows(spark):
     feed([("a", 100, 4), ("a", 101, 0), ("b", 102, 2)])
     feed([("a", 103, 3), ("a", 200, 1)])
     feed([("a", 101, 4), ("a", 201, 1)])
-    got = {
-        (r.topic_id, int(r.window_start.timestamp())): (r.positive, r.negative, r.neutral)
-        for r in live.current_tally(tables.read_table(spark, out)).collect()
-    }
-    assert got == {("a", 100): (2, 1, 0), ("b", 100): (0, 0, 1), ("a", 200): (0, 2, 0)}
+
+    def current():
+        rows = live.current_tally(tables.read_table(spark, out)).collect()
+        return {(r.topic_id, int(r.window_start.timestamp())): (r.positive, r.negative, r.neutral) for r in rows}
+
+    want = {("a", 100): (3, 1, 0), ("b", 100): (0, 0, 1), ("a", 200): (0, 2, 0)}
+    assert current() == want
+    live.fold_tally(spark, out)
+    live.fold_tally(spark, out)
+    assert current() == want
+    feed([("b", 100, 4)])
+    want["b", 100] = (1, 0, 1)
+    assert current() == want
+    live.fold_tally(spark, out)
+    assert current() == want
+
+
+def _ingest(spark, source, tweets, sent, mark):
+    pickups = spark.createDataFrame([("t1", ["good day"]), ("t2", ["happy"])], "id string, topics array<string>")
+    aliases = fx.aliases(spark)
+    stream = live.open_stream(spark, "parquet", source, "value string, lang string")
+    live.stream_ingest(stream, pickups, aliases, ["en", "fr"], tweets, sent, mark, once=True).awaitTermination()
+
+
+def _statuses(spark, rows, source):
+    lines = [(f'{{"id":{i},"createdAt":{t},"text":"{text}","user":{{"id":1,"name":"n","followersCount":1}}}}', lang) for i, t, text, lang in rows]
+    spark.createDataFrame(lines, "value string, lang string").coalesce(1).write.mode("append").parquet(source)
+
+
+@pytest.mark.parametrize("limit", [200_000, 1])
+def test_ingest_keeps_old_statuses_and_drops_repeats_in_any_batch(spark, monkeypatch, limit):
+    from tonewise.operators import joins
+
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", limit)
+    source, tweets, sent, mark = (scratch_dir(spark, x) for x in ("statuses", "tweets", "sent", "mark"))
+    day = 86_400_000
+    for rows in (
+        [(1, 9 * day, "a good day", "en"), (2, 9 * day, "so happy", "fr")],
+        [(1, 9 * day, "a good day", "en"), (3, 5 * day, "happy good day", "en")],
+        [(4, day, "day is good", "en"), (2, 9 * day, "so happy", "fr"), (5, day, "nothing", "en")],
+    ):
+        _statuses(spark, rows, source)
+        _ingest(spark, source, tweets, sent, mark)
+    got = sorted((r.tweet_id, r.topic) for r in tables.read_table(spark, tweets).collect())
+    assert got == [(1, "t1"), (2, "t2"), (3, "t1"), (3, "t2"), (4, "t1")]
+
+
+def test_batch_that_runs_again_repeats_nothing_downstream(spark):
+    from pathlib import Path
+
+    source, tweets, sent, mark, scored, scored_mark = (scratch_dir(spark, x) for x in ("statuses", "tweets", "sent", "mark", "scored", "mark2"))
+    lexicons = fx.lexicons(spark)
+
+    def downstream():
+        live.stream_score(live.open_stream(spark, "parquet", sent, MESSAGE), lexicons, scored, scored_mark, once=True).awaitTermination()
+        return tables.read_table(spark, scored).count()
+
+    _statuses(spark, [(1, 1000, "a good day", "en"), (2, 1000, "so happy", "fr")], source)
+    _ingest(spark, source, tweets, sent, mark)
+    assert downstream() == 2
+    for commit in Path(mark, "commits").iterdir():  # as if the driver had died before it noted the batch
+        commit.unlink()
+    _ingest(spark, source, tweets, sent, mark)
+    assert tables.read_table(spark, tweets).count() == 2
+    assert downstream() == 2
 
 
 def test_scored_stream_restarts_without_repeats(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +102,54 @@ def test_upsert_twice_changes_nothing(spark):
     assert _rows(once.select("id", "state")) == _rows(rows.upsert_rows(once, updates).select("id", "state"))
 
 
+def test_upsert_takes_the_last_update_or_refuses(spark):
+    target = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    updates = spark.createDataFrame([(1, "old", 1), (1, "new", 2), (9, "x", 1)], "id int, v string, at int")
+    assert _rows(rows.upsert_rows(target, updates, order="at")) == _rows(spark.createDataFrame([(1, "new"), (2, "b")], "id int, v string"))
+    with pytest.raises(Exception, match="several updates"):
+        rows.upsert_rows(target, updates).collect()
+
+
+def test_neighbouring_seeds_split_differently(spark):
+    ids = spark.range(4000).withColumnRenamed("id", "tweet_id")
+    both = splits.split_random(ids, WEIGHTS, seed=42).join(splits.split_random(ids, WEIGHTS, seed=43).withColumnRenamed("split", "other"), "tweet_id")
+    assert both.where("split <> other").count() > 4000 / 3
+
+
+@pytest.mark.parametrize("limit", [200_000, 1])
+def test_topics_of_rows_that_share_an_id(spark, monkeypatch, limit):
+    from tonewise.operators import joins
+
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", limit)
+    tweets = spark.createDataFrame([(1, "a good day", "en"), (1, "a good day", "fr"), (2, "happy night", "en")], "tweet_id long, tweetText string, lenguage string")
+    pickups = spark.createDataFrame([("t1", ["good day"]), ("t2", ["happy", "night happy"])], "id string, topics array<string>")
+    got = sorted((r.tweet_id, r.lenguage, r.topic) for r in rows.track_topics(tweets, pickups).collect())
+    assert got == [(1, "en", "t1"), (1, "fr", "t1"), (2, "en", "t2")]
+
+
+def test_emoji_sequences_of_a_large_table(spark):
+    from tonewise.functions import emoji as em
+
+    points = [chr(0x1F300 + i) for i in range(700)]
+    names = {p: f":p{i}:" for i, p in enumerate(points) if i % 5}
+    names |= {points[i] + "\u200d" + points[j]: f":s{i}x{j}:" for i in range(0, 300) for j in (7, 9, 11)}
+    names |= {points[3] + "\u200d" + points[7] + "\u200d" + points[1]: ":long:", "+\ufe0f": ":plus:", "a.": ":dot:"}
+    aliases = em.EmojiAliases(names)
+    rng = random.Random(2)
+    pieces = [*rng.sample(sorted(names), 300), "x", " ", points[0], points[5], "ab", "\u200d", "+", points[3] + "\u200d"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    got = frame.select("t", em.emoji_to_alias(t, aliases), em.strip_emoji(t, aliases), em.has_emoji(t, aliases)).collect()
+    longest = max(map(len, names))
+    for text, aliased, stripped, has in got:
+        i, a, s = 0, "", ""
+        while i < len(text):
+            hit = next((text[i : i + n] for n in range(longest, 0, -1) if text[i : i + n] in names), None)
+            a, s, i = (a + names[hit], s, i + len(hit)) if hit else (a + text[i], s + text[i], i + 1)
+        assert (aliased, stripped, has) == (a, s, a != text)
+
+
 def test_subtract_keeps_left_repeats_and_nulls(spark):
     left = spark.createDataFrame([(1, None), (1, None), (2, "b"), (3, "c")], "a int, b string")
     right = spark.createDataFrame([(2, "b"), (2, "b"), (9, None)], "a int, b string")

@@ -7,12 +7,15 @@ standard; ``load_aliases`` refuses a table beyond that size, so holding it in th
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_ALIASES = 20_000
+#: First code points that one look ahead covers.
+BLOCK = 16
 
 
 @dataclass(frozen=True)
@@ -23,17 +26,48 @@ class EmojiAliases:
 
     @property
     def pattern(self) -> str:
-        """Longest sequence first, behind a cheap look at the next code point."""
-        firsts = sorted({ord(e[0]) for e in self.names})
-        spans: list[list[int]] = []
-        for point in firsts:
-            if spans and point == spans[-1][1] + 1:
-                spans[-1][1] = point
-            else:
-                spans.append([point, point])
-        ranges = "".join(f"\\x{{{low:X}}}-\\x{{{high:X}}}" for low, high in spans)
-        sequences = sorted(self.names, key=lambda e: (-len(e), e))
-        return f"(?=[{ranges}])(?:{'|'.join(re.escape(e) for e in sequences)})"
+        """Longest sequence first, behind a cheap look at the next code point.
+
+        Sequences are grouped by their first code point, and groups in blocks with a look at the
+        block's code points, so a match tries a few dozen branches however many aliases there are.
+        """
+        groups: dict[str, list[str]] = {}
+        for name in self.names:
+            groups.setdefault(name[0], []).append(name[1:])
+        firsts = sorted(groups)
+        single = [f for f in firsts if groups[f] == [""]]
+        longer = [f for f in firsts if groups[f] != [""]]
+        blocks = [longer[i : i + BLOCK] for i in range(0, len(longer), BLOCK)]
+        branches = [f"(?=[{_ranges(block)}])(?:{'|'.join(_branch(f, groups[f]) for f in block)})" for block in blocks]
+        if single:
+            branches.append(f"[{_ranges(single)}]")
+        return f"(?=[{_ranges(firsts)}])(?:{'|'.join(branches)})"
+
+    def alias(self, emoji: Column) -> Column:
+        """The alias of an emoji; the names lie in many small maps, found by a hash of the emoji."""
+        size = max(1, len(self.names) // 8)
+        buckets: list[dict[str, str]] = [{} for _ in range(size)]
+        for name, alias in self.names.items():
+            buckets[zlib.crc32(name.encode()) % size][name] = alias
+        maps = [F.create_map(*[F.lit(part) for pair in (held or {"": ""}).items() for part in pair]) for held in buckets]
+        return F.get(F.array(*maps), (F.crc32(emoji.cast("binary")) % size).cast("int"))[emoji]
+
+
+def _ranges(points: list[str]) -> str:
+    """Code points in order as the inside of a character class."""
+    spans: list[list[int]] = []
+    for point in map(ord, points):
+        if spans and point == spans[-1][1] + 1:
+            spans[-1][1] = point
+        else:
+            spans.append([point, point])
+    return "".join(f"\\x{{{low:X}}}-\\x{{{high:X}}}" for low, high in spans)
+
+
+def _branch(first: str, rests: list[str]) -> str:
+    """A first code point and what may follow it, longest first."""
+    followed = "|".join(re.escape(r) for r in sorted((r for r in rests if r), key=lambda r: (-len(r), r)))
+    return re.escape(first) + (f"(?:{followed})" if "" not in rests else f"(?:{followed})?")
 
 
 def load_aliases(table: DataFrame) -> EmojiAliases:
@@ -62,9 +96,7 @@ def emoji_to_alias(text: Column, aliases: EmojiAliases) -> Column:
     The text is cut at the emoji and put together again with the looked-up names in between; a
     text without emoji is returned untouched.
     """
-    pairs = [F.lit(part) for pair in aliases.names.items() for part in pair]
-    names = F.create_map(*pairs)
     between = F.split(text, aliases.pattern, -1)
-    found = F.transform(extract_emoji(text, aliases), lambda e: names[e])
+    found = F.transform(extract_emoji(text, aliases), aliases.alias)
     rebuilt = F.array_join(F.flatten(F.zip_with(between, found, lambda s, a: F.array(s, F.coalesce(a, F.lit(""))))), "")
     return F.when(has_emoji(text, aliases), rebuilt).otherwise(text)

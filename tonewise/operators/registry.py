@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonewise.operators.joins import Lookup, lookup, measure
+from tonewise.operators.joins import lookup, measure
 from tonewise.operators.rows import latest_by, upsert_rows
 
 # Parameters each model kind stores, with the type they are read as.
@@ -30,6 +30,10 @@ KIND_PARAMETERS: Mapping[str, Mapping[str, str]] = {
 }
 
 
+# The states of a run in the order of its life.
+RUN_STATES = ("created", "trained", "runned")
+
+
 def _types() -> dict[str, str]:
     return {name: kind for group in KIND_PARAMETERS.values() for name, kind in group.items()}
 
@@ -101,8 +105,8 @@ def judge_actions(actions: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("asked_at", "seq")).alias("first_train"))
         .withColumnRenamed("run", "trained_run")
     )
-    # One row per run: it grows with the data, so it always takes the salted way.
-    judged = lookup(actions, "run", Lookup(first, "trained_run", small=False))
+    # One row per run: it grows with the data, so it is measured, and salted when it is large.
+    judged = lookup(actions, "run", measure(first, "trained_run"))
     ready = F.coalesce(F.col("first_train") < F.struct("asked_at", "seq"), F.lit(False))
     return judged.select(
         "run", "action", "asked_at", "seq", ((F.col("action") != "evaluate") | ready).alias("accepted")
@@ -128,8 +132,9 @@ def run_states(actions: DataFrame) -> DataFrame:
 
 
 def latest_states(executions: DataFrame) -> DataFrame:
-    """Current row per run from an append-only execution log."""
-    return latest_by(executions, ["id"], "dateExecution", "status")
+    """Current row per run from an append-only execution log; on a tie the state later in a run's life."""
+    stage = F.coalesce(F.array_position(F.array(*map(F.lit, RUN_STATES)), F.col("status")), F.lit(0))
+    return latest_by(executions.withColumn("_stage", stage), ["id"], "dateExecution", "_stage").drop("_stage")
 
 
 def run_report(executions: DataFrame, models: DataFrame, aggs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tonewise import schemas
 from tonewise.functions.emoji import EmojiAliases, has_emoji
 from tonewise.functions.text import hashtags
-from tonewise.operators.joins import Lookup, lookup, measure
+from tonewise.operators.joins import lookup, measure
 
 # A phrase matches whole tokens; letters, digits and the marks # @ _ belong to a token.
 TOKEN_BREAK = r"[^\p{L}\p{N}#@_]+"
@@ -76,14 +76,13 @@ def topic_phrases(pickups: DataFrame) -> DataFrame:
     )
 
 
-def track_topics(
-    df: DataFrame, pickups: DataFrame, text: str = "tweetText", key: str = "tweet_id"
-) -> DataFrame:
+def track_topics(df: DataFrame, pickups: DataFrame, text: str = "tweetText") -> DataFrame:
     """Each row once per followed topic that has a phrase whose words all occur in the text.
 
-    With a list of phrases that fits a broadcast nothing is shuffled: the row's distinct words are
-    looked up as phrase anchors, the rest of the phrase is checked against the row's own words, and
-    a topic is emitted for the first of its phrases that matches, so no grouping follows.
+    The row's distinct words are looked up as phrase anchors, the rest of the phrase is checked
+    against the row's own words, and a topic is emitted for the first of its phrases that matches, so
+    no grouping follows. The rule is one for any number of phrases: a list that fits a broadcast needs
+    no shuffle, a longer one goes through the salted join, and both work on a stream.
     """
     phrases = measure(topic_phrases(pickups), "anchor")
     columns = [c for c in df.columns if c != "topic"]
@@ -92,8 +91,6 @@ def track_topics(
     words = df.withColumn(
         "_words", F.array_distinct(F.split(F.lower(text), TOKEN_BREAK))
     ).withColumn("_word", F.explode_outer("_words"))
-    if not phrases.small:
-        return _track_by_counting(df.select(*columns), words.select(key, "_word"), phrases.table, key)
     candidates = lookup(words.drop("topic"), "_word", phrases, "inner")
 
     def all_in(phrase: Column) -> Column:
@@ -112,21 +109,6 @@ def track_topics(
     return candidates.select(*columns, F.explode(followed).alias("topic"))
 
 
-def _track_by_counting(df: DataFrame, words: DataFrame, phrases: DataFrame, key: str) -> DataFrame:
-    """The way for a long list: a phrase matches where as many words are found as it has.
-
-    Only (key, word) pairs meet the phrase words, salted, and counts combine before the shuffle; the
-    rows are joined once, with the topics found.
-    """
-    needed = phrases.select(
-        "topic", "rank", F.size("words").alias("needed"), F.explode("words").alias("needed_word")
-    )
-    met = lookup(words, "_word", Lookup(needed, "needed_word", small=False), "inner")
-    counted = met.groupBy(key, "topic", "rank", "needed").agg(F.count(F.lit(1)).alias("found"))
-    topics = counted.where("found = needed").select(key, "topic").distinct()
-    return df.join(topics, key)
-
-
 def language_fanout(df: DataFrame, languages: Sequence[str], fanout: bool = False) -> DataFrame:
     """Rows in one of the languages; ``fanout`` emits every row once per language instead."""
     if fanout:
@@ -175,12 +157,19 @@ def page_rows(df: DataFrame, page: int, page_size: int, sort: str, key: str, asc
     return df.orderBy(*order).offset(page * page_size).limit(page_size)
 
 
-def upsert_rows(target: DataFrame, updates: DataFrame, key: str = "id") -> DataFrame:
+def upsert_rows(target: DataFrame, updates: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
     """Replace rows that have an update; updates of unknown ids are not taken in.
 
-    Ids are unique on both sides, so one left join does for removing and inserting.
+    Of several updates of one id the last by ``order``, a column of the updates, wins; without such a
+    column they are refused when the query runs. One row per id is left, so one left join does for
+    removing and inserting.
     """
-    new = updates.select(key, F.struct(*target.columns).alias("_new"))
+    row = F.struct(*target.columns)
+    if order:
+        last = F.max_by(row, order)
+    else:
+        last = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("several updates of one id need an order"))).otherwise(F.first(row))
+    new = updates.groupBy(key).agg(last.alias("_new"))
     joined = target.join(new, key, "left")
     return joined.select(
         *[

@@ -7,8 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 10_007
-STRIDE = 7_919
 
 
 @dataclass(frozen=True)
@@ -31,8 +29,8 @@ def split_sizes(df: DataFrame, weights: Weights) -> DataFrame:
 
 def bucket(key: str, seed: int) -> Column:
     """A number in [0, 1) that depends only on the id and the seed, whatever the partitioning."""
-    reduced = F.pmod(F.col(key), F.lit(BUCKETS))
-    return F.pmod(reduced * STRIDE + seed, F.lit(BUCKETS)) / F.lit(float(BUCKETS))
+    digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
 def _three_way(share: Column, weights: Weights) -> Column:

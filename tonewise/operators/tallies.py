@@ -68,6 +68,5 @@ def emoji_counts(df: DataFrame, aliases, text: str = "tweetText") -> DataFrame:
     """How often each emoji occurs, with its alias."""
     from tonewise.functions.emoji import extract_emoji
 
-    names = F.create_map(*[F.lit(p) for pair in aliases.names.items() for p in pair])
     found = df.select(F.explode(extract_emoji(F.col(text), aliases)).alias("emoji"))
-    return found.groupBy("emoji").agg(F.count(F.lit(1)).alias("n")).select("emoji", names[F.col("emoji")].alias("alias"), "n")
+    return found.groupBy("emoji").agg(F.count(F.lit(1)).alias("n")).select("emoji", aliases.alias(F.col("emoji")).alias("alias"), "n")

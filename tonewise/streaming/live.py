@@ -1,8 +1,10 @@
 """Streaming jobs: ingest, publish, consume, score and live tallies.
 
 Sources and sinks take their format as a parameter: "kafka" on a cluster that has the connector,
-files elsewhere. A foreachBatch sink writes each batch to a folder named by the batch id and
-replaces it, so a batch that is run again after a failure leaves the same rows once.
+files elsewhere. A foreachBatch sink writes a batch beside the table and then renames it to a folder
+named by the batch id. A batch that is run again after a failure finds its folder there and leaves it
+alone, so a stream that reads the folder sees every file once. The rename is atomic on HDFS and
+local disks; an object store needs a table format that commits in one step instead.
 """
 
 from __future__ import annotations
@@ -22,7 +24,6 @@ from tonewise.operators.tagging import Lexicons, sentence_scores
 from tonewise.sources.sinks import messages
 
 WINDOW = "5 seconds"
-LATENESS = "10 seconds"
 REPEAT_HORIZON = "1 hour"
 
 
@@ -54,8 +55,18 @@ def batch_folder(path: str, batch_id: int) -> str:
     return f"{path}/batch_id={batch_id}"
 
 
-def _replace_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(batch_folder(path, batch_id))
+def _store_batch(df: DataFrame, path: str, batch_id: int) -> None:
+    """Store a batch once, whole or not at all."""
+    jvm = df.sparkSession._jvm
+    target = jvm.org.apache.hadoop.fs.Path(batch_folder(path, batch_id))
+    files = target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf())
+    if files.exists(target):
+        df.write.format("noop").mode("overwrite").save()  # the state of a stateful stream still has to be committed
+        return
+    staged = batch_folder(f"{path}/_staged", batch_id)
+    df.write.mode("overwrite").parquet(staged)
+    if not files.rename(jvm.org.apache.hadoop.fs.Path(staged), target):
+        raise OSError(f"batch {batch_id} could not be moved to {target}")
 
 
 def ingest_rows(
@@ -80,22 +91,23 @@ def stream_ingest(
     messages_path: str,
     checkpoint: str,
     once: bool = False,
+    horizon: str = REPEAT_HORIZON,
 ) -> StreamingQuery:
     """Statuses to the tweet table and the message topic.
 
-    A status delivered again within the horizon is dropped: the state holds only recent ids.
+    A status delivered again within the horizon is dropped: the state holds only recent ids. The
+    horizon counts from arrival, so a status is never too late, however old it is; a replay in any
+    order keeps all rows.
     """
     rows = ingest_rows(statuses, pickups, aliases, languages)
-    rows = rows.withColumn("ts", F.timestamp_millis("createdAt"))
-    rows = rows.withWatermark("ts", REPEAT_HORIZON).dropDuplicatesWithinWatermark(
-        ["tweet_id", "topic", "lenguage"]
-    )
+    rows = rows.withColumn("_arrived", F.current_timestamp())
+    rows = rows.withWatermark("_arrived", horizon).dropDuplicatesWithinWatermark(["tweet_id", "topic", "lenguage"])
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            _replace_batch(batch.drop("ts"), tweets_path, batch_id)
-            _replace_batch(messages(batch, stamped=True), messages_path, batch_id)
+            _store_batch(batch.drop("_arrived"), tweets_path, batch_id)
+            _store_batch(messages(batch, stamped=True), messages_path, batch_id)
         finally:
             batch.unpersist()
 
@@ -145,17 +157,17 @@ def stream_score(stream: DataFrame, lexicons: Lexicons, path: str, checkpoint: s
     """Score arriving messages into an append-only table that other streams read."""
     return _start(
         stream,
-        lambda batch, batch_id: _replace_batch(score_messages(batch, lexicons), path, batch_id),
+        lambda batch, batch_id: _store_batch(score_messages(batch, lexicons), path, batch_id),
         checkpoint,
         "append",
         once,
     )
 
 
-def window_tally(scored: DataFrame) -> DataFrame:
-    """Counts per topic and window; the same code for a table and for a stream."""
+def window_tally(scored: DataFrame, window: str = WINDOW) -> DataFrame:
+    """Counts per topic and window; the same code for a table and for a batch of a stream."""
     code = F.col("code")
-    counted = scored.groupBy(F.window("timestamp", WINDOW), F.col("key").alias("topic_id")).agg(
+    counted = scored.groupBy(F.window("timestamp", window), F.col("key").alias("topic_id")).agg(
         F.count_if(code >= 3).alias("positive"),
         F.count_if(code <= 1).alias("negative"),
         F.count_if(code == 2).alias("neutral"),
@@ -170,20 +182,29 @@ def window_tally(scored: DataFrame) -> DataFrame:
     )
 
 
-def stream_tally(scored: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Live tallies in update mode: every batch stores the windows that changed."""
-    counted = window_tally(scored.withWatermark("timestamp", LATENESS))
-    return _start(
-        counted,
-        lambda batch, batch_id: _replace_batch(batch, path, batch_id),
-        checkpoint,
-        "update",
-        once,
-    )
+def stream_tally(scored: DataFrame, path: str, checkpoint: str, once: bool = False, window: str = WINDOW) -> StreamingQuery:
+    """Live tallies: every batch stores its own counts, which readers add up.
 
+    Counts of a window may come from any number of batches, so nothing is too late, and no state is
+    kept. ``fold_tally`` keeps the number of stored batches small.
+    """
+    return _start(scored, lambda batch, batch_id: _store_batch(window_tally(batch, window), path, batch_id), checkpoint, "append", once)
 
-def current_tally(updates: DataFrame) -> DataFrame:
-    """The newest stored row of each topic and window."""
-    values = F.struct("window_end", "positive", "negative", "neutral")
-    newest = updates.groupBy("topic_id", "window_start").agg(F.max_by(values, "batch_id").alias("v"))
-    return newest.select("topic_id", "window_start", "v.*")
+
+def current_tally(stored: DataFrame) -> DataFrame:
+    """Counts of each topic and window: the newest fold and the batches after it."""
+    fold = stored.agg(F.coalesce(F.min(F.when(F.col("batch_id") < 0, F.col("batch_id"))), F.lit(0))).scalar()
+    live = stored.where((F.col("batch_id") == fold) | (F.col("batch_id") >= -fold))
+    counts = [F.sum(c).alias(c) for c in ("positive", "negative", "neutral")]
+    return live.groupBy("topic_id", "window_start", "window_end").agg(*counts)
+
+
+def fold_tally(spark: SparkSession, path: str) -> None:
+    """Add up what is stored so far as one folder, named -(n + 1) after the last batch n it holds.
+
+    Readers then leave the folded folders out, and they may be removed.
+    """
+    stored = spark.read.parquet(path)
+    last = stored.agg(F.max("batch_id"), F.min("batch_id")).first()
+    if last[0] is not None and last[0] >= -last[1]:  # a batch after the newest fold, or no fold yet
+        _store_batch(current_tally(stored), path, -(last[0] + 1))

@@ -74,7 +74,8 @@ def run_registry(spark: SparkSession, sf: str) -> DataFrame:
     "latest_states",
     common()
     + """SELECT id, "modelId", "topicId", "dateExecution", status FROM (SELECT *, row_number() OVER (PARTITION BY id
-      ORDER BY "dateExecution" DESC, status DESC) AS n FROM executions) WHERE n = 1""",
+      ORDER BY "dateExecution" DESC,
+      CASE status WHEN 'runned' THEN 1 WHEN 'trained' THEN 2 WHEN 'created' THEN 3 ELSE 4 END) AS n FROM executions) WHERE n = 1""",
 )
 def latest_states(spark: SparkSession, sf: str) -> DataFrame:
     return rg.latest_states(fx.executions(spark, sf))

@@ -194,7 +194,7 @@ def fold(code: str) -> str:
 
 
 def bucket(key: str, seed: int = 42) -> str:
-    return f"((({key} % 10007) * 7919 + {seed}) % 10007) / 10007.0::DOUBLE"
+    return f"(CAST(('0x' || substr(md5(concat({key}, ':{seed}')), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE)"
 
 
 def three_way(key: str, train: float = 0.6, validation: float = 0.2, seed: int = 42) -> str:
