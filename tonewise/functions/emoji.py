@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_ALIASES = 20_000
+#: Noncharacters, which no text may hold, in place of an emoji.
+MARK = "\ufffe\uffff\ufffe"
 #: First code points that one look ahead covers.
 BLOCK = 16
 
@@ -98,7 +100,8 @@ def emoji_to_alias(text: Column, aliases: EmojiAliases) -> Column:
     The text is cut at the emoji and put together again with the looked-up names in between; a
     text without emoji is returned untouched.
     """
-    between = F.split(text, aliases.pattern, -1)
+    # ``split`` compiles its pattern for every row, so the long one only marks the places.
+    between = F.split(F.regexp_replace(text, aliases.pattern, MARK), MARK, -1)
     found = F.transform(extract_emoji(text, aliases), aliases.alias)
     rebuilt = F.array_join(F.flatten(F.zip_with(between, found, lambda s, a: F.array(s, F.coalesce(a, F.lit(""))))), "")
     return F.when(has_emoji(text, aliases), rebuilt).otherwise(text)
