@@ -5,21 +5,30 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import Model
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tonewise.functions.fixed_values import ENGLISH_STOP_WORDS
 from tonewise.operators import models as ml
 from tonewise.operators.splits import split_emoji_aware
-from tonewise.operators.tagging import Lexicons, as_results, labels_of, run_emoji, run_sentences, run_vader, tokens_of
+from tonewise.operators.tagging import Lexicons, as_results, compound_of, label_for, run_emoji, run_sentences, run_vader, tokens_of
 from tonewise.operators.tallies import tally
 from tonewise.session import scratch_dir
+from tonewise.sources import sinks
 
 UNSUPERVISED = {"vader": run_vader, "emoji": run_emoji, "nlp": run_sentences}
 
 
-def prepared(tweets: DataFrame, spec: ml.ModelSpec, lexicons: Lexicons) -> DataFrame:
-    """(tweet_id, split, features, label) of every row.
+def compounds(tweets: DataFrame, tag: str, lexicons: Lexicons) -> DataFrame:
+    """(tweet_id, compound) of every row, written once; several models can take their labels from it."""
+    spark = tweets.sparkSession
+    path = scratch_dir(spark, "compounds")
+    compound_of(tweets, tag, lexicons).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def prepared(tweets: DataFrame, spec: ml.ModelSpec, lexicons: Lexicons, scored: DataFrame | None = None) -> DataFrame:
+    """(tweet_id, split, features, label) of every row; ``scored`` are compounds that exist already.
 
     Tokens are hashed before the join with the labels, so short sparse vectors are shuffled and not
     the texts.
@@ -27,10 +36,11 @@ def prepared(tweets: DataFrame, spec: ml.ModelSpec, lexicons: Lexicons) -> DataF
     parts = split_emoji_aware(tweets, spec.weights, spec.tag, seed=spec.seed)
     words = None
     if spec.kind == "bayes" and spec.tag == "vader":
-        words = StopWordsRemover.loadDefaultStopWords("english")
+        words = ENGLISH_STOP_WORDS
     tokens = tokens_of(parts, lexicons, keep=["split"], stop_words=words)
     features = ml.spec_features(tokens, spec).drop("tokens")
-    return features.join(labels_of(tweets, spec.tag, spec.label_kind, lexicons), "tweet_id")
+    scored = compound_of(tweets, spec.tag, lexicons) if scored is None else scored
+    return features.join(scored.select("tweet_id", label_for(spec.label_kind, spec.tag, F.col("compound")).alias("label")), "tweet_id")
 
 
 def stored(rows: DataFrame) -> DataFrame:
@@ -49,14 +59,15 @@ class Trained:
     model: Model
     path: str
     metrics: DataFrame
+    rows: DataFrame
 
 
-def train_and_evaluate(tweets: DataFrame, spec: ml.ModelSpec, lexicons: Lexicons, root: str) -> Trained:
+def train_and_evaluate(tweets: DataFrame, spec: ml.ModelSpec, lexicons: Lexicons, root: str, scored: DataFrame | None = None) -> Trained:
     """Fit on the training split, save, and compute the three accuracies."""
-    rows = stored(prepared(tweets, spec, lexicons))
+    rows = stored(prepared(tweets, spec, lexicons, scored))
     model = ml.train(rows.where(F.col("split") == "train"), spec)
     path = ml.save_model(model, root, spec.kind, spec.id)
-    return Trained(model, path, evaluate(rows, model, spec))
+    return Trained(model, path, evaluate(rows, model, spec), rows)
 
 
 def evaluate(rows: DataFrame, model: Model, spec: ml.ModelSpec) -> DataFrame:
@@ -79,13 +90,52 @@ def evaluate_saved(tweets: DataFrame, spec: ml.ModelSpec, lexicons: Lexicons, ro
     return evaluate(prepared(tweets, spec, lexicons), model, spec)
 
 
+def features_of(tweets: DataFrame, spec: ml.ModelSpec, lexicons: Lexicons) -> DataFrame:
+    """(tweet_id, split, features): what prediction needs; no label is computed."""
+    parts = split_emoji_aware(tweets, spec.weights, spec.tag, seed=spec.seed)
+    words = ENGLISH_STOP_WORDS if spec.kind == "bayes" and spec.tag == "vader" else None
+    return ml.spec_features(tokens_of(parts, lexicons, keep=["split"], stop_words=words), spec).drop("tokens")
+
+
 def run_saved(tweets: DataFrame, spec: ml.ModelSpec, lexicons: Lexicons, root: str, execution: str, on: str | None = "classify") -> DataFrame:
     """Result rows of a stored model."""
     model = ml.load_model(root, spec.kind, spec.id)
-    scored = ml.predict(model, prepared(tweets, spec, lexicons), on)
+    scored = ml.predict(model, features_of(tweets, spec, lexicons), on)
     return as_results(scored, spec.kind, execution, F.col("prediction"))
 
 
+def tally_kind(spec: ml.ModelSpec) -> str:
+    return spec.type_model if spec.kind == "bayes" else spec.kind
+
+
+def train_run_and_store(tweets: DataFrame, spec: ml.ModelSpec, lexicons: Lexicons, models: str, tables: str, execution: str, topic: str, date: str) -> None:
+    """The whole supervised run: train, metrics, load, predict, tally; every table is appended to.
+
+    ``model_results`` gets the metrics, ``executions`` the run as created, trained and runned,
+    ``tweet_results`` a row per classified tweet and ``aggs`` its tally, taken from the stored rows.
+    """
+    spark = tweets.sparkSession
+
+    def state(status: str, result: DataFrame | None = None) -> None:
+        run = spark.range(1).select(
+            F.lit(execution).alias("id"), F.lit(spec.id).alias("modelId"), F.lit(topic).alias("topicId"), F.lit(date).alias("dateExecution"), F.lit(status).alias("status")
+        )
+        run = run.join(result.select(F.col("id").alias("resultModel")), how="left") if result is not None else run.withColumn("resultModel", F.lit(None).cast("string"))
+        sinks.write_results(run, tables, "executions")
+
+    state("created")
+    trained = train_and_evaluate(tweets, spec, lexicons, models)
+    sinks.write_results(trained.metrics, tables, "model_results")
+    state("trained", spark.read.parquet(f"{tables}/model_results").where(F.col("model_id") == spec.id).limit(1))
+    sinks.write_results(run_saved(tweets, spec, lexicons, models, execution), tables, "tweet_results")
+    results = spark.read.parquet(f"{tables}/tweet_results").where(F.col("idExecution") == execution)
+    counted = tally(results, tally_kind(spec)).select(
+        F.concat_ws("-", F.lit("agg"), F.lit(execution)).alias("id"), F.lit(topic).alias("topic_id"), F.lit(spec.id).alias("model_id"), "positive", "negative", "neutral"
+    )
+    sinks.write_results(counted, tables, "aggs")
+    state("runned", spark.read.parquet(f"{tables}/model_results").where(F.col("model_id") == spec.id).limit(1))
+
+
 def run_unsupervised(tweets: DataFrame, kind: str, lexicons: Lexicons, execution: str, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Result rows of a lexicon scorer, and their tally."""
     results = UNSUPERVISED[kind](tweets, lexicons, execution, by)

@@ -24,38 +24,73 @@ BOOSTED = ml.ModelSpec(id="gb", kind="boosting", num_iterations=4, depth=3, n_cl
 
 
 def _metrics(spark: SparkSession, sf: str, *specs: ml.ModelSpec) -> DataFrame:
-    tweets = fx.flagged_tweets(spark, sf, wide=True)
+    """Model, rows per split, and whether the three accuracies are shares; the texts are scored once."""
+    tweets, lexicons = fx.flagged_tweets(spark, sf, wide=True), fx.lexicons(spark)
     root = scratch_dir(spark, "models")
-    found = [jobs.train_and_evaluate(tweets, spec, fx.lexicons(spark), root).metrics for spec in specs]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
+    scored = jobs.compounds(tweets, specs[0].tag, lexicons)
+    shares = [F.col(f"{part}_accuracy").between(0, 1) for part in ("train", "valid", "test")]
+    out = None
+    for spec in specs:
+        trained = jobs.train_and_evaluate(tweets, spec, lexicons, root, scored)
+        counts = trained.rows.agg(*(F.count_if(F.col("split") == s).alias(f"{s}_rows") for s in ("train", "validation", "classify")))
+        row = trained.metrics.select("id", "model_id", (shares[0] & shares[1] & shares[2]).alias("legal")).join(counts)
+        out = row if out is None else out.unionByName(row)
     return out
 
 
-@query("train_bayes")
+def _metrics_sql(*ids: str) -> str:
+    counts = ", ".join(f"count(*) FILTER (WHERE {three_way('tweet_id')} = '{s}') AS {s}_rows" for s in ("train", "validation", "classify"))
+    return common() + " UNION ALL ".join(f"SELECT 'result-{i}' AS id, '{i}' AS model_id, true AS legal, {counts} FROM tweets" for i in ids)
+
+
+@query("train_bayes", _metrics_sql("nb2", "nb3"))
 def train_bayes(spark: SparkSession, sf: str) -> DataFrame:
     return _metrics(spark, sf, BERNOULLI, MULTINOMIAL)
 
 
-@query("train_forest")
+@query("train_forest", _metrics_sql("rf"))
 def train_forest(spark: SparkSession, sf: str) -> DataFrame:
     return _metrics(spark, sf, FOREST)
 
 
-@query("train_gbt")
+@query("train_gbt", _metrics_sql("gb"))
 def train_gbt(spark: SparkSession, sf: str) -> DataFrame:
     return _metrics(spark, sf, BOOSTED)
 
 
-@query("predict")
+@query(
+    "predict",
+    common()
+    + f"""SELECT concat('{ag.RUN}', '-', tweet_id) AS id, tweet_id AS "idTweet", '{ag.RUN}' AS "idExecution", 'bayes' AS "typeModel",
+      true AS legal FROM tweets WHERE {three_way('tweet_id')} = 'classify'""",
+)
 def predict(spark: SparkSession, sf: str) -> DataFrame:
-    """Train, store, load and run on the rows kept for classification."""
+    """Train, store, load and run on the rows kept for classification; legal: the result is a class."""
     tweets = fx.flagged_tweets(spark, sf, wide=True)
     root = scratch_dir(spark, "models")
     lexicons = fx.lexicons(spark)
     jobs.train_and_evaluate(tweets, MULTINOMIAL, lexicons, root)
-    return jobs.run_saved(tweets, MULTINOMIAL, lexicons, root, ag.RUN)
+    found = jobs.run_saved(tweets, MULTINOMIAL, lexicons, root, ag.RUN)
+    return found.withColumn("legal", F.col("result").isin(0.0, 1.0, 2.0)).drop("result")
+
+
+@query(
+    "supervised_run",
+    common()
+    + f"""SELECT s.status, true AS has_metrics, r.n AS results, r.n AS tallied FROM (VALUES ('created'), ('trained'), ('runned')) s(status),
+      (SELECT count(*) AS n FROM tweets WHERE {three_way('tweet_id')} = 'classify') r""",
+)
+def supervised_run(spark: SparkSession, sf: str) -> DataFrame:
+    """A whole run as its tables tell it: states, metrics, result rows and what the tally counts."""
+    models, tables = scratch_dir(spark, "models"), scratch_dir(spark, "tables")
+    tweets = fx.flagged_tweets(spark, sf, wide=True)
+    jobs.train_run_and_store(tweets, MULTINOMIAL, fx.lexicons(spark), models, tables, ag.RUN, "all", "2024-01-01")
+    metrics = read_table(spark, f"{tables}/model_results")
+    runs = read_table(spark, f"{tables}/executions").join(metrics.select(F.col("id").alias("resultModel"), "test_accuracy"), "resultModel", "left")
+    results = read_table(spark, f"{tables}/tweet_results").agg(F.count("*").alias("results"))
+    counted = read_table(spark, f"{tables}/aggs").agg(F.sum(F.col("positive") + F.col("negative") + F.col("neutral")).alias("tallied"))
+    known = (F.col("status") == "created") | F.col("test_accuracy").between(0, 1)
+    return runs.select("status", known.alias("has_metrics")).join(results).join(counted)
 
 
 @query("save_load_model", "SELECT count(*) AS rows, count(*) AS agreeing FROM documents")

@@ -69,7 +69,9 @@ def load_lexicon(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit(" "), F.lower("word"), F.lit("\t"), valence, F.lit("\tignored ")).alias("line"),
         (F.col("tweet_id") * 100000 + F.col("i") + 1).alias("place"),
     )
-    return src.parse_lexicon(lines)
+    path = scratch_dir(spark, "lexicon")
+    lines.orderBy("place").select("line").write.text(path)
+    return src.load_lexicon(spark, path)
 
 
 @query(
@@ -83,7 +85,10 @@ def load_polarity_lists(spark: SparkSession, sf: str) -> DataFrame:
     rows = fx.tweets(spark, sf, wide=True).select(
         (F.col("tweet_id") % 81 - 40).alias("n"), F.explode(F.split(F.lower("tweetText"), " ")).alias("line")
     )
-    return src.merge_polarity(rows.where("n >= 0").select("line"), rows.where("n < 0").select("line"))
+    positive, negative = scratch_dir(spark, "positive"), scratch_dir(spark, "negative")
+    rows.where("n >= 0").select("line").write.text(positive)
+    rows.where("n < 0").select("line").write.text(negative)
+    return src.load_polarity_lists(spark, positive, negative)
 
 
 @query("append_tweets", common() + f"SELECT {COLUMNS}, contain_emoji FROM tweets")
