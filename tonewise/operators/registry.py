@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tonewise.operators.joins import lookup, measure
 from tonewise.operators.rows import latest_by, upsert_rows
+from tonewise.schemas import EXECUTION_STATES, MODEL_RESULT
 
 # Parameters each model kind stores, with the type they are read as.
 KIND_PARAMETERS: Mapping[str, Mapping[str, str]] = {
@@ -30,10 +31,6 @@ KIND_PARAMETERS: Mapping[str, Mapping[str, str]] = {
 }
 
 
-# The states of a run in the order of its life.
-RUN_STATES = ("created", "trained", "runned")
-
-
 def _types() -> dict[str, str]:
     return {name: kind for group in KIND_PARAMETERS.values() for name, kind in group.items()}
 
@@ -75,8 +72,6 @@ def create_runs(requests: DataFrame) -> DataFrame:
 
 
 def _result_type() -> str:
-    from tonewise.schemas import MODEL_RESULT
-
     return MODEL_RESULT.simpleString()
 
 
@@ -133,7 +128,7 @@ def run_states(actions: DataFrame) -> DataFrame:
 
 def latest_states(executions: DataFrame) -> DataFrame:
     """Current row per run from an append-only execution log; on a tie the state later in a run's life."""
-    stage = F.coalesce(F.array_position(F.array(*map(F.lit, RUN_STATES)), F.col("status")), F.lit(0))
+    stage = F.coalesce(F.array_position(F.array(*map(F.lit, EXECUTION_STATES)), F.col("status")), F.lit(0))
     return latest_by(executions.withColumn("_stage", stage), ["id"], "dateExecution", "_stage").drop("_stage")
 
 
