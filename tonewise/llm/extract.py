@@ -1,7 +1,7 @@
 """Main text of web pages: markup rules, and a suffix array over each host's pages.
 
 Pages meet by host. A host's pages are dealt by a hash of the page id into groups of about
-``GROUP_BYTES``, so a host with a third of all pages takes many tasks and each group still shows its
+``GROUP_BYTES`` or ``GROUP_PAGES``, so a host with a third of all pages takes many tasks and each group still shows its
 templates many times. In a group, the token streams of all pages are concatenated, with a token of
 its own between pages, and sorted by prefix doubling until neighbours are ordered by ``RUN`` tokens:
 a stretch of that many tokens which occurs on enough distinct pages is boilerplate.
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from tonewise.llm.store import new_folder
 
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
+GROUP_PAGES = 256
 #: Tokens of a repeated stretch, and the pages and share of the group that must have it.
 RUN = 8
 LEAST_PAGES = 3
@@ -197,7 +198,8 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", page_id: str
     spark, folder = pages.sparkSession, new_folder(pages.sparkSession, "hosts")
     host = F.coalesce(F.regexp_extract(F.col(url).cast("string"), "^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
     rows = pages.select(F.col(page_id).alias("page"), F.col(url).alias("url"), F.col(html).alias("html"), F.lower(host).alias("host"))
-    sizes = rows.groupBy("host").agg(F.ceil(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + 1) / group_bytes).alias("groups"))
+    size = F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + 1)
+    sizes = rows.groupBy("host").agg(F.ceil(F.greatest(size / group_bytes, F.count("*") / GROUP_PAGES)).alias("groups"))
     sizes.where("groups > 1").write.parquet(folder)  # hosts of a single group need no entry
     sizes = spark.read.schema("host string, groups long").parquet(folder)
     dealt = rows.join(sizes, "host", "left")
