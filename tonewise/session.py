@@ -28,13 +28,16 @@ def build_session(app: str = "tonewise", master: str | None = None, **conf: str)
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new folder below the cluster's shared ``spark.checkpoint.dir``.
 
-    Only a local master, which has no other machines, may fall back to a temporary folder.
+    Where that is unset, a cluster's folders lie in its warehouse, which executors share too. Only a
+    master on this machine alone (``local`` or ``local[n]``) falls back to a temporary folder.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        shared = tempfile.mkdtemp(prefix="tonewise-")
+        master = spark.sparkContext.master
+        if master == "local" or master.startswith("local["):
+            shared = tempfile.mkdtemp(prefix="tonewise-")
+        else:
+            shared = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
