@@ -18,9 +18,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tonewise.functions import labels
 from tonewise.functions.emoji import EmojiAliases
-from tonewise.operators.joins import Lookup, lookup, measure
+from tonewise.functions.text import longest_sentence
+from tonewise.operators.joins import lookup, measure
 from tonewise.operators.rows import flatten_statuses, language_fanout, realtime_topics, skip_bad_rows, track_topics
-from tonewise.operators.tagging import Lexicons, sentence_scores
+from tonewise.operators.scoring import vader_scores
+from tonewise.operators.tagging import Lexicons
+from tonewise.session import scratch_dir
 from tonewise.sources.sinks import messages
 
 WINDOW = "5 seconds"
@@ -139,15 +142,20 @@ def realtime_only(stream: DataFrame, pickups: DataFrame) -> DataFrame:
 def score_messages(batch: DataFrame, lexicons: Lexicons) -> DataFrame:
     """key, value, timestamp with the five-class name and code of the longest sentence.
 
-    Shared texts repeat, so each distinct text is scored once and the scores are brought back by
-    the digest of the text, salted because one text may be a large part of a batch.
+    Sentences repeat, so each distinct one is scored once. Only sentences are shuffled for that; their
+    scores are stored and looked up by the digest of the sentence, and as long as they fit a broadcast
+    the texts themselves stay where they are.
     """
-    rows = skip_bad_rows(batch, "value").withColumn("digest", F.sha2(F.col("value"), 256))
-    texts = rows.select("digest", "value").distinct()
-    scored = sentence_scores(texts, lexicons, ["digest"], "value").select(
+    spark = batch.sparkSession
+    sentence = longest_sentence(F.col("value"))
+    rows = skip_bad_rows(batch, "value").withColumn("digest", F.sha2(F.coalesce(sentence, F.lit("")), 256))
+    sentences = rows.select("digest", sentence.alias("sentence")).distinct()
+    scored = vader_scores(sentences, ["digest"], "sentence", lexicons.vader).select(
         F.col("digest").alias("scored_digest"), labels.five_class(F.col("compound")).alias("code")
     )
-    joined = lookup(rows, "digest", Lookup(scored, "scored_digest", small=False))
+    path = scratch_dir(spark, "sentences")
+    scored.write.parquet(path)
+    joined = lookup(rows, "digest", measure(spark.read.schema(scored.schema).parquet(path), "scored_digest"))
     return joined.select(
         "key", "value", "timestamp", labels.sentiment_name(F.col("code")).alias("sentiment"), "code"
     )
