@@ -18,10 +18,14 @@ itself. An empty table gives no sequence.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +38,19 @@ from tonewise.llm.words import split_rows, text_bytes
 
 LENGTH = 2048
 END_ID = 1
-#: Words whose ids a worker keeps; the tokenizer drops white space, so a text's ids are its words' ids in a row.
-CACHE = 300_000
+#: Words that a worker keeps with their ids: those met again, and those met once so far.
+KEPT, MET = 400_000, 150_000
 
-_tokenizers: dict[str, tuple] = {}
+#: Lower-case letters of ASCII and Latin-1 as UTF-8, which no normalisation changes.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: Letters and then ASCII punctuation, which is one token group of its own.
+_ENDED = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]+)")
+_CAPITALS = re.compile(rb"\xc3[\x80-\x96\x98-\x9e]")
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: The alphabet of bytes: printed ones stand for themselves, the others follow from 256 on; a space stays.
+_BYTES = {b: 256 + i for i, b in enumerate(sorted(set(range(256)).difference(_PRINTED))) if b != 32}
+
+_caches: dict[str, WordCache] = {}
 
 
 def default_tokenizer() -> str:
@@ -46,26 +59,83 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def word_ids(path: str, texts: list[bytes]) -> list[bytes]:
-    """Little-endian 32-bit ids of each text."""
-    if path not in _tokenizers:
+def _small(letter: re.Match) -> bytes:
+    return bytes((0xC3, letter[0][1] + 32))
+
+
+class WordCache:
+    """Ids of words; the tokenizer drops white space, so a text's ids are those of its words in a row.
+
+    It also folds case, so words are looked up in lower case, and letters and the punctuation behind
+    them are encoded apart.
+    """
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path), {}
-    tokenizer, known = _tokenizers[path]
-    rows = [t.split() for t in texts]
-    new = set().union(*rows).difference(known)
-    if new:
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = set().union(*rows)
-        new = list(new)
-        for start in range(0, len(new), 20_000):
-            part = new[start : start + 20_000]
-            for word, got in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                known[word] = np.array(got.ids, "<u4").tobytes()
-    return [b"".join(map(known.__getitem__, row)) for row in rows]
+        self.tokenizer = Tokenizer.from_file(path)
+        # For words of lower-case letters the rules before the merges change nothing but the alphabet
+        # of bytes, so many of them go through the merges at once; the last token of each is marked.
+        rules = json.loads(Path(path).read_text())
+        rules |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+        self.merges = Tokenizer.from_str(json.dumps(rules))
+        suffix = rules["model"]["end_of_word_suffix"]
+        self.last = np.zeros(max(rules["model"]["vocab"].values()) + 1, bool)
+        self.last[[i for token, i in rules["model"]["vocab"].items() if token.endswith(suffix)]] = True
+        self.kept: dict[bytes, bytes] = {}
+        self.met: dict[bytes, bytes] = {}
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text."""
+        # In lower case the text could turn into a special token, which counts in this case only.
+        rows = [(t if b"<|" in t else _CAPITALS.sub(_small, t.lower())).split() for t in texts]
+        words = set().union(*rows)
+        here = {w: self.kept[w] for w in words if w in self.kept}
+        words.difference_update(here)
+        again = {w: self.met.pop(w) for w in words if w in self.met}
+        words.difference_update(again)
+        new = self._encode(words)
+        here |= again
+        here |= new
+        if len(self.kept) + len(again) > KEPT:
+            self.kept.clear()
+        self.kept |= again
+        if len(self.met) + len(new) > MET:
+            self.met.clear()
+        self.met |= new
+        return [b"".join(map(here.__getitem__, row)) for row in rows]
+
+    def _encode(self, words: set[bytes]) -> dict[bytes, bytes]:
+        stems = {w: found.groups() for w in words if (found := _ENDED.fullmatch(w))}
+        plain = words.difference(stems).union(*stems.values())
+        found = {w: self.kept[w] for w in plain if w in self.kept}
+        plain.difference_update(found)
+        letters = [w for w in plain if (w.isalpha() and w.islower()) or _LETTERS.fullmatch(w)]
+        found |= self._letters(letters)
+        plain = list(plain.difference(letters))
+        for start in range(0, len(plain), 20_000):
+            part = plain[start : start + 20_000]
+            for word, got in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
+                found[word] = array("I", got.ids).tobytes()
+        return {w: found[stems[w][0]] + found[stems[w][1]] if w in stems else found[w] for w in words}
+
+
+    def _letters(self, words: list[bytes]) -> dict[bytes, bytes]:
+        texts = [b" ".join(words[i : i + 500]).decode("latin-1").translate(_BYTES) for i in range(0, len(words), 500)]
+        ids = [np.array(got.ids, "<u4") for got in self.merges.encode_batch_fast(texts, add_special_tokens=False)]
+        if not ids:
+            return {}
+        ids = np.concatenate(ids)
+        ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+        blob = ids.tobytes()
+        return {w: blob[a:b] for w, a, b in zip(words, [0, *ends], ends, strict=False)}
+
+
+def word_ids(path: str, texts: list[bytes]) -> list[bytes]:
+    if path not in _caches:
+        _caches[path] = WordCache(path)
+    return _caches[path].ids(texts)
 
 
 def shortest_pack_first(histogram: dict[int, int], length: int) -> list[tuple[list[int], int]]:
