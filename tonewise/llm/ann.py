@@ -3,9 +3,10 @@
 A vector minus the mean of all is turned by one random rotation; its code is the signs of the
 result. Two numbers are kept beside the code: the length, and the inner product between the turned
 direction and its code. From them an inner product with a query is estimated without bias, with an
-error that exceeds ``SURE`` standard bounds only very rarely. In each block of candidates, those
-whose upper bound reaches the block's k-th best lower bound are reranked with the exact product in
-double precision; the best k of a block go on, and the best k of all blocks are the answer.
+error that seldom exceeds ``SURE`` standard bounds. The k-th best exact product of a query over a
+bounded sample of rows is a floor under its answer; candidates whose upper bound reaches the floor
+are reranked with the exact product in double precision, the best k of a block of candidates go on,
+and the best k of all blocks are the answer. The sample only sets the floor; every row is a candidate.
 
 The query set is stated by the caller and meets every candidate, block by block: queries lie in the
 shared folder in files of ``QUERY_BLOCK`` vectors that tasks map into memory, so nothing that grows is
@@ -28,7 +29,10 @@ from pyspark.sql import functions as F
 
 from tonewise.llm import store
 
-SURE = 3.5
+SURE = 2.5
+#: Rows and bytes of the sample that sets the floor.
+SAMPLE_ROWS = 16_384
+SAMPLE_BYTES = 16 << 20
 QUERY_BLOCK = 512
 ROW_BLOCK = 4096
 
@@ -87,15 +91,21 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, vector: str = "emb
     """(query_id, rank, vec_id, score): for each row that meets ``queries``, a condition on ``vec_id``."""
     spark, folder = vectors.sparkSession, store.new_folder(vectors.sparkSession, "codes")
     stored, dimension, mean, turn = index(vectors, vector, vec_id, folder)
+    rows, most = stored.count(), max(1, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * dimension)))
+    drawn = stored.select("id", "vector").where(F.pmod(F.xxhash64("id", F.lit(9)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most / max(rows, 1)))).toArrow()
+    store.write(folder, "sample", 0, {"id": drawn.column("id").to_numpy(), "vector": matrix(drawn.column("vector").combine_chunks(), dimension)})
+    files = {"id": "i8", "vector": "f8"}
     asked = stored.withColumnRenamed("id", vec_id).where(queries).select(F.col(vec_id).alias("id"), "vector")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Writes query vectors as numbered files."""
+        """Writes query vectors as numbered files, each with the floor under its answer."""
         number = TaskContext.get().partitionId() << 12
+        sample = store.mapped(folder, "sample", 0, files)
         for batch in batches:
             for at in range(0, batch.num_rows, QUERY_BLOCK):
                 part = batch.slice(at, QUERY_BLOCK)
-                store.write(folder, "query", number, {"id": part.column(0).to_numpy(), "vector": matrix(part.column(1), dimension)})
+                ids, vectors = part.column(0).to_numpy(), matrix(part.column(1), dimension)
+                store.write(folder, "query", number, {"id": ids, "vector": vectors, "floor": _floor(ids, vectors, sample, k)})
                 yield pa.RecordBatch.from_arrays([pa.array([number])], ["block"])
                 number += 1
 
@@ -105,13 +115,20 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, vector: str = "emb
         for batch in batches:
             for at in range(0, batch.num_rows, ROW_BLOCK):
                 for number in numbers:
-                    yield _search(batch.slice(at, ROW_BLOCK), store.mapped(folder, "query", number, {"id": "i8", "vector": "f8"}), k, mean, turn)
+                    yield _search(batch.slice(at, ROW_BLOCK), store.mapped(folder, "query", number, {**files, "floor": "f8"}), k, mean, turn)
 
     found = stored.mapInArrow(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _floor(ids: np.ndarray, vectors: np.ndarray, sample: dict[str, np.ndarray], k: int) -> np.ndarray:
+    """The k-th best product of each query with the sample, without its own row."""
+    score = vectors @ np.asarray(sample["vector"]).reshape(-1, vectors.shape[1]).T
+    score[ids[:, None] == np.asarray(sample["id"])[None, :]] = -np.inf
+    return np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k] if score.shape[1] >= k else np.full(len(ids), -np.inf)
+
+
 def _search(rows: pa.RecordBatch, block: dict[str, np.ndarray], k: int, mean: np.ndarray, turn: np.ndarray) -> pa.RecordBatch:
     """The k best of some rows for each query of a block."""
     dimension = len(mean)
@@ -121,17 +138,21 @@ def _search(rows: pa.RecordBatch, block: dict[str, np.ndarray], k: int, mean: np
     length, fit = rows.column(3).to_numpy(), np.maximum(rows.column(4).to_numpy(), 1e-12)
     scale = length / fit / np.sqrt(dimension)
     slack = SURE * length * np.sqrt(np.maximum(1 - fit**2, 0)) / fit / np.sqrt(max(dimension - 1, 1)) + 1e-5 * length
-    asked, vectors = np.asarray(block["id"]), np.asarray(block["vector"]).reshape(-1, dimension)
-    guess = ((vectors @ turn).astype(np.float32) @ signs.T) * scale + (vectors @ mean)[:, None]
-    guess[asked[:, None] == ids[None, :]] = -np.inf
-    room = np.sqrt((vectors**2).sum(1))[:, None] * slack
-    worst = np.partition(guess - room, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(asked), -np.inf)
-    query, candidate = np.nonzero((guess + room >= worst[:, None]) & (guess > -np.inf))
-    score = np.empty(len(query))
-    for a in range(0, len(query), 1 << 16):
-        part = slice(a, a + (1 << 16))
-        score[part] = (vectors[query[part]] * exact[candidate[part]]).sum(1)
-    order = np.lexsort((ids[candidate], -score, query))
-    query, candidate, score = query[order], candidate[order], score[order]
-    best = np.arange(len(query)) - np.searchsorted(query, np.arange(len(asked)))[query] < k
-    return pa.RecordBatch.from_arrays([pa.array(asked[query[best]]), pa.array(ids[candidate[best]]), pa.array(score[best])], ["query_id", "vec_id", "score"])
+    asked, vectors, floor = np.asarray(block["id"]), np.asarray(block["vector"]).reshape(-1, dimension), np.asarray(block["floor"])
+    upper = (vectors @ turn).astype(np.float32) @ (signs * scale[:, None].astype(np.float32)).T
+    upper += np.sqrt((vectors**2).sum(1)).astype(np.float32)[:, None] * slack.astype(np.float32)
+    reach = upper >= (floor - vectors @ mean).astype(np.float32)[:, None]
+    found: tuple[list, list, list] = [], [], []
+    for query in range(len(asked)):
+        candidate = np.flatnonzero(reach[query])
+        candidate = candidate[ids[candidate] != asked[query]]
+        score = (exact[candidate] * vectors[query]).sum(1)
+        if len(score) > k:
+            near = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])  # with all ties
+            candidate, score = candidate[near], score[near]
+        order = np.lexsort((ids[candidate], -score))[:k]
+        found[0].append(np.full(len(order), asked[query]))
+        found[1].append(ids[candidate[order]])
+        found[2].append(score[order])
+    columns = [np.concatenate([np.zeros(0, kind), *part]) for part, kind in zip(found, (np.int64, np.int64, np.float64))]
+    return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["query_id", "vec_id", "score"])
