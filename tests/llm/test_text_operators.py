@@ -273,6 +273,25 @@ def test_tree_keeps_every_link():
     assert got.tolist() == [c for _, _, c in brute_classes(rows, 4, 85, 100)]
 
 
+def brute_links(rows, n, num, den):
+    """For each row, how many other rows with an id it links with."""
+    sets = [shingles(t, n) for _, t in rows]
+    for i, (d, _) in enumerate(rows):
+        near = (j for j, (e, _) in enumerate(rows) if j != i and e is not None and sets[i] and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]))
+        yield None if d is None else sum(1 for _ in near)
+
+
+@pytest.mark.parametrize("block", [jaccard.BLOCK, 400])
+def test_every_link_is_counted(spark, block):
+    rng = random.Random(block)
+    rows = near_copies(rng, 6, 14, 60)
+    rows += rows[:9] + rows[:3] + [(4000 + i, t) for i, (_, t) in enumerate(rows[5:20])] + [(3000 + i, t) for i, t in enumerate(SPECIAL)] + [(None, rows[0][1])]
+    got = [tuple(r) for r in jaccard.links(frame(spark, rows), block=block).select("doc_id", "n_shingles", "component_id", "n_links").collect()]
+    want = [(*c, k) for c, k in zip(brute_classes(rows, 4, 85, 100), brute_links(rows, 4, 85, 100))]
+    assert max(k or 0 for *_, k in want) > 10
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 # --- rules
 
 

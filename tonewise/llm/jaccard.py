@@ -1,4 +1,4 @@
-"""Exact Jaccard self-join of word shingles by signature trees, and its connected components.
+"""Exact Jaccard self-join of word shingles by signature trees: links per document and connected components.
 
 1. Every text becomes its set of distinct shingles. Texts with one set are one class, represented by
    the smallest id; only representatives go on, so thousands of copies cost one.
@@ -11,14 +11,15 @@
    components of this candidate graph, and most texts are in none.
 3. Each component goes to one task, which bulk-loads a signature tree (a node holds the OR of the
    token bitmaps below it, the range of sizes and the least number of bits) and traverses it against
-   itself. A pair of nodes is dropped when even their largest possible overlap is too small, or when
-   everything below both is already connected; pairs of leaves are verified on the sets.
-4. A component of more than ``BLOCK`` shingles is dealt into blocks that share a few pivots. Whatever
-   stays outside the largest class is then compared with all blocks. No link is lost by this.
+   itself. A pair of nodes is dropped only when even their largest possible overlap is too small;
+   all other pairs of leaves are verified on the sets, and each link is counted on both sides, with
+   the number of copies of the other side. The classes follow from these links.
+4. A component of more than ``BLOCK`` shingles is dealt into blocks, and every block is compared with
+   itself and with every other one, each pair of sets in one task. No link is lost by this.
 
 Documents without words have an empty set and are linked with nothing. Texts shorter than a shingle
-are one shingle. Rows with a null id get no class. Rows that share an id are classed by their own
-text. The order of rows does not matter.
+are one shingle. Rows with a null id get no class and are nobody's link. Rows that share an id are
+classed and counted by their own text. The order of rows does not matter.
 """
 
 from __future__ import annotations
@@ -39,7 +40,6 @@ BLOCK = 4_000_000
 #: A shingle is common if, among about a million shingles of one task, so many texts and this share of them hold it.
 COMMON_TEXTS = 8
 COMMON_SHARE = 0.01
-PIVOTS = 16
 FANOUT = 8
 
 _U64 = np.uint64
@@ -211,17 +211,20 @@ class Forest:
 
 
 class SignatureTree:
-    """Sets under nodes that hold OR-combined bitmaps, size ranges and least bit counts."""
+    """Sets under nodes that hold OR-combined bitmaps, size ranges and least bit counts.
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.sets = sets
-        size = np.array([len(s) for s in sets])
+    With ``sides``, which must ascend, only sets of different sides are compared.
+    """
+
+    def __init__(self, sets: list[np.ndarray], sides: np.ndarray | None = None):
+        self.size = size = np.array([len(s) for s in sets])
         words = 16
         while words * 64 < 2 * size.max() and words < 1024 and words * len(sets) < 1 << 21:
             words *= 2
         bits = np.zeros((len(sets), words), _U64)
         row = np.repeat(np.arange(len(sets)), size)
-        spread = mix(np.concatenate(sets) + _U64(61))
+        flat = np.concatenate(sets)
+        spread = mix(flat + _U64(61))
         np.bitwise_or.at(bits, (row, (spread >> _U64(6)).astype(np.int64) % words), _U64(1) << (spread & _U64(63)))
         held = np.bitwise_count(bits).sum(1, dtype=np.int64)
         self.levels = [(bits, size, size, held)]
@@ -229,18 +232,26 @@ class SignatureTree:
             bits, low, high, held = self.levels[-1]
             at = np.arange(0, len(bits), FANOUT)
             self.levels.append((np.bitwise_or.reduceat(bits, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.minimum.reduceat(held, at)))
-
-    def join(self, num: int, den: int) -> Forest:
-        """Connects all pairs of sets whose similarity is at least num / den."""
-        forest = Forest(len(self.sets))
+        self.sides = None if sides is None else [(sides, sides)]
+        for _ in self.levels[1:] if self.sides else ():
+            low, high = self.sides[-1]
+            at = np.arange(0, len(low), FANOUT)
+            self.sides.append((np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)))
+        distinct, codes = np.unique(flat, return_inverse=True)
+        self.codes = np.split(codes.astype(np.int32), np.cumsum(size)[:-1])
+        self.mark = np.zeros(len(distinct), np.uint8)
+
+    def join(self, num: int, den: int, copies: np.ndarray) -> tuple[Forest, np.ndarray]:
+        """Connects all pairs of sets whose similarity is at least num / den, and counts for each set the copies of those it is linked with."""
+        forest, links = Forest(len(self.size)), np.zeros(len(self.size), np.int64)
         stack = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
         while stack:
             level, a, b = stack.pop()
-            if len(a) > 4096:
+            if len(a) > (4096 if level else 1 << 16):
                 half = len(a) // 2
                 stack += [(level, a[half:], b[half:]), (level, a[:half], b[:half])]
                 continue
-            keep = self._possible(level, a, b, num, den) & self._open(level, a, b, forest)
+            keep = self._possible(level, a, b, num, den)
             a, b = a[keep], b[keep]
             if not len(a):
                 continue
@@ -250,24 +261,40 @@ class SignatureTree:
                 left = np.repeat(a[:, None] * FANOUT + child, FANOUT, axis=1).ravel()
                 right = np.tile(b[:, None] * FANOUT + child, (1, FANOUT)).ravel()
                 keep = (left < n) & (right < n) & ((left < right) | ((left == right) & (level > 1)))
-                left, right = left[keep], right[keep]
-                near = left == right  # nodes against themselves go first: what they connect need not be compared again
-                stack += [(level - 1, left[~near], right[~near]), (level - 1, left[near], right[near])]
+                stack.append((level - 1, left[keep], right[keep]))
                 continue
-            for i, j in zip(a.tolist(), b.tolist()):
-                if forest.root(i) != forest.root(j):
-                    x, y = self.sets[i], self.sets[j]
-                    if len(x) > len(y):
-                        x, y = y, x
-                    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                    both = int(np.count_nonzero(y[at] == x))
-                    if den * both >= num * (len(x) + len(y) - both):
-                        forest.join(i, j)
-        return forest
+            both = self._overlaps(a, b)
+            keep = (a != b) & (den * both >= num * (self.size[a] + self.size[b] - both))
+            a, b = a[keep], b[keep]
+            np.add.at(links, a, copies[b])
+            np.add.at(links, b, copies[a])
+            roots = forest.roots()
+            for i, j in np.unique(np.stack([roots[a], roots[b]], axis=1)[roots[a] != roots[b]], axis=0).tolist():
+                forest.join(i, j)
+        return forest, links
+
+    def _overlaps(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many shingles each pair of leaves shares."""
+        order = np.argsort(a, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], a[order][1:] != a[order][:-1]]))
+        out = np.empty(len(a), np.int64)
+        for at in np.split(order, first[1:]):
+            own, others = self.codes[a[at[0]]], b[at]
+            for few in np.array_split(np.arange(len(at)), max(1, int(self.size[others].sum()) >> 22)):
+                if len(few):
+                    self.mark[own] = 1
+                    hit = self.mark[np.concatenate([self.codes[i] for i in others[few].tolist()])]
+                    self.mark[own] = 0
+                    size = self.size[others[few]]
+                    out[at[few]] = np.add.reduceat(hit, np.cumsum(size) - size, dtype=np.int64)
+        return out
 
     def _possible(self, level: int, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
         bits, low, high, held = self.levels[level]
         keep = (den * high[a] >= num * low[b]) & (den * high[b] >= num * low[a])
+        if self.sides:
+            least, most = self.sides[level]
+            keep &= (np.minimum(least[a], least[b]) != np.maximum(most[a], most[b]))
         shared = np.zeros(len(a), np.int64)
         some = np.flatnonzero(keep & (a != b))
         for at in np.array_split(some, max(1, len(some) * bits.shape[1] >> 20)):
@@ -276,27 +303,31 @@ class SignatureTree:
         most = np.minimum(high[a] - np.maximum(held[a] - shared, 0), high[b] - np.maximum(held[b] - shared, 0))
         return keep & ((a == b) | ((num + den) * most >= num * (low[a] + low[b])))
 
-    def _open(self, level: int, a: np.ndarray, b: np.ndarray, forest: Forest) -> np.ndarray:
-        """Pairs of nodes whose sets are not all connected yet."""
-        low = high = forest.roots()
-        for _ in range(level):
-            at = np.arange(0, len(low), FANOUT)
-            low, high = np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)
-        return (np.minimum(low[a], low[b]) != np.maximum(high[a], high[b])) | ((a == b) & (level == 0))
+
+def counted(sets: list[np.ndarray], copies: np.ndarray, num: int, den: int, sides: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each set the number of its class, and the copies of all other sets it is linked with."""
+    keys = ([len(s) for s in sets], [s[0] for s in sets])  # similar sets tend to share their smallest hash
+    order = np.lexsort(keys if sides is None else (*keys, sides))
+    forest, links = SignatureTree([sets[i] for i in order], None if sides is None else sides[order]).join(num, den, copies[order])
+    of, count = np.empty(len(sets), np.int64), np.empty(len(sets), np.int64)
+    of[order], count[order] = forest.roots(), links
+    return of, count
+
+
+def smallest(of: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each entry the smallest id of its class."""
+    low = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(low, of, ids)
+    return low[of]
 
 
 def linked(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     """For each set, the smallest id connected with it."""
-    order = np.lexsort(([len(s) for s in sets], [s[0] for s in sets]))  # similar sets tend to share their smallest hash
-    roots = SignatureTree([sets[i] for i in order]).join(num, den).roots()
-    low = np.full(len(ids), np.iinfo(np.int64).max)
-    np.minimum.at(low, roots, ids[order])
-    out = np.empty(len(ids), np.int64)
-    out[order] = low[roots]
-    return out
+    return smallest(counted(sets, np.ones(len(sets), np.int64), num, den)[0], ids)
 
 
 MEMBER = {"group": "i8"}
+FIRST = {"group": "i8", "copies": "i8"}
 SIEVE = 1 << 22
 _sieves: dict[str, np.ndarray] = {}
 
@@ -313,7 +344,15 @@ def _sieve(folder: str, bits: int) -> np.ndarray:
 
 
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = 4, num: int = 85, den: int = 100, block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row: two documents link when den * |x & y| >= num * |x | y|."""
+    """(doc_id, n_shingles, component_id) of every row, by the links of ``links``."""
+    return links(docs, text, doc_id, n, num, den, block).drop("n_links")
+
+
+def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = 4, num: int = 85, den: int = 100, block: int = BLOCK) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) of every row: two documents link when den * |x & y| >= num * |x | y|.
+
+    ``n_links`` counts all other rows that the row links with, copies of its own text among them.
+    """
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     folder, bits = store.new_folder(spark, "jaccard"), store.shard_bits(docs)
@@ -338,24 +377,26 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int
     digest = spark.read.schema("id long, n long, set_key long").parquet(f"{folder}/digests")
     common = digest.where("n = -1").select("set_key").distinct()
     digest = digest.where("n >= 0")
-    distinct = digest.where("n > 0 and id is not null").groupBy("set_key", "n").agg(F.min("id").alias("id"))
+    distinct = digest.where("n > 0 and id is not null").groupBy("set_key", "n").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     distinct.write.parquet(f"{folder}/distinct")
-    distinct = spark.read.schema("set_key long, n long, id long").parquet(f"{folder}/distinct")
-
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent = store.Writer(MEMBER, {"group": "min"}, bits)
-        for batch in batches:
-            if (out := sent.add(mix(batch.column(0).to_numpy().view("u8")), {"group": batch.column(1).to_numpy()})) is not None:
+    distinct = spark.read.schema("set_key long, n long, id long, copies long").parquet(f"{folder}/distinct")
+
+    def save(rows: DataFrame, name: str, fields: dict[str, str]) -> None:
+        """Keeps (key, fields ...) as arrays."""
+        how = {f: "min" for f in fields}
+
+        def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sent = store.Writer(fields, how, bits)
+            for batch in batches:
+                if (out := sent.add(mix(batch.column(0).to_numpy().view("u8")), {f: batch.column(i).to_numpy() for i, f in enumerate(fields, 1)})) is not None:
+                    yield out
+            if (out := sent.flush()) is not None:
                 yield out
-        if (out := sent.flush()) is not None:
-            yield out
 
-    def save(rows: DataFrame, name: str) -> None:
-        """Keeps (key, group) as arrays."""
-        store.build(rows.mapInArrow(members, store.schema(MEMBER)), folder, name, MEMBER, {"group": "min"})
+        store.build(rows.mapInArrow(members, store.schema(fields)), folder, name, fields, how)
 
-    save(distinct.select("set_key", "id"), "first")
-    save(common.select(F.col("set_key"), F.lit(0).cast("long")), "common")
+    save(distinct.select("set_key", "id", "copies"), "first", FIRST)
+    save(common.select(F.col("set_key"), F.lit(0).cast("long")), "common", MEMBER)
 
     def is_common(values: np.ndarray) -> np.ndarray:
         maybe = np.flatnonzero(_sieve(folder, bits)[(values & _U64(SIEVE - 1)).astype(np.int64)])
@@ -363,20 +404,23 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int
         out[maybe] = store.lookup(folder, "common", bits, mix(values[maybe]), {}, {})["found"]
         return out
 
-    def sets_of(batch: pa.RecordBatch, name: str, by_set: bool) -> Iterator[tuple]:
-        """(ids, groups, values, bounds) of the rows that the array ``name`` lists."""
+    def sets_of(batch: pa.RecordBatch, grouped: bool) -> Iterator[tuple]:
+        """(set keys, columns of the sets, values, bounds) of one row at least of each set, if ``grouped`` of those in a candidate component."""
         for chunk in chunks(batch.column(1), lower=True):
             column = batch.column(0).slice(chunk.first, chunk.rows)
             ids = column.fill_null(0).to_numpy(zero_copy_only=False)
             values, bounds = shingle_sets(chunk, n)
-            own = store.lookup(folder, "first", bits, mix(set_keys(values, bounds)), MEMBER, {"group": 0})
+            key = set_keys(values, bounds)
+            own = store.lookup(folder, "first", bits, mix(key), FIRST, {"group": 0, "copies": 0})
             keep = own["found"] & (own["group"] == ids) & column.is_valid().to_numpy(zero_copy_only=False) & (np.diff(bounds) > 0)
-            if not by_set:
-                group = store.lookup(folder, name, bits, mix(ids.view("u8")), MEMBER, {"group": 0})
+            columns = {"id": ids, "copies": own["copies"]}
+            if grouped:
+                group = store.lookup(folder, "group", bits, mix(key), MEMBER, {"group": 0})
                 keep &= group["found"]
+                columns["component"] = group["group"]
             size = np.diff(bounds)[keep]
             flat = np.repeat(bounds[:-1][keep] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-            yield ids[keep], None if by_set else group["group"][keep], values[flat], np.concatenate([[0], np.cumsum(size)])
+            yield key[keep].view("i8"), {k: v[keep] for k, v in columns.items()}, values[flat], np.concatenate([[0], np.cumsum(size)])
 
     shape = ["shard", "key", "id", "a", "b"]
 
@@ -398,9 +442,9 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int
             return pa.RecordBatch.from_arrays(columns, shape)
 
         for batch in batches:
-            for ids, _, values, bounds in sets_of(batch, "", True):
+            for sets, _, values, bounds in sets_of(batch, False):
                 keys, owners = parts.keys(values, bounds, is_common(values))
-                held.append((keys, ids[owners]))
+                held.append((keys, sets[owners]))
                 if sum(len(k) for k, _ in held) > 3_000_000:
                     yield flush()
         if held:
@@ -416,75 +460,70 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int
     groups = components(spark.read.schema("a long, b long").parquet(f"{folder}/edges"))
     groups.write.parquet(f"{folder}/groups")
     groups = spark.read.schema("id long, component long").parquet(f"{folder}/groups")
-    save(groups.select("id", "component"), "group")
+    save(groups.select("id", "component"), "group", MEMBER)
+
+    names = ["component", "set_key", "id", "copies", "n", "items"]
 
     def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, group, values, bounds in sets_of(batch, "group", False):
+            for keys, of, values, bounds in sets_of(batch, True):
                 sets = pa.array([values[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(ids), pa.array(np.diff(bounds)), sets], ["component", "id", "n", "items"])
+                yield pa.RecordBatch.from_arrays([pa.array(of["component"]), pa.array(keys), pa.array(of["id"]), pa.array(of["copies"]), pa.array(np.diff(bounds)), sets], names)
 
-    kinds = "component long, id long, n long, items binary"
+    kinds = "component long, set_key long, id long, copies long, n long, items binary"
     docs.mapInArrow(needed, kinds).write.parquet(f"{folder}/sets")
     sets = spark.read.schema(kinds).parquet(f"{folder}/sets")
 
     def verify(table: pa.Table) -> pa.Table:
-        job, ids = table.column("job").to_numpy(), table.column("id").to_numpy()
+        job, keys, ids, copies, side = (table.column(c).to_numpy() for c in ("job", "set_key", "id", "copies", "side"))
         items = [np.frombuffer(x.as_buffer(), "u8") for x in table.column("items")]
-        order = np.lexsort((ids, job))
+        order = np.lexsort((keys, job))  # rows that share their id and text are one set
+        order = order[np.concatenate([[True], (job[order][1:] != job[order][:-1]) | (keys[order][1:] != keys[order][:-1])])]
         cut = np.flatnonzero(np.concatenate([[True], job[order][1:] != job[order][:-1]]))
-        a, b = [], []
+        found = [np.zeros((4, 0), np.int64)]
         for x, y in zip(cut, [*cut[1:], len(order)]):
             at = order[x:y]
             if len(at) > 1:
-                a.append(ids[at])
-                b.append(linked(ids[at], [items[i] for i in at], num, den))
-        a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (a, b))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    def joined(jobs: DataFrame, name: str) -> DataFrame:
-        """Links found by the trees of the rows (job, id, items)."""
-        shard = F.pmod(F.xxhash64("job"), F.lit(2 << bits)).cast("int")
-        found = jobs.select(shard.alias("shard"), "job", "id", "items").groupBy("shard").applyInArrow(verify, "a long, b long")
-        found.where("a <> b").write.parquet(f"{folder}/{name}")
-        return spark.read.schema("a long, b long").parquet(f"{folder}/{name}")
+                of, count = counted([items[i] for i in at], copies[at], num, den, None if side[at[0]] < 0 else side[at])
+                found.append(np.stack([keys[at], smallest(of, keys[at]), smallest(of, ids[at]), count]))
+        return pa.table(dict(zip("abcd", map(pa.array, np.concatenate(found, axis=1)))))
 
-    large = sets.groupBy("component").agg(F.sum("n").alias("total")).where(F.col("total") > block)
-    large.select("component", F.ceil(2 * F.col("total") / block).alias("blocks")).write.parquet(f"{folder}/large")
+    big = sets.groupBy("component").agg(F.sum("n").alias("total")).where(F.col("total") > block)
+    big.select("component", F.ceil(2 * F.col("total") / block).alias("blocks")).write.parquet(f"{folder}/large")
     large = spark.read.schema("component long, blocks long").parquet(f"{folder}/large")
-    if large.isEmpty():
-        found = joined(sets.withColumn("job", F.col("component")), "links").select(F.col("a").alias("id"), F.col("b").alias("component"))
+    dealt = not large.isEmpty()
+    jobs = _dealt(sets, large, 2 << bits) if dealt else sets.select(_shard("component", 2 << bits), F.col("component").alias("job"), F.lit(-1).cast("long").alias("side"), "set_key", "id", "copies", "items")
+    found = jobs.groupBy("shard").applyInArrow(verify, "a long, b long, c long, d long")
+    found.where("d > 0").write.parquet(f"{folder}/links")
+    found = spark.read.schema("a long, b long, c long, d long").parquet(f"{folder}/links")
+    if dealt:  # a set is in several jobs
+        total = found.groupBy(F.col("a").alias("set_key")).agg(F.sum("d").alias("links"), F.min("c").alias("low"))
+        total = total.join(components(found.where("a <> b").select("a", "b")).withColumnRenamed("id", "set_key"), "set_key")
+        low = total.groupBy("component").agg(F.min("low").alias("low"))
+        found = total.drop("low").join(low, "component").select("set_key", "low", "links")
     else:
-        found = components(_dealt(sets, large, joined))
-    named = distinct.join(found, "id", "left").select("set_key", "n", F.coalesce("component", "id").alias("component"))
+        found = found.select(F.col("a").alias("set_key"), F.col("c").alias("low"), F.col("d").alias("links"))
+    named = distinct.join(found, "set_key", "left").select("set_key", "n", F.coalesce("low", "id").alias("low"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
     out = digest.join(named, ["set_key", "n"], "left")
-    return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
+    is_row = F.col("id").isNotNull()
+    component, count = F.when(is_row, F.coalesce("low", "id")), F.when(is_row, F.coalesce("links", F.lit(0)))
+    return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"), count.alias("n_links"))
+
+
+def _shard(job: str, shards: int):
+    return F.pmod(F.xxhash64(job), F.lit(shards)).cast("long").alias("shard")
 
 
-def _dealt(sets: DataFrame, large: DataFrame, joined) -> DataFrame:
-    """Links of all components when some are too large for one tree.
+def _dealt(sets: DataFrame, large: DataFrame, shards: int) -> DataFrame:
+    """Jobs of all components when some are too large for one tree: small ones are one job each.
 
-    A large component's sets are dealt into blocks, each joined together with the same pivots. Sets
-    outside the largest class that this finds are then joined with every block.
+    A large component's sets are dealt into blocks. Each block is a job with itself (side -1) and one
+    with every other block, in which only sets of different blocks (sides) are compared.
     """
-    small = sets.join(large, "component", "left_anti").select(F.col("component").alias("job"), "id", "items")
-    big = sets.join(large, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    rank = F.xxhash64("id", F.lit(3))
-    pivots = big.groupBy("component").agg(F.slice(F.sort_array(F.collect_set(F.when(F.pmod(rank, F.col("blocks") * 8) == 0, F.struct(rank.alias("r"), "id")))), 1, PIVOTS).alias("p"))
-    pivots = pivots.select("component", F.explode("p.id").alias("id"))
-    copies = big.join(pivots, ["component", "id"], "left_semi").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", "block", "id", "items")
-    own = big.select("component", "block", "id", "items")
-    job = F.xxhash64("component", "block")
-    first = joined(small.unionByName(own.unionByName(copies).select(job.alias("job"), "id", "items")), "links")
-    known = components(first)
-    named = big.join(known.withColumnRenamed("component", "class"), "id", "left").withColumn("class", F.coalesce("class", "id"))
-    count = named.groupBy("component", "class").agg(F.count("*").alias("held"))
-    main = count.groupBy("component").agg(F.max_by("class", F.struct("held", "class")).alias("main"))
-    loose = named.join(main, "component").where("class <> main").select("component", "blocks", "block", "id", "items")
-    loose = loose.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = loose.select("component", "block", "other", "id", "items")
-    pairs = left.select("component", "block", "other").distinct()
-    right = big.select("component", F.col("block").alias("other"), "id", "items").join(pairs, ["component", "other"]).select("component", "block", "other", "id", "items")
-    job = F.xxhash64("component", "block", "other", F.lit(5))
-    rows = left.unionByName(right).dropDuplicates(["component", "block", "other", "id"])
-    return first.unionByName(joined(rows.select(job.alias("job"), "id", "items"), "links-across"))
+    rest = ("set_key", "id", "copies", "items")
+    small = sets.join(large, "component", "left_anti").select(_shard("component", shards), F.col("component").alias("job"), F.lit(-1).cast("long").alias("side"), *rest)
+    big = sets.join(large, "component").withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")))
+    big = big.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    job = F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other"))
+    big = big.select(job.alias("shard"), job.alias("job"), F.when(F.col("block") == F.col("other"), -1).otherwise(F.col("block")).alias("side"), *rest)
+    return small.unionByName(big)
