@@ -179,6 +179,27 @@ def test_repeated_stretches_go_from_unmarked_pages(spark):
     assert extract.extract(df, group_bytes=200).count() == len(rows)  # a host dealt over several groups loses no page
 
 
+def test_boilerplate_is_judged_by_host_not_by_group(spark):
+    rng = random.Random(6)
+    often, seldom, few = (" ".join(f"{p}{j}" for j in range(12)) for p in ("often", "seldom", "few"))
+    bodies = []
+    for i in range(600):
+        stretch = often if i % 20 == 0 else seldom if i % 60 == 1 else ""  # 30 and 10 of 600 pages; 30 are enough
+        bodies.append(f"<div>{' '.join(f'u{i}x{rng.randint(0, 99)}' for _ in range(9))}</div><div>{stretch}</div>")
+    rows = [(i, "http://Big.org/x", f"<body>{b}</body>") for i, b in enumerate(bodies)]
+    rows += [(1000 + i, "http://small.org/y", f"<p>s{i}</p><p>{few if i < 3 else ''}</p>") for i in range(9)]
+    rows += [(2000 + i, "http://two.org/y", f"<p>{few if i < 2 else ''}</p>") for i in range(9)]
+    want = {}
+    for host in ("Big", "small", "two"):
+        own = [r for r in rows if host in r[1]]
+        want |= dict(zip((r[0] for r in own), extract.main_texts([r[2] for r in own])))
+    kept = collections.Counter(word for text in want.values() for word in ("often0", "seldom0", "few0") if word in text.split())
+    assert kept == {"seldom0": 10, "few0": 2}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    for group_bytes in (1 << 30, 2000, 1):  # by pages alone, by bytes, about a page a group
+        assert {r["page_id"]: r["text"] for r in extract.extract(df, group_bytes=group_bytes).collect()} == want
+
+
 def test_repeats_equal_brute_force():
     rng = random.Random(1)
     for _ in range(30):
