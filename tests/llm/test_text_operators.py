@@ -292,6 +292,13 @@ def test_every_link_is_counted(spark, block):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_texts_that_share_an_id_keep_their_own_class(spark):
+    x, y = ([f"{p}{i}" for i in range(60)] for p in "xy")
+    rows = [(2, " ".join(x[:-1])), (3, " ".join(y[:-1])), (5, " ".join(x)), (5, " ".join(y))]
+    got = sorted(tuple(r) for r in jaccard.links(frame(spark, rows)).collect())
+    assert got == [(2, 56, 2, 1), (3, 56, 3, 1), (5, 57, 2, 1), (5, 57, 3, 1)]
+
+
 # --- rules
 
 
