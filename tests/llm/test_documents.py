@@ -315,6 +315,16 @@ def test_neighbours_equal_exact_search(spark):
     assert ann.nearest(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_neighbours_close_to_the_floor_are_reranked(spark):
+    x = np.random.default_rng(3).standard_normal((3000, 64))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["vec_id"]) for r in ann.nearest(df, F.col("vec_id") % 3 == 0).collect()}
+    score = x[::3] @ x.T
+    score[np.arange(1000), np.arange(0, 3000, 3)] = -np.inf
+    want = {(3 * q, int(v)) for q, best in enumerate(np.argsort(-score, axis=1)[:, :20]) for v in best}
+    assert len(want - got) <= 2
+
+
 # --- pipeline
 
 

@@ -3,7 +3,7 @@
 A vector minus the mean of all is turned by one random rotation; its code is the signs of the
 result. Two numbers are kept beside the code: the length, and the inner product between the turned
 direction and its code. From them an inner product with a query is estimated without bias, with an
-error that seldom exceeds ``SURE`` standard bounds. The k-th best exact product of a query over a
+error that exceeds ``SURE`` standard bounds only very rarely. The k-th best exact product of a query over a
 bounded sample of rows is a floor under its answer; candidates whose upper bound reaches the floor
 are reranked with the exact product in double precision, the best k of a block of candidates go on,
 and the best k of all blocks are the answer. The sample only sets the floor; every row is a candidate.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tonewise.llm import store
 
-SURE = 2.5
+SURE = 3.5
 #: Rows and bytes of the sample that sets the floor.
 SAMPLE_ROWS = 16_384
 SAMPLE_BYTES = 16 << 20
