@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonewise.llm import ann, extract, jaccard, lm, mixing, packing, rules, substrings, subwords
+from tonewise.llm import ann, extract, jaccard, lines, lm, mixing, packing, rules, spelling, substrings, subwords, turns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -85,3 +85,21 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     found = extract.extract(table(spark, sf, "pages"))
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query("op11_line_dedup", lines.ORACLE)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    found = lines.dedupe(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op12_spelling_variants")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    words = spelling.vocabulary(table(spark, sf, "documents"))
+    return spelling.forms(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query("op13_conversation_repair")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    found = turns.repair_digests(turns.damaged(table(spark, sf, "conversations")))
+    return found.select(F.col("conv").alias("conv_id"), *turns.COUNTS, "audit", "repaired_sha256")
