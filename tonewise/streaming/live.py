@@ -25,9 +25,12 @@ from tonewise.operators.scoring import vader_scores
 from tonewise.operators.tagging import Lexicons
 from tonewise.session import scratch_dir
 from tonewise.sources.sinks import messages
+from tonewise.streaming.seen import SeenIds
 
 WINDOW = "5 seconds"
 REPEAT_HORIZON = "1 hour"
+#: What makes a stored row a repeat.
+REPEAT_KEYS = ("tweet_id", "topic", "lenguage")
 
 
 def open_stream(
@@ -95,24 +98,30 @@ def stream_ingest(
     checkpoint: str,
     once: bool = False,
     horizon: str = REPEAT_HORIZON,
+    seen: SeenIds | None = None,
 ) -> StreamingQuery:
     """Statuses to the tweet table and the message topic.
 
     A status delivered again within the horizon is dropped: the state holds only recent ids. The
     horizon counts from arrival, so a status is never too late, however old it is; a replay in any
-    order keeps all rows.
+    order keeps all rows. With a store of seen ids there is no horizon: a repeat is dropped at any
+    distance, and the stream keeps no state of its own.
     """
     rows = ingest_rows(statuses, pickups, aliases, languages)
-    rows = rows.withColumn("_arrived", F.current_timestamp())
-    rows = rows.withWatermark("_arrived", horizon).dropDuplicatesWithinWatermark(["tweet_id", "topic", "lenguage"])
+    if seen is None:
+        rows = rows.withColumn("_arrived", F.current_timestamp())
+        rows = rows.withWatermark("_arrived", horizon).dropDuplicatesWithinWatermark(list(REPEAT_KEYS))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
+        fresh = batch if seen is None else seen.admit(batch, batch_id)
+        fresh.persist()
         try:
-            _store_batch(batch.drop("_arrived"), tweets_path, batch_id)
-            _store_batch(messages(batch, stamped=True), messages_path, batch_id)
+            _store_batch(fresh.drop("_arrived"), tweets_path, batch_id)
+            _store_batch(messages(fresh, stamped=True), messages_path, batch_id)
+            if seen is not None:
+                seen.remember(fresh, batch_id)
         finally:
-            batch.unpersist()
+            fresh.unpersist()
 
     return _start(rows, sink, checkpoint, "append", once)
 
