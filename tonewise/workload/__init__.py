@@ -27,4 +27,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> None:
-    from tonewise.workload import aggregates, labelling, modelling, registries, rowwise, scoring, streams, texts  # noqa: F401
+    from tonewise.workload import aggregates, extended, labelling, modelling, registries, rowwise, scoring, streams, texts  # noqa: F401
