@@ -1,7 +1,9 @@
-"""Language identification, deep pages, exact splits, class metrics and query documents over the given tables."""
+"""Languages, order statistics, metrics, query and stored documents, intervals and laid-out tables over the given tables."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +13,13 @@ from tonewise.operators import metrics as mt
 from tonewise.operators import order as od
 from tonewise.operators import querydocs as qd
 from tonewise.operators import splits as sp
+from tonewise.schemas import MESSAGE
 from tonewise.session import scratch_dir, spread
+from tonewise.sources import documents as dc
+from tonewise.sources import layout as ly
 from tonewise.sources.tables import read_table
+from tonewise.streaming import intervals as iv
+from tonewise.streaming import live
 from tonewise.workload import fixtures as fx
 from tonewise.workload import query
 from tonewise.workload.twin import bucket, common
@@ -187,3 +194,128 @@ def query_document(spark: SparkSession, sf: str) -> DataFrame:
 )
 def query_document_first(spark: SparkSession, sf: str) -> DataFrame:
     return qd.find(fx.pickups(spark, sf), {"state": "ready", "isRT": False}, [("balance", -1), ("id", 1)], 5)
+
+
+# One line a document, in the shapes that stores hold them; the same expression on both sides.
+STORED = """SELECT CASE doc_id % 9
+  WHEN 0 THEN concat('{"_id":{"$oid":"o', doc_id, '"},"tweet_id":', doc_id, ',"createdAt":17, "user_id":', doc_id, ',"user_followers":12,"tweetText":"short ', doc_id, '","contain_emoji":true,"topic":{"$oid":"t1"},"location":{"latitude":12.5,"longitude":-7.25}}')
+  WHEN 1 THEN concat('{"_id":"plain', doc_id, '","tweet_id":{"$numberLong":"', doc_id, '"},"user_id":', doc_id + 9000000000, ',"user_followers":"many","tweetText":"wide","contain_emoji":"false","topic":"t2","geoLocation":{"type":"Point","coordinates":[100.5,50]}}')
+  WHEN 2 THEN concat('{"tweet_id":"', doc_id, '","user_id":"77","user_followers":3000000000,"tweetText":"half","location":{"latitude":1}}')
+  WHEN 3 THEN concat('{"tweet_id":', doc_id, '.0,"user_id":true,"tweetText":"flags","contain_emoji":1,"latitude":{"latitude":91,"longitude":0},"location":{"latitude":3,"longitude":4}}')
+  WHEN 4 THEN concat('{"tweet_id":', doc_id, '.5,"tweetText":"fraction"}')
+  WHEN 5 THEN concat('{"tweet_id":', doc_id, ',"tweetText":', doc_id, '}')
+  WHEN 6 THEN '{not json' WHEN 7 THEN concat('[', doc_id, ']') END AS value, doc_id FROM documents"""
+
+
+def _stored_lines(spark: SparkSession, sf: str) -> DataFrame:
+    statement = STORED.replace("{", "{{").replace("}", "}}").replace("FROM documents", "FROM {documents}")
+    return spark.sql(statement, documents=fx.table(spark, sf, "documents"))
+
+
+def _json(path: str, name: str = "value") -> str:
+    return f"json_extract_string({name}, '{path}')"
+
+
+def _whole(path: str) -> str:
+    """Numbers, texts of digits and wrapped longs; flags are none."""
+    text = f"coalesce({_json(path + '.\"$numberLong\"')}, {_json(path + '.\"$numberInt\"')}, {_json(path)})"
+    return f"""CASE WHEN json_type(value, '{path}') = 'BOOLEAN' THEN NULL WHEN json_type(value, '{path}') IN ('DOUBLE', 'UBIGINT', 'BIGINT') THEN
+      CASE WHEN TRY_CAST({text} AS DOUBLE) = floor(TRY_CAST({text} AS DOUBLE)) THEN CAST(TRY_CAST({text} AS DECIMAL(38, 9)) AS BIGINT) END
+      WHEN regexp_full_match({text}, '[+-]?[0-9]{{1,19}}') THEN TRY_CAST({text} AS BIGINT) END"""
+
+
+def _words(path: str) -> str:
+    return f"CASE WHEN json_type(value, '{path}') = 'VARCHAR' THEN {_json(path)} END"
+
+
+def _place(axis: int) -> str:
+    tries = []
+    for path in ("$.latitude", "$.location", "$.geoLocation"):
+        for up, across in ((f"{path}.latitude", f"{path}.longitude"), (f"{path}.coordinates[1]", f"{path}.coordinates[0]")):
+            lat, lon = f"TRY_CAST({_json(up)} AS DOUBLE)", f"TRY_CAST({_json(across)} AS DOUBLE)"
+            tries.append(f"CASE WHEN {lat} BETWEEN -90 AND 90 AND {lon} BETWEEN -180 AND 180 THEN {(lat, lon)[axis]} END")
+    return f"coalesce({', '.join(tries)})"
+
+
+_VALID = f"stored AS (SELECT value FROM ({STORED})), parsed AS (SELECT value FROM stored WHERE json_valid(value) AND json_type(value) = 'OBJECT')"
+
+
+@query(
+    "stored_documents",
+    f"""WITH {_VALID} SELECT * FROM (SELECT coalesce({_json('$._id."$oid"')}, {_words('$._id')}) AS _id, {_whole('$.tweet_id')} AS tweet_id, {_place(0)} AS latitude,
+    {_place(1)} AS longitude, {_whole('$.user_id')} AS user_id, TRY_CAST({_whole('$.user_followers')} AS INTEGER) AS user_followers, {_words('$.tweetText')} AS "tweetText",
+    CASE WHEN {_json('$.contain_emoji')} IN ('true', '1') THEN true WHEN {_json('$.contain_emoji')} IN ('false', '0') THEN false END AS contain_emoji,
+    coalesce({_json('$.topic."$oid"')}, {_words('$.topic')}) AS topic FROM parsed) WHERE tweet_id IS NOT NULL AND "tweetText" IS NOT NULL""",
+)
+def stored_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of many shapes as rows; the twin reads the same lines with JSON functions."""
+    rows = dc.tweets_of(_stored_lines(spark, sf))
+    return rows.select("_id", "tweet_id", "latitude.latitude", "latitude.longitude", "user_id", "user_followers", "tweetText", "contain_emoji", "topic")
+
+
+@query(
+    "stored_rejected",
+    f"""WITH {_VALID}, sound AS (SELECT CASE WHEN json_valid(value) THEN value END AS value FROM stored),
+    reasons AS (SELECT CASE WHEN NOT coalesce(json_type(value) = 'OBJECT', false) THEN 'no document'
+    WHEN {_whole('$.tweet_id')} IS NULL THEN 'no id' WHEN {_words('$.tweetText')} IS NULL THEN 'no text' END AS reason FROM sound)
+    SELECT reason, count(*) AS n FROM reasons WHERE reason IS NOT NULL GROUP BY reason""",
+)
+def stored_rejected(spark: SparkSession, sf: str) -> DataFrame:
+    """Why lines give no row."""
+    return dc.rejected(_stored_lines(spark, sf))
+
+
+# A topic is followed for six hours from each of its purchases of more than 60.
+SPANS = "SELECT CAST(user_id AS STRING) AS topic, ts AS opens, ts + INTERVAL '6 hours' AS closes FROM events WHERE event_type = 'purchase' AND value > 60"
+
+
+@query(
+    "stream_followed",
+    f"WITH spans AS ({SPANS}) SELECT CAST(e.user_id AS STRING) AS key, CAST(e.event_id AS STRING) AS value FROM events e "
+    "WHERE EXISTS (SELECT 1 FROM spans s WHERE s.topic = CAST(e.user_id AS STRING) AND e.ts >= s.opens AND e.ts < s.closes)",
+)
+def stream_followed(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as messages, passed while their user's interval is open; both sides are streams."""
+    events = fx.table(spark, sf, "events")
+    path, spans, messages = (scratch_dir(spark, label) for label in ("followed", "spans", "messages"))
+    stamped = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    opened = stamped.where("event_type = 'purchase' AND value > 60").select(F.col("user_id").cast("string").alias("topic"), F.col("ts").alias("opens"), (F.col("ts") + F.expr("INTERVAL 6 HOURS")).alias("closes"))
+    iv.distinct_intervals(opened).select("topic", "opens", "closes").write.parquet(spans)
+    stamped.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").cast("string").alias("value"), F.col("ts").alias("timestamp")).write.parquet(messages)
+    run = iv.stream_followed(
+        live.open_stream(spark, "parquet", messages, MESSAGE), live.open_stream(spark, "parquet", spans, iv.INTERVAL), path, scratch_dir(spark, "mark"), once=True, longest="40 days"
+    )
+    run.awaitTermination()
+    return read_table(spark, path).select("key", "value")
+
+
+def _name(label: str) -> str:
+    return f"{label}_{uuid.uuid4().hex}"
+
+
+ITEMS = "SELECT o_orderkey AS tweet_id, concat('src', CAST(o_custkey % 20 AS STRING)) AS topic, CAST(o_custkey % 11 AS DOUBLE) / 10 AS result FROM orders"
+
+
+@query(
+    "tally_stored_topics",
+    f"WITH items AS ({ITEMS}) SELECT topic, count(*) FILTER (result > 0.6) AS positive, count(*) FILTER (result < 0.4) AS negative, "
+    "count(*) FILTER (result BETWEEN 0.4 AND 0.6) AS neutral FROM items GROUP BY topic",
+)
+def tally_stored_topics(spark: SparkSession, sf: str) -> DataFrame:
+    """Results joined with their tweets where both lie in the same buckets."""
+    items, tweets, results = fx.shaped(spark, sf, ITEMS, "orders"), _name("tweets"), _name("results")
+    ly.write_by_topic(items.select("tweet_id", "topic"), tweets)
+    ly.write_results_by_tweet(items.select("tweet_id", "result"), results)
+    return ly.tally_by_topic(spark, tweets, results, "nlp")
+
+
+@query(
+    "rows_of_topics",
+    f"WITH items AS ({ITEMS}) SELECT tweet_id, topic FROM items WHERE topic IN (SELECT concat('src', n_nationkey) FROM nation WHERE n_regionkey = 2)",
+)
+def rows_of_topics(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of topics that another table names."""
+    table = _name("tweets")
+    ly.write_by_topic(fx.shaped(spark, sf, ITEMS, "orders").select("tweet_id", "topic"), table)
+    named = fx.table(spark, sf, "nation").where("n_regionkey = 2").select(F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("id"))
+    return ly.rows_of_topics(spark, table, named).select("tweet_id", "topic")
