@@ -73,6 +73,35 @@ def test_model_beats_the_majority(spark, spec):
     assert results.columns == ["id", "idTweet", "idExecution", "typeModel", "result"]
 
 
+def _run_tables(spark, root):
+    names = ("executions", "model_results", "tweet_results", "aggs")
+    tables_ = {n: spark.read.parquet(f"{root}/{n}") for n in names}
+    return {n: sorted(str(r) for r in t.select([F.col(c).cast("string") for c in t.columns]).collect()) for n, t in tables_.items()}
+
+
+def test_a_repeated_run_leaves_the_same_tables_and_trainings_keep_their_metrics(spark):
+    models, root, lexicons, tweets = scratch_dir(spark, "models"), scratch_dir(spark, "tables"), fx.lexicons(spark), _separable(spark)
+    spec = ml.ModelSpec("nm", "bayes", n_class_words=64)
+
+    def run(execution, rows=tweets):
+        jobs.train_run_and_store(rows, spec, lexicons, models, root, execution, "src0", "2024-01-01")
+
+    run("7")
+    first = _run_tables(spark, root)
+    run("7")
+    assert _run_tables(spark, root) == first
+    assert (len(first["executions"]), len(first["model_results"]), len(first["aggs"])) == (3, 1, 1)
+    run("8 b", tweets.withColumn("tweetText", F.lit("good great film")))
+    runs = spark.read.parquet(f"{root}/executions")
+    metrics = spark.read.parquet(f"{root}/model_results").withColumnRenamed("id", "resultModel")
+    linked = runs.join(metrics, "resultModel").select(F.col("id").cast("string"), "status", F.col("idExecution").cast("string")).collect()
+    assert sorted((r.id, r.status) for r in linked) == [("7", "runned"), ("7", "trained"), ("8 b", "runned"), ("8 b", "trained")]
+    assert all(r.id == r.idExecution for r in linked)
+    aggs = {r.id: (r.positive, r.negative) for r in spark.read.parquet(f"{root}/aggs").collect()}
+    assert aggs["agg-8 b"][1] == 0 and aggs["agg-7"][1] > aggs["agg-7"][0] > 0
+    assert set(first["tweet_results"]) <= set(_run_tables(spark, root)["tweet_results"])
+
+
 def test_evaluating_an_untrained_run_is_refused(spark):
     with pytest.raises(ValueError):
         jobs.evaluate_saved(_separable(spark), ml.ModelSpec("x", "rr"), fx.lexicons(spark), "/nowhere", "created")

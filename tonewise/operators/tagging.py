@@ -13,6 +13,7 @@ from tonewise.functions import text as tx
 from tonewise.functions.emoji import EmojiAliases, emoji_to_alias, strip_emoji
 from tonewise.operators.rows import skip_bad_rows
 from tonewise.operators.scoring import emoji_word_scores, vader_scores
+from tonewise.operators.sentences import SentenceModel, longest_sentences, score_sentences
 
 
 @dataclass(frozen=True)
@@ -126,6 +127,13 @@ def run_sentences(tweets: DataFrame, lexicons: Lexicons, execution: str, keep: S
     return as_results(scored, "nlp", execution, result, keep=keep)
 
 
+def run_trained_sentences(tweets: DataFrame, model: SentenceModel, execution: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Class of the longest sentence by a trained model of two classes: 0 negative, 2 positive."""
+    sentences = longest_sentences(skip_bad_rows(tweets), ("tweet_id", *keep))
+    scored = score_sentences(sentences, model, ("tweet_id", *keep))
+    return as_results(scored, "nlp", execution, F.when(F.col("prediction") > 0, 2.0).otherwise(0.0), keep=keep)
+
+
 def import_api_scores(tweets: DataFrame, responses: DataFrame, execution: str, keep: Sequence[str] = ()) -> DataFrame:
     """Results of an outside service, delivered as a table (tweet_id, neg, neutral, pos)."""
     joined = tweets.select("tweet_id", *keep).join(responses, "tweet_id")

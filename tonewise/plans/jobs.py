@@ -13,6 +13,7 @@ from tonewise.operators import models as ml
 from tonewise.operators.splits import split_emoji_aware
 from tonewise.operators.tagging import Lexicons, as_results, compound_of, label_for, run_emoji, run_sentences, run_vader, tokens_of
 from tonewise.operators.tallies import tally
+from tonewise.schemas import EXECUTION_STATES
 from tonewise.session import scratch_dir
 from tonewise.sources import sinks
 
@@ -108,32 +109,43 @@ def tally_kind(spec: ml.ModelSpec) -> str:
     return spec.type_model if spec.kind == "bayes" else spec.kind
 
 
+def metrics_id(spec: ml.ModelSpec, execution: str) -> str:
+    """Id of the metrics of one training; each training of a model has its own."""
+    return f"result-{spec.id}-{execution}"
+
+
 def train_run_and_store(tweets: DataFrame, spec: ml.ModelSpec, lexicons: Lexicons, models: str, tables: str, execution: str, topic: str, date: str) -> None:
-    """The whole supervised run: train, metrics, load, predict, tally; every table is appended to.
+    """The whole supervised run: train, metrics, load, predict, tally; every table gets the run's rows once.
 
     ``model_results`` gets the metrics, ``executions`` the run as created, trained and runned,
-    ``tweet_results`` a row per classified tweet and ``aggs`` its tally, taken from the stored rows.
+    ``tweet_results`` a row per classified tweet and ``aggs`` its tally, taken from the stored rows. All are
+    laid out by run, and a run replaces its own rows, so one that is repeated after a failure, or by
+    mistake, leaves the same tables. The features that were trained on are classified, not made again.
     """
     spark = tweets.sparkSession
+    result = metrics_id(spec, execution)
 
-    def state(status: str, result: DataFrame | None = None) -> None:
+    def state(status: str) -> None:
         run = spark.range(1).select(
-            F.lit(execution).alias("id"), F.lit(spec.id).alias("modelId"), F.lit(topic).alias("topicId"), F.lit(date).alias("dateExecution"), F.lit(status).alias("status")
+            F.lit(execution).alias("id"), F.lit(spec.id).alias("modelId"), F.lit(topic).alias("topicId"), F.lit(date).alias("dateExecution"),
+            F.lit(status).alias("status"), F.lit(None if status == EXECUTION_STATES[0] else result).cast("string").alias("resultModel"),
         )
-        run = run.join(result.select(F.col("id").alias("resultModel")), how="left") if result is not None else run.withColumn("resultModel", F.lit(None).cast("string"))
-        sinks.write_results(run, tables, "executions")
+        sinks.replace_results(run, tables, "executions", ["id", "status"])
 
-    state("created")
+    created, trained_state, runned = EXECUTION_STATES
+    state(created)
     trained = train_and_evaluate(tweets, spec, lexicons, models)
-    sinks.write_results(trained.metrics, tables, "model_results")
-    state("trained", spark.read.parquet(f"{tables}/model_results").where(F.col("model_id") == spec.id).limit(1))
-    sinks.write_results(run_saved(tweets, spec, lexicons, models, execution), tables, "tweet_results")
-    results = spark.read.parquet(f"{tables}/tweet_results").where(F.col("idExecution") == execution)
+    metrics = trained.metrics.select(F.lit(result).alias("id"), *[c for c in trained.metrics.columns if c != "id"], F.lit(execution).alias("idExecution"))
+    sinks.replace_results(metrics, tables, "model_results", ["idExecution"])
+    state(trained_state)
+    scored = ml.predict(ml.load_model(models, spec.kind, spec.id), trained.rows, "classify")
+    sinks.replace_results(as_results(scored, spec.kind, execution, F.col("prediction")), tables, "tweet_results", ["idExecution"])
+    results = spark.read.parquet(f"{tables}/tweet_results").where(F.col("idExecution").cast("string") == execution)
     counted = tally(results, tally_kind(spec)).select(
-        F.concat_ws("-", F.lit("agg"), F.lit(execution)).alias("id"), F.lit(topic).alias("topic_id"), F.lit(spec.id).alias("model_id"), "positive", "negative", "neutral"
+        F.concat_ws("-", F.lit("agg"), F.lit(execution)).alias("id"), F.lit(topic).alias("topic_id"), F.lit(spec.id).alias("model_id"), "positive", "negative", "neutral", F.lit(execution).alias("idExecution")
     )
-    sinks.write_results(counted, tables, "aggs")
-    state("runned", spark.read.parquet(f"{tables}/model_results").where(F.col("model_id") == spec.id).limit(1))
+    sinks.replace_results(counted, tables, "aggs", ["idExecution"])
+    state(runned)
 
 
 def run_unsupervised(tweets: DataFrame, kind: str, lexicons: Lexicons, execution: str, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:

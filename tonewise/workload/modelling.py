@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from tonewise.functions import labels
 from tonewise.operators import models as ml
+from tonewise.operators import sentences as sn
 from tonewise.operators import splits as sp
+from tonewise.operators import tagging as tg
+from tonewise.operators.scoring import vader_scores
 from tonewise.plans import jobs
 from tonewise.session import scratch_dir
 from tonewise.sources import sinks
@@ -93,6 +96,71 @@ def supervised_run(spark: SparkSession, sf: str) -> DataFrame:
     return runs.select("status", known.alias("has_metrics")).join(results).join(counted)
 
 
+SENTENCE_CLASSES = (0.0, 1.0)
+
+
+def _sentences(spark: SparkSession, sf: str) -> DataFrame:
+    """The longest sentence of every labelled text, its quality as label, and its part."""
+    truth = fx.table(spark, sf, "labels").select(F.col("doc_id").alias("tweet_id"), F.col("quality").cast("double").alias("label"))
+    tweets = fx.tweets(spark, sf, wide=True).select("tweet_id", "tweetText").join(truth, "tweet_id")
+    picked = sp.split_random(sn.longest_sentences(tweets, ("tweet_id", "label")), sp.Weights(0.6, 0.2, 0.2))
+    path = scratch_dir(spark, "sentences")
+    picked.write.parquet(path)
+    return read_table(spark, path)
+
+
+@query(
+    "train_sentences",
+    common()
+    + f"""SELECT {three_way('t.tweet_id')} AS split, count(*) AS rows, true AS above_lexicon FROM tweets t JOIN labels l ON t.tweet_id = l.doc_id GROUP BY 1""",
+)
+def train_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    """The composed sentence model against the lexicon, on the quality labels: is its accuracy higher in each part?"""
+    parts = _sentences(spark, sf)
+    model = sn.train_sentences(parts.where("split = 'train'"), SENTENCE_CLASSES)
+    scored = sn.score_sentences(parts, model, ("tweet_id", "split", "label"))
+    lexicon = vader_scores(parts, ["tweet_id"], "sentence", fx.lexicons(spark).vader).select("tweet_id", labels.two_class(F.col("compound")).alias("lexicon"))
+    hits = [F.count_if(F.col(c) == F.col("label")) for c in ("prediction", "lexicon")]
+    return scored.join(lexicon, "tweet_id").groupBy("split").agg(F.count("*").alias("rows"), (hits[0] > hits[1]).alias("above_lexicon"))
+
+
+@query("run_trained_sentences", common() + "SELECT concat('run-1-', tweet_id) AS id, tweet_id AS \"idTweet\", 'nlp' AS \"typeModel\", true AS legal FROM tweets")
+def run_trained_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    """Result rows of the trained sentence model for all texts, the model stored and loaded between; legal: a class."""
+    path = scratch_dir(spark, "sentence-model")
+    sn.save_sentences(sn.train_sentences(_sentences(spark, sf), SENTENCE_CLASSES), spark, path)
+    results = tg.run_trained_sentences(fx.tweets(spark, sf, wide=True), sn.load_sentences(spark, path), ag.RUN)
+    return results.select("id", "idTweet", "typeModel", F.col("result").isin(0.0, 2.0).alias("legal"))
+
+
+# Two kinds of texts that any of the models can tell apart.
+SEPARABLE = "SELECT doc_id AS tweet_id, CASE WHEN doc_id % 3 = 0 THEN 'good great film' ELSE 'awful bad film' END AS tweetText, source AS topic, false AS contain_emoji FROM documents"
+PLAIN = (
+    ml.ModelSpec("s-nb", "bayes", type_model="bernoulli", n_class_words=64),
+    ml.ModelSpec("s-nm", "bayes", n_class_words=64),
+    ml.ModelSpec("s-rf", "rr", num_trees=5, depth=3, n_class_words=64),
+    ml.ModelSpec("s-gb", "boosting", num_iterations=3, depth=2, n_class_words=64),
+)
+
+
+@query(
+    "separable_models",
+    f"""WITH rows AS ({SEPARABLE}) SELECT m.id AS model, tweet_id % 3 = 0 AS good, CASE WHEN tweet_id % 3 = 0 THEN m.up ELSE m.down END AS class, count(*) AS n
+    FROM rows, (VALUES ('s-nb', 1.0::DOUBLE, 0.0::DOUBLE), ('s-nm', 2.0::DOUBLE, 0.0::DOUBLE), ('s-rf', 2.0::DOUBLE, 0.0::DOUBLE), ('s-gb', 2.0::DOUBLE, 0.0::DOUBLE)) m(id, up, down) GROUP BY ALL""",
+)
+def separable_models(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions by class of each kind of model: on separable texts all of them must be right."""
+    tweets, root, out = fx.shaped(spark, sf, SEPARABLE, "documents"), scratch_dir(spark, "models"), None
+    lexicons = fx.lexicons(spark)
+    for spec in PLAIN:
+        trained = jobs.train_and_evaluate(tweets, spec, lexicons, root)
+        found = ml.predict(trained.model, trained.rows, on=None)
+        value = labels.boosting_class(F.col("prediction")) if spec.kind == "boosting" else F.col("prediction")
+        rows = found.select(F.lit(spec.id).alias("model"), (F.col("tweet_id") % 3 == 0).alias("good"), value.cast("double").alias("class"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("model", "good", "class").agg(F.count("*").alias("n"))
+
+
 @query("save_load_model", "SELECT count(*) AS rows, count(*) AS agreeing FROM documents")
 def save_load_model(spark: SparkSession, sf: str) -> DataFrame:
     """A stored model predicts as the one that was trained."""
