@@ -16,8 +16,11 @@ from tonewise.workload import fixtures as fx
 
 def test_lexicon_file_last_line_wins_over_many_blocks(spark, tmp_path):
     lines = [f"w{i % 50}\t{i}.5\textra" for i in range(5000)] + ["broken line", "", "  spaced\t-1.0"]
-    path = tmp_path / "lexicon.txt"
-    path.write_text("\n".join(lines), encoding="utf-8")
+    path = tmp_path / "the lexicon"
+    path.mkdir()
+    (path / "a 1%20é.txt").write_text("\n".join(lines[:2000]), encoding="utf-8")
+    (path / "b.txt").write_text("\n".join(lines[2000:]), encoding="utf-8")
+    (path / "aa.txt").write_text("w1\t7\nw2\t8", encoding="utf-8")
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
     try:

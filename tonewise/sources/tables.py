@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tonewise import schemas
+from tonewise.operators.joins import BROADCAST_ROWS
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | None = None, **options: str) -> DataFrame:
@@ -44,16 +45,29 @@ def coerce_tweets(lines: DataFrame, line: str = "value") -> DataFrame:
     ).where(F.col("tweet_id").isNotNull() & F.col("tweetText").isNotNull())
 
 
+#: Bits of a line's place within its file: room for 16 terabytes.
+_FILE_BITS = 44
+
+
 def lexicon_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, place): place orders the lines as in the file, however Spark splits it."""
-    return spark.read.text(path).select(
+    """(line, place): place is one number that orders the lines as in the files, however Spark splits them.
+
+    Files follow one another by name. Within a file a line's place is the start of its split and the line's number
+    in the task. A task reads no more bytes than a split may have, and a line has a byte at least, so no
+    line reaches the place of one in a later split. A number, unlike a struct with the name, lets the lookup of
+    the last line combine in a hash table.
+    """
+    lines = spark.read.text(path)
+    ranks = [(name, i) for i, name in enumerate(sorted(lines.inputFiles()))]
+    files = spark.createDataFrame(ranks, "file string, rank long")
+    placed = lines.select(
         F.col("value").alias("line"),
-        F.struct(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("row"),
-        ).alias("place"),
+        F.input_file_name().alias("file"),
+        (F.input_file_block_start() + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).alias("at"),
     )
+    files = F.broadcast(files) if len(ranks) <= BROADCAST_ROWS else files
+    rank = F.coalesce("rank", F.raise_error(F.concat(F.lit("not listed: "), "file")).cast("long"))
+    return placed.join(files, "file", "left").select("line", (F.shiftleft(rank, _FILE_BITS) + F.col("at")).alias("place"))
 
 
 def parse_lexicon(lines: DataFrame) -> DataFrame:
@@ -61,7 +75,7 @@ def parse_lexicon(lines: DataFrame) -> DataFrame:
 
     max_by combines on the map side, so a token repeated on a third of all lines is no hot group.
     """
-    fields = F.split(F.trim(F.regexp_replace("line", r"^[\s]+|[\s]+$", "")), "\t")
+    fields = F.split(F.btrim("line", F.lit(" \t\n\x0b\f\r")), "\t", 3)
     rows = lines.select(
         F.get(fields, F.lit(0)).alias("token"),
         F.get(fields, F.lit(1)).try_cast("double").alias("valence"),

@@ -148,37 +148,56 @@ def realtime_only(stream: DataFrame, pickups: DataFrame) -> DataFrame:
     return lookup(stream, "key", measure(realtime_topics(pickups), "id"), "left_semi")
 
 
-def score_messages(batch: DataFrame, lexicons: Lexicons) -> DataFrame:
-    """key, value, timestamp with the five-class name and code of the longest sentence.
+def _with_digest(batch: DataFrame) -> DataFrame:
+    """Messages with their longest sentence and its digest; those without text are left out."""
+    rows = skip_bad_rows(batch, "value").select("key", "value", "timestamp", longest_sentence(F.col("value")).alias("sentence"))
+    return rows.withColumn("digest", F.sha2("sentence", 256))
 
-    Sentences repeat, so each distinct one is scored once. Only sentences are shuffled for that; their
-    scores are stored and looked up by the digest of the sentence, and as long as they fit a broadcast
-    the texts themselves stay where they are.
-    """
-    spark = batch.sparkSession
-    sentence = longest_sentence(F.col("value"))
-    rows = skip_bad_rows(batch, "value").withColumn("digest", F.sha2(F.coalesce(sentence, F.lit("")), 256))
-    sentences = rows.select("digest", sentence.alias("sentence")).distinct()
-    scored = vader_scores(sentences, ["digest"], "sentence", lexicons.vader).select(
+
+def _distinct_scores(rows: DataFrame, lexicons: Lexicons) -> DataFrame:
+    """(scored_digest, code) of each distinct sentence; only sentences are shuffled."""
+    sentences = rows.select("digest", "sentence").distinct()
+    return vader_scores(sentences, ["digest"], "sentence", lexicons.vader).select(
         F.col("digest").alias("scored_digest"), labels.five_class(F.col("compound")).alias("code")
     )
-    path = scratch_dir(spark, "sentences")
-    scored.write.parquet(path)
-    joined = lookup(rows, "digest", measure(spark.read.schema(scored.schema).parquet(path), "scored_digest"))
+
+
+def _scored(rows: DataFrame, scores: DataFrame) -> DataFrame:
+    """Messages with the class of their sentence; texts stay where they are while the scores fit a broadcast."""
+    joined = lookup(rows, "digest", measure(scores, "scored_digest"))
     return joined.select(
         "key", "value", "timestamp", labels.sentiment_name(F.col("code")).alias("sentiment"), "code"
     )
 
 
+def score_messages(batch: DataFrame, lexicons: Lexicons) -> DataFrame:
+    """key, value, timestamp with the five-class name and code of the longest sentence.
+
+    Sentences repeat, so each distinct one is scored once, and the scores are stored and looked up by digest.
+    """
+    rows = _with_digest(batch)
+    scores, path = _distinct_scores(rows, lexicons), scratch_dir(batch.sparkSession, "sentences")
+    scores.write.parquet(path)
+    return _scored(rows, batch.sparkSession.read.schema(scores.schema).parquet(path))
+
+
 def stream_score(stream: DataFrame, lexicons: Lexicons, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Score arriving messages into an append-only table that other streams read."""
-    return _start(
-        stream,
-        lambda batch, batch_id: _store_batch(score_messages(batch, lexicons), path, batch_id),
-        checkpoint,
-        "append",
-        once,
-    )
+    """Score arriving messages into an append-only table that other streams read.
+
+    A batch's sentences and their scores are kept while the batch is stored, so texts are cut once and
+    nothing is left behind.
+    """
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        rows = _with_digest(batch).persist()
+        scores = _distinct_scores(rows, lexicons).persist()
+        try:
+            _store_batch(_scored(rows, scores), path, batch_id)
+        finally:
+            scores.unpersist()
+            rows.unpersist()
+
+    return _start(stream, sink, checkpoint, "append", once)
 
 
 def window_tally(scored: DataFrame, window: str = WINDOW) -> DataFrame:

@@ -61,16 +61,14 @@ LINES = """lines AS (SELECT lower(unnest(string_split(tweetText, ' '))) AS token
 )
 def load_lexicon(spark: SparkSession, sf: str) -> DataFrame:
     """A lexicon file of all words, with most words repeated; the last line of a word wins."""
-    rows = fx.tweets(spark, sf, wide=True).select(
-        "tweet_id", F.posexplode(F.split("tweetText", " ")).alias("i", "word")
-    )
+    # Texts in ranges of their ids, so the files and the lines of each stand in the order of the words.
+    cores = spark.sparkContext.defaultParallelism
+    rows = fx.tweets(spark, sf).select("tweet_id", "tweetText").repartitionByRange(cores, "tweet_id").sortWithinPartitions("tweet_id")
     valence = ((F.col("tweet_id") % 81 - 40) / 10).cast("string")
-    lines = rows.where("word <> ''").select(
-        F.concat(F.lit(" "), F.lower("word"), F.lit("\t"), valence, F.lit("\tignored ")).alias("line"),
-        (F.col("tweet_id") * 100000 + F.col("i") + 1).alias("place"),
-    )
+    words = rows.select(valence.alias("valence"), F.explode(F.split("tweetText", " ")).alias("word")).where("word <> ''")
+    lines = words.select(F.concat(F.lit(" "), F.lower("word"), F.lit("\t"), "valence", F.lit("\tignored ")).alias("line"))
     path = scratch_dir(spark, "lexicon")
-    lines.orderBy("place").select("line").write.text(path)
+    lines.write.text(path)
     return src.load_lexicon(spark, path)
 
 
