@@ -14,7 +14,8 @@ broadcast and a task holds one block of either side.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do those of
 another dimension than most. A candidate with the id of the query is the query's own row. Repeated
-ids are separate candidates. Ties go to the smaller id. Fewer than k candidates give all of them.
+ids are separate candidates. Ties go to the smaller id. Fewer than k candidates give all of them. A
+product beyond double precision is infinite in the answer.
 """
 
 from __future__ import annotations
@@ -53,18 +54,24 @@ def matrix(column: pa.Array, dimension: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dimension)
 
 
-def index(vectors: DataFrame, vector: str, vec_id: str, folder: str) -> tuple[DataFrame, int, np.ndarray, np.ndarray]:
-    """Stored (id, vector, code, length, fit) of all rows that take part, with dimension, mean and rotation."""
+def index(vectors: DataFrame, vector: str, vec_id: str, folder: str) -> tuple[DataFrame, int, np.ndarray, np.ndarray, float]:
+    """Stored (id, vector, code, length, fit) of all rows that take part, with dimension, mean, rotation and scale.
+
+    Codes and bounds are those of the vectors times the scale, a power of two that brings the largest component
+    below 1, so that no length or product in them is beyond double precision.
+    """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector")).where(F.col("id").isNotNull() & sound(F.col("vector")))
     sizes = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
     dimension = sizes["d"] if sizes else 1
     rows = rows.where(F.size("vector") == dimension)
+    largest = rows.agg(F.max(F.array_max(F.transform("vector", lambda x: F.abs(x))))).first()[0] or 1.0
+    scale = float(2.0 ** -min(max(int(np.frexp(largest)[1]), -1022), 1023))
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(dimension), 0
         for batch in batches:
-            total += matrix(batch.column(0), dimension).sum(0)
+            total += (matrix(batch.column(0), dimension) * scale).sum(0)
             n += batch.num_rows
         yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64())), pa.array([n])], ["total", "n"])
 
@@ -76,7 +83,7 @@ def index(vectors: DataFrame, vector: str, vec_id: str, folder: str) -> tuple[Da
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            turned = (matrix(batch.column(1), dimension) - mean) @ turn
+            turned = (matrix(batch.column(1), dimension) * scale - mean) @ turn
             length = np.sqrt((turned**2).sum(1))
             fit = np.abs(turned).sum(1) / np.maximum(length, 1e-300) / np.sqrt(dimension)
             codes = np.packbits(turned > 0, axis=1)
@@ -84,16 +91,16 @@ def index(vectors: DataFrame, vector: str, vec_id: str, folder: str) -> tuple[Da
 
     kinds = "id long, vector array<double>, code binary, length double, fit double"
     rows.mapInArrow(encode, kinds).write.parquet(f"{folder}/index")
-    return spark.read.schema(kinds).parquet(f"{folder}/index"), dimension, mean, turn
+    return spark.read.schema(kinds).parquet(f"{folder}/index"), dimension, mean, turn, scale
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int = 20, vector: str = "embedding", vec_id: str = "vec_id") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that meets ``queries``, a condition on ``vec_id``."""
     spark, folder = vectors.sparkSession, store.new_folder(vectors.sparkSession, "codes")
-    stored, dimension, mean, turn = index(vectors, vector, vec_id, folder)
+    stored, dimension, mean, turn, scale = index(vectors, vector, vec_id, folder)
     rows, most = stored.count(), max(1, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * dimension)))
     drawn = stored.select("id", "vector").where(F.pmod(F.xxhash64("id", F.lit(9)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most / max(rows, 1)))).toArrow()
-    store.write(folder, "sample", 0, {"id": drawn.column("id").to_numpy(), "vector": matrix(drawn.column("vector").combine_chunks(), dimension)})
+    store.write(folder, "sample", 0, {"id": drawn.column("id").to_numpy(), "vector": matrix(drawn.column("vector").combine_chunks(), dimension) * scale})
     files = {"id": "i8", "vector": "f8"}
     asked = stored.withColumnRenamed("id", vec_id).where(queries).select(F.col(vec_id).alias("id"), "vector")
 
@@ -105,7 +112,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, vector: str = "emb
             for at in range(0, batch.num_rows, QUERY_BLOCK):
                 part = batch.slice(at, QUERY_BLOCK)
                 ids, vectors = part.column(0).to_numpy(), matrix(part.column(1), dimension)
-                store.write(folder, "query", number, {"id": ids, "vector": vectors, "floor": _floor(ids, vectors, sample, k)})
+                store.write(folder, "query", number, {"id": ids, "vector": vectors, "floor": _floor(ids, vectors * scale, sample, k)})
                 yield pa.RecordBatch.from_arrays([pa.array([number])], ["block"])
                 number += 1
 
@@ -115,7 +122,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, vector: str = "emb
         for batch in batches:
             for at in range(0, batch.num_rows, ROW_BLOCK):
                 for number in numbers:
-                    yield _search(batch.slice(at, ROW_BLOCK), store.mapped(folder, "query", number, {**files, "floor": "f8"}), k, mean, turn)
+                    yield _search(batch.slice(at, ROW_BLOCK), store.mapped(folder, "query", number, {**files, "floor": "f8"}), k, mean, turn, scale)
 
     found = stored.mapInArrow(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -129,7 +136,16 @@ def _floor(ids: np.ndarray, vectors: np.ndarray, sample: dict[str, np.ndarray],
     return np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k] if score.shape[1] >= k else np.full(len(ids), -np.inf)
 
 
-def _search(rows: pa.RecordBatch, block: dict[str, np.ndarray], k: int, mean: np.ndarray, turn: np.ndarray) -> pa.RecordBatch:
+def _products(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Exact products; in a wider type where double precision does not hold one, so that opposite terms still cancel."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        score = (rows * query).sum(1)
+        if np.isfinite(score).all():
+            return score
+        return (rows.astype(np.longdouble) * query).sum(1)
+
+
+def _search(rows: pa.RecordBatch, block: dict[str, np.ndarray], k: int, mean: np.ndarray, turn: np.ndarray, unit: float) -> pa.RecordBatch:
     """The k best of some rows for each query of a block."""
     dimension = len(mean)
     ids, exact = rows.column(0).to_numpy(), matrix(rows.column(1), dimension)
@@ -139,20 +155,21 @@ def _search(rows: pa.RecordBatch, block: dict[str, np.ndarray], k: int, mean: np
     scale = length / fit / np.sqrt(dimension)
     slack = SURE * length * np.sqrt(np.maximum(1 - fit**2, 0)) / fit / np.sqrt(max(dimension - 1, 1)) + 1e-5 * length
     asked, vectors, floor = np.asarray(block["id"]), np.asarray(block["vector"]).reshape(-1, dimension), np.asarray(block["floor"])
-    upper = (vectors @ turn).astype(np.float32) @ (signs * scale[:, None].astype(np.float32)).T
-    upper += np.sqrt((vectors**2).sum(1)).astype(np.float32)[:, None] * slack.astype(np.float32)
-    reach = upper >= (floor - vectors @ mean).astype(np.float32)[:, None]
+    scaled = vectors * unit
+    upper = (scaled @ turn).astype(np.float32) @ (signs * scale[:, None].astype(np.float32)).T
+    upper += np.sqrt((scaled**2).sum(1)).astype(np.float32)[:, None] * slack.astype(np.float32)
+    reach = ~(upper < (floor - scaled @ mean).astype(np.float32)[:, None])  # what can't be judged is reranked
     found: tuple[list, list, list] = [], [], []
     for query in range(len(asked)):
         candidate = np.flatnonzero(reach[query])
         candidate = candidate[ids[candidate] != asked[query]]
-        score = (exact[candidate] * vectors[query]).sum(1)
+        score = _products(exact[candidate], vectors[query])
         if len(score) > k:
             near = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])  # with all ties
             candidate, score = candidate[near], score[near]
         order = np.lexsort((ids[candidate], -score))[:k]
         found[0].append(np.full(len(order), asked[query]))
         found[1].append(ids[candidate[order]])
-        found[2].append(score[order])
+        found[2].append(score[order].astype(np.float64))
     columns = [np.concatenate([np.zeros(0, kind), *part]) for part, kind in zip(found, (np.int64, np.int64, np.float64))]
     return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["query_id", "vec_id", "score"])
