@@ -5,9 +5,9 @@ the word's vector. ``Classifier`` averages word vectors and applies a linear sof
 softmax are learned together by stochastic gradient descent with per-weight steps. Unseen spellings
 share n-grams with the words they distort.
 
-``window`` 0 averages over the document. A positive value averages over each run of that many words
-and takes the document's most likely run, so one passage counts as much in a long text as in a
-short one.
+``window`` 0 averages over the document. A positive value averages over each run of that many words,
+from every word on, and takes the document's most likely run, so one passage counts as much in a long
+text as in a short one, wherever it stands. A text of fewer words is one run.
 
 ``patterns`` adds word n-grams in a form that does not depend on the words: for each word, how far
 back it last stood in the text (a hashed "A A", "A . A", ...), which is how repetition shows.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from tonewise.llm.store import new_folder
-from tonewise.llm.words import _BYTE, Chunk, chunks, mix, powers
+from tonewise.llm.words import _BYTE, Chunk, chunks, inside, mix, powers
 
 BUCKETS = 1 << 18
 NGRAMS = (3, 4, 5)
@@ -43,6 +43,8 @@ _U64 = np.uint64
 #: Buckets that fewer training texts than this hold keep the weight 0.
 LEAST_TEXTS = 3
 _SUB = 0xA0761D6478BD642F | 1
+#: A word's value is rounded to multiples of 1 / _UNIT when texts are scored.
+_UNIT = float(1 << 32)
 _PATTERNS = 24  # distances by powers of two, the last for a first occurrence
 
 
@@ -104,23 +106,31 @@ class Classifier:
         value = word[back]
         if self.patterns:
             value = value + self.pattern_weights[pattern_ids(chunk)]
-        row, lone = _runs(chunk.bounds, self.window)
-        sums, n = np.bincount(row, value, len(lone)), np.bincount(row, minlength=len(lone))
-        runs = sums / np.maximum(n, 1) + self.offset
-        starts = np.searchsorted(lone, np.arange(chunk.rows))
-        return np.maximum.reduceat(runs, starts)
+        # Whole numbers, so that a row's sums don't depend on the rows before it.
+        value = np.rint(value * _UNIT).astype(np.int64)
+        start, size = best_runs(value, chunk.bounds, self.window)
+        total = np.concatenate([np.zeros(1, np.int64), np.cumsum(value)])
+        return (total[start + size] - total[start]) / (np.maximum(size, 1) * _UNIT) + self.offset
 
 
-def _runs(bounds: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Run of every word, and row of every run; a row without words has one empty run."""
+def best_runs(value: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of each row's run of ``window`` words with the largest sum; the first of equal ones.
+
+    Without a window, or with fewer words, the run is the row.
+    """
     counts = np.diff(bounds)
-    rows = len(counts)
-    if not window:
-        return np.repeat(np.arange(rows), counts), np.arange(rows)
-    runs = np.maximum(1, -(-counts // window))
-    first = np.cumsum(runs) - runs
-    inside = np.arange(int(bounds[-1])) - np.repeat(bounds[:-1], counts)
-    return np.repeat(first, counts) + inside // window, np.repeat(np.arange(rows), runs)
+    start, size = bounds[:-1].copy(), counts.copy()
+    at = inside(bounds, window) if window else np.zeros(0, np.int64)
+    if len(at):
+        total = np.concatenate([np.zeros(1, value.dtype), np.cumsum(value)])
+        sums = total[at + window] - total[at]
+        rows = np.flatnonzero(counts >= window)
+        first = np.searchsorted(at, bounds[rows])
+        most = np.maximum.reduceat(sums, first)
+        best = np.flatnonzero(sums == np.repeat(most, np.diff(np.append(first, len(at)))))
+        start[rows] = at[best[np.searchsorted(best, first)]]
+        size[rows] = window
+    return start, size
 
 
 def train(texts: pa.Array | pa.ChunkedArray, labels: np.ndarray, window: int = 0, lower: bool = False, patterns: bool = False,
@@ -154,30 +164,23 @@ def train(texts: pa.Array | pa.ChunkedArray, labels: np.ndarray, window: int = 0
             sptr = np.concatenate([[0], np.cumsum(size)])
             subs = sub[np.repeat(sub_ptr[distinct] - sptr[:-1], size) + np.arange(int(sptr[-1]))]
             vectors = np.add.reduceat(table[subs], sptr[:-1], axis=0) / size[:, None] if len(distinct) else np.zeros((0, DIMENSIONS), np.float32)
-            run, row_of_run = _runs(ptr, window)
-            n = np.maximum(np.bincount(run, minlength=len(row_of_run)), 1)
             value = vectors[back]
             if patterns:
                 value = value + shapes[pats[flat]]
-            mean = np.stack([np.bincount(run, value[:, k], len(row_of_run)) for k in range(DIMENSIONS)], 1) / n[:, None]
+            # The first epoch learns from all words alike, the others from each text's most likely run.
+            start, n = best_runs(value @ (softmax[:, 1] - softmax[:, 0]), ptr, window if epoch else 0)
+            row = np.repeat(np.arange(len(part)), n)
+            live = np.repeat(start - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            mean = np.stack([np.bincount(row, value[live, k], len(part)) for k in range(DIMENSIONS)], 1) / np.maximum(n, 1)[:, None]
             logit = mean @ softmax + bias
-            if window and epoch:
-                gap = logit[:, 1] - logit[:, 0]
-                order = np.lexsort((-gap, row_of_run))
-                chosen = order[np.searchsorted(row_of_run[order], np.arange(len(part)))]
-                weight = np.zeros(len(row_of_run))
-                weight[chosen] = 1
-            else:
-                weight = 1 / np.bincount(row_of_run, minlength=len(part))[row_of_run]
             p = np.exp(logit - logit.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            p[np.arange(len(p)), y[part][row_of_run]] -= 1
-            p *= weight[:, None] / len(part)
-            up = (p @ softmax.T) / n[:, None]
+            p[np.arange(len(p)), y[part]] -= 1
+            p /= len(part)
+            up = (p @ softmax.T) / np.maximum(n, 1)[:, None]
             _step(softmax, seen["softmax"], mean.T @ p, step)
             _step(bias, seen["bias"], p.sum(0), step)
-            live = weight[run] > 0
-            per_word = up[run[live]]
+            per_word = up[row]
             if patterns:
                 grad = np.stack([np.bincount(pats[flat][live], per_word[:, k], _PATTERNS) for k in range(DIMENSIONS)], 1)
                 _step(shapes, seen["shapes"], grad, step)
