@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -74,4 +78,33 @@ def test_arrays_are_merged_written_and_found(tmp_path):
     want = {int(k): int(values[keys == k].sum()) for k in np.unique(keys)}
     assert found["v"].tolist() == [want.get(int(k), -1) for k in asked]
     assert found["found"].tolist() == [int(k) in want for k in asked]
+    assert len(list(tmp_path.iterdir())) == 8  # a file a shard
+    (tmp_path / "x-0000003").unlink()
+    store._open.clear()
+    with pytest.raises(FileNotFoundError):
+        store.lookup(str(tmp_path), "x", 3, asked, {"v": "i8"}, {"v": -1})
+
+
+def test_many_shards_need_few_handles(tmp_path):
+    """Two thousand shards of three columns under a limit of 256 handles, in a process of its own."""
+    code = f"""
+import resource, numpy as np
+from tonewise.llm import store
+keys = np.sort(np.random.default_rng(1).integers(0, 2**64 - 1, 40_000, dtype=np.uint64))
+for shard, part in enumerate(np.split(keys, np.searchsorted(keys, np.arange(1, 2048, dtype=np.uint64) << np.uint64(53)))):
+    store.write({str(tmp_path)!r}, "t", shard, {{"key": part, "a": np.arange(len(part), dtype="u1"), "b": part.astype("f8")}})
+resource.setrlimit(resource.RLIMIT_NOFILE, (256, 256))
+for _ in range(2):
+    got = store.lookup({str(tmp_path)!r}, "t", 11, keys, {{"a": "u1", "b": "f8"}}, {{"a": 0, "b": 0}})
+    assert got["found"].all() and (got["b"] == keys.astype("f8")).all()
+assert len(store._open) <= store.MAPS
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).parents[2])
+
+
+def test_every_shard_is_written_and_read(spark, tmp_path):
+    packed = spark.createDataFrame([], store.schema({"v": "i8"}))
+    assert store.build(packed, str(tmp_path), "none", 4, {"v": "i8"}, {"v": "add"}) == 0
     assert len(list(tmp_path.iterdir())) == 16
+    got = store.lookup(str(tmp_path), "none", 4, np.arange(0, 2**63, 2**59, dtype=np.uint64), {"v": "i8"}, {"v": 7})
+    assert not got["found"].any() and (got["v"] == 7).all()

@@ -9,9 +9,16 @@ host's share of pages has at least this share in one of its groups; those are ca
 pages are counted over all groups of the host. So the grouping has no influence on the result.
 
 A page is read as blocks. Blocks in menus, headers, footers, sidebars, notices, adverts, forms and
-reader comments, known by their tag, role or class names, go. If the page marks an article (``article``
-or ``main``), the rest of that is the text, repeated or not: an article that two pages share is still
-an article. On other pages tokens covered by boilerplate go and the unique runs stay.
+reader comments, known by their tag, role or class names, go. A name counts if all its parts are words
+for such things ("share-buttons", not "social-security-form"), and within an article only on elements
+that hold others: a paragraph, a heading or an inline element there is text whatever its class, and a
+header there holds the title. If the page marks an article (``article`` or ``main``), the rest of that is
+the text, repeated or not: an article that two pages share is still an article. An article inside an
+element that goes (a comment, say) goes with it, unless that element was never closed. On other pages
+tokens covered by boilerplate go and the unique runs stay.
+
+Scripts, styles, drawings and the like go up to their end tag; one that closes itself ends at once, and
+one without an end tag at the next block.
 
 Null or empty html gives the empty text. Markup may be cut off or badly nested; nothing is capped.
 Pages without a host form groups of their own. Columns besides id, url and html are left out.
@@ -40,21 +47,29 @@ RUN = 8
 LEAST_PAGES = 3
 LEAST_SHARE = 0.05
 
+_RAW = "script|style|noscript|template|svg|iframe|textarea|select|title|object|math"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|select|title|object|math)\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
+    rf"|<(?P<raw>{_RAW})\b(?P<inside>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    rf"|<(?P<raw2>{_RAW})\b(?P<inside2>[^>]*+)(?:>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<close2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<rest2>[^>]*+)(?:>|\Z)"
     r"|<[!?/][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
+_RAW_END = {tag: re.compile(rf"</{tag}\s*+>", re.I) for tag in _RAW.split("|")}
+#: Raw elements that may hold blocks of their own; in the others a block says that the end tag is missing.
+_HOLDS_BLOCKS = frozenset(["noscript", "template", "iframe", "object", "script", "style", "textarea"])
 _NAME = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+_BLOCK_TAG = re.compile(rf"</?(?:{'|'.join(sorted(_BLOCK, key=len, reverse=True))})\b", re.I)
 _SKIPPED = frozenset("nav header footer aside form menu button dialog head".split())
+#: Elements that a name can drop from within an article.
+_CONTAINERS = frozenset("div section ul ol dl table details fieldset figure center".split())
 _CONTENT = frozenset(["article", "main"])
 _UNWANTED = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsored sponsor promo promotion cookie cookies consent gdpr notice alert "
@@ -62,28 +77,72 @@ _UNWANTED = frozenset(
     "respond share sharing social related recommended recommendations newsletter subscribe subscription signup login popup modal overlay "
     "widget toolbar pagination pager skip contentinfo complementary search form toc".split()
 )
+#: Words that say where such a thing stands or what it is made of; alone they name nothing.
+_NEUTRAL = frozenset(
+    "area bar block blocks body bottom box button buttons container content count first form global group icon icons inline inner item items label "
+    "last left line link links list main mobile module outer page panel post posts primary right row secondary section site slot small text title "
+    "top us wrap wrapper by on the".split()
+)
+_HEADERS = frozenset(["header", "masthead", "banner"])
+_NUMBER = re.compile(r"\d+(?:x\d+)?")
 _PARTS = re.compile(r"[^a-z0-9]+")
 
 
-def unwanted(tag: str, attributes: str) -> bool:
-    """Whether an element is by its name no part of the main text."""
+def unwanted(tag: str, attributes: str, within: bool = False) -> bool:
+    """Whether an element is by its tag or name no part of the main text; ``within`` an article less is."""
+    if within and (tag == "header" or tag not in _SKIPPED and tag not in _CONTAINERS and tag not in _CONTENT):
+        return False
     if tag in _SKIPPED:
         return True
     if tag in ("body", "html") or tag in _CONTENT and not re.search("comment", attributes, re.I):
         return False
     for found in _NAME.finditer(attributes):
         for name in (found[1] or found[2] or found[3] or "").lower().split():
-            words = _PARTS.split(name)
-            if words[0] in _UNWANTED or words[-1] in _UNWANTED:
+            words = [w for w in _PARTS.split(name) if w and not _NUMBER.fullmatch(w)]
+            bad = [w for w in words if w in _UNWANTED and not (within and w in _HEADERS)]
+            if bad and all(w in _UNWANTED or w in _NEUTRAL for w in words):
                 return True
     return False
 
 
+def tokens_of(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, tag, whether it closes, attributes) of all markup; raw elements are one token without a tag."""
+    at, no_end = 0, set()
+    while (token := _TOKEN.search(page, at)) is not None:
+        at, raw = token.end(), (token["raw"] or token["raw2"] or "").lower()
+        if raw:
+            if not (token["inside"] or token["inside2"] or "").endswith("/"):
+                end = None if raw in no_end else _RAW_END[raw].search(page, at)
+                if end is None:
+                    no_end.add(raw)
+                block = _BLOCK_TAG.search(page, at) if end is None or raw not in _HOLDS_BLOCKS else None
+                if block is not None and (end is None or block.start() < end.start()):
+                    at = block.start()
+                else:
+                    at = end.end() if end is not None else len(page)
+            yield token.start(), at, "raw", False, ""
+            continue
+        closes = bool(token["close"] or token["close2"])
+        yield token.start(), at, (token["tag"] or token["tag2"] or "").lower(), closes, token["rest"] or token["rest2"] or ""
+
+
+def _closed(tokens: list[tuple[int, int, str, bool, str]]) -> set[int]:
+    """Which opening tags have an end tag of their own name."""
+    open_, closed = {}, set()
+    for i, (_, _, tag, closes, _) in enumerate(tokens):
+        if not closes:
+            open_.setdefault(tag, []).append(i)
+        elif open_.get(tag):
+            closed.add(open_[tag].pop())
+    return closed
+
+
 def blocks(page: str | None) -> list[tuple[str, bool, bool]]:
     """(text, dropped by its markup, inside an article) of all blocks in page order."""
     found: list[tuple[str, bool, bool]] = []
     parts: list[str] = []
     skipped: list[str] = []  # the open element that is skipped, then open elements of the same name in it
+    ends = False  # whether that element has an end tag
     content = 0
 
     def flush() -> None:
@@ -92,40 +151,42 @@ def blocks(page: str | None) -> list[tuple[str, bool, bool]]:
         if text:
             found.append((text, bool(skipped), content > 0))
 
-    at = 0
     page = page or ""
-    for token in _TOKEN.finditer(page):
-        parts.append(page[at : token.start()])
-        at = token.end()
-        tag = (token["tag"] or token["tag2"] or "").lower()
-        if token["raw"]:
+    tokens = list(tokens_of(page))
+    closed = _closed(tokens)
+    at = 0
+    for i, (start, end, tag, closes, rest) in enumerate(tokens):
+        parts.append(page[at:start])
+        at = end
+        if tag == "raw":
             parts.append(" ")
             continue
         if not tag:
             continue
-        closes = bool(token["close"] or token["close2"])
         if tag in _BLOCK:
             flush()
         elif tag == "br":
             parts.append(" ")
         if tag in _VOID:
             continue
-        rest = token["rest"] or token["rest2"] or ""
         if closes:
-            if tag in _CONTENT and not (skipped and skipped[0] == tag):
+            if tag in _CONTENT and not skipped:
                 flush()
                 content = max(0, content - 1)
-                skipped.clear()
             elif skipped and tag == skipped[-1]:
                 flush()
                 skipped.pop()
+            elif tag in _CONTENT and not ends:
+                flush()
+                content = max(0, content - 1)
+                skipped.clear()
             elif tag in ("body", "html"):
                 flush()
                 skipped.clear()
         elif rest.endswith("/"):
             continue
         elif skipped:
-            if tag in _CONTENT and not unwanted(tag, rest) and skipped[0] not in _CONTENT:
+            if tag in _CONTENT and not ends and not unwanted(tag, rest) and skipped[0] not in _CONTENT:
                 flush()  # an article starts in what was never closed
                 skipped.clear()
                 content += 1
@@ -133,9 +194,10 @@ def blocks(page: str | None) -> list[tuple[str, bool, bool]]:
                 skipped.clear()
             elif tag == skipped[0]:
                 skipped.append(tag)
-        elif unwanted(tag, rest):
+        elif unwanted(tag, rest, content > 0):
             flush()
             skipped.append(tag)
+            ends = i in closed
         elif tag in _CONTENT:
             flush()
             content += 1
@@ -153,7 +215,7 @@ def _stretches(text: np.ndarray, page_of: np.ndarray, run: int) -> tuple[np.ndar
     while depth < run:  # suffixes sorted by twice as many tokens, at last by exactly ``run``
         step = min(depth, run - depth)
         after = np.full(n, -1, np.int64)
-        after[: n - step] = rank[step:]
+        after[: max(0, n - step)] = rank[step:]
         order = np.lexsort((after, rank))
         new = np.concatenate([[False], (rank[order][1:] != rank[order][:-1]) | (after[order][1:] != after[order][:-1])])
         rank = np.empty(n, np.int64)
@@ -337,10 +399,10 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", page_id: str
     boiler = found.where("whole").select("key", "least").mapInArrow(packed(COUNT, how, decided), store.schema(COUNT))
     if not sizes.isEmpty():
         rest = found.where("not whole").select("key", "least").mapInArrow(packed(LEAST, {"least": "min"}, listed), store.schema(LEAST))
-        store.build(rest, folder, "candidate", LEAST, {"least": "min"})
+        store.build(rest, folder, "candidate", bits, LEAST, {"least": "min"})
         several = read.join(sizes, "host", "left_semi").select("host", text)
         boiler = boiler.unionByName(several.mapInArrow(packed(COUNT, how, counts), store.schema(COUNT)))
-    store.build(boiler, folder, "boiler", COUNT, how, keep=lambda keys, values: {"key": keys[values["n"] >= values["least"]]})
+    store.build(boiler, folder, "boiler", bits, COUNT, how, keep=lambda keys, values: {"key": keys[values["n"] >= values["least"]]})
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -12,8 +12,9 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, component) of all ends of the edges (a, b); a component is named by its smallest id.
 
     Alternates large-star and small-star steps until the edges stop changing. A step takes a minimum
-    per vertex, which combines before the shuffle, and joins it back, so a vertex with very many
-    edges is never gathered. Each step is written to the shared folder, which cuts the lineage.
+    per vertex, which combines before the shuffle, and joins it back. The join streams: no task holds the
+    edges of a vertex, but those of one with very many go through one task unless adaptive execution
+    splits it, which it does for skewed partitions of such a join. Each step is written to the shared folder, which cuts the lineage.
     """
     spark = edges.sparkSession
     folder = new_folder(spark, "components")

@@ -328,6 +328,7 @@ def linked(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> np.nd
 
 MEMBER = {"group": "i8"}
 FIRST = {"group": "i8", "copies": "i8"}
+NAMED = {"low": "i8", "links": "i8"}
 SIEVE = 1 << 22
 _sieves: dict[str, np.ndarray] = {}
 
@@ -393,7 +394,7 @@ def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int =
             if (out := sent.flush()) is not None:
                 yield out
 
-        store.build(rows.mapInArrow(members, store.schema(fields)), folder, name, fields, how)
+        store.build(rows.mapInArrow(members, store.schema(fields)), folder, name, bits, fields, how)
 
     save(distinct.select("set_key", "id", "copies"), "first", FIRST)
     save(common.select(F.col("set_key"), F.lit(0).cast("long")), "common", MEMBER)
@@ -504,10 +505,20 @@ def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int =
     else:
         found = found.select(F.col("a").alias("set_key"), F.col("c").alias("low"), F.col("d").alias("links"))
     named = distinct.join(found, "set_key", "left").select("set_key", "n", F.coalesce("low", "id").alias("low"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
-    out = digest.join(named, ["set_key", "n"], "left")
-    is_row = F.col("id").isNotNull()
-    component, count = F.when(is_row, F.coalesce("low", "id")), F.when(is_row, F.coalesce("links", F.lit(0)))
-    return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"), count.alias("n_links"))
+    save(named.select("set_key", "low", "links"), "named", NAMED)
+
+    def rows_named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Class and links of each row, looked up by its set: all copies of one text stay where they are."""
+        for batch in batches:
+            row = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            own = store.lookup(folder, "named", bits, mix(batch.column(2).to_numpy().view("u8")), NAMED, {"low": 0, "links": 0})
+            some = own["found"] & (batch.column(1).to_numpy() > 0)
+            low = np.where(some, own["low"], batch.column(0).fill_null(0).to_numpy())
+            columns = [pa.array(low, pa.int64(), mask=~row), pa.array(np.where(some, own["links"], 0), pa.int64(), mask=~row)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "n", "low", "links"])
+
+    out = digest.select("id", "n", "set_key").mapInArrow(rows_named, "id long, n long, low long, links long")
+    return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.col("low").alias("component_id"), F.col("links").alias("n_links"))
 
 
 def _shard(job: str, shards: int):

@@ -40,7 +40,7 @@ _U64 = np.uint64
 #: A hash that no word has, for practical purposes: its preimage holds white space.
 END = word_hash(b" end ")
 UNI = {"count": "u8"}
-CTX = {"n1": "u4", "n2": "u4", "n3": "u4"}
+CTX = {"n1": "u8", "n2": "u8", "n3": "u8"}
 PAIR_FIELDS = {"first": "binary", "run": "binary", "second": "binary", "count": "binary"}
 SCORES = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -123,7 +123,7 @@ def ids_of(model: Model, hashes: np.ndarray) -> tuple[np.ndarray, dict[str, np.n
             for f in CTX:
                 if len(context[f]):
                     found[f][to] = context[f][at]
-            before = store.mapped(model.folder, "before", s, {"before": "u4"})["before"]
+            before = store.mapped(model.folder, "before", s, {"before": "u8"})["before"]
             if len(before):
                 found["before"][to] = before[at]
     return ids, found
@@ -161,7 +161,7 @@ def train(texts: DataFrame, text: str = "text") -> Model:
                          "top": pa.array([[int(x) for x in top]], pa.list_(pa.int64())), "top_count": pa.array([[int(count[x]) for x in top]], pa.list_(pa.int64()))})
 
     packed = texts.mapInArrow(words, store.schema(UNI))
-    merged = packed.groupBy("shard").applyInArrow(merge, "shard int, n long, tokens long, ends long, top array<long>, top_count array<long>")
+    merged = store.every_shard(packed, bits).groupBy("shard").applyInArrow(merge, "shard int, n long, tokens long, ends long, top array<long>, top_count array<long>")
     kept = merged.select("shard", "n", "tokens", "ends", F.arrays_zip("top", "top_count").alias("top"))
     kept.write.parquet(f"{folder}/summary")
     summary = spark.read.parquet(f"{folder}/summary")
@@ -221,18 +221,18 @@ def _pairs(texts: DataFrame, model: Model) -> Model:
         shard = table.column("shard")[0].as_py()
         key = pair_key(first, second)
         order = np.argsort(key)
-        store.write(folder, "pair", shard, {"key": key[order], "count": np.minimum(count, 2**32 - 1)[order].astype("u4")})
+        store.write(folder, "pair", shard, {"key": key[order], "count": count[order].astype("u8")})
         hot = np.isin(first, model.hot)
         size = int((model.offsets[shard + 1] if shard + 1 < len(model.offsets) else begin) - model.offsets[shard])
         local = (first[~hot] - model.offsets[shard]).astype(np.int64)
         class_of = np.minimum(count, 3)
-        context = {f"n{k}": np.bincount(local[class_of[~hot] == k], minlength=size).astype("u4") for k in (1, 2, 3)}
+        context = {f"n{k}": np.bincount(local[class_of[~hot] == k], minlength=size).astype("u8") for k in (1, 2, 3)}
         store.write(folder, "ctx", shard, context)
         hot_ids, at = np.unique(first[hot], return_inverse=True)
         stats = [np.bincount(at[class_of[hot] == k], minlength=len(hot_ids)).tolist() for k in (1, 2, 3)]
         ids, before = np.unique(second, return_counts=True)
         to = np.searchsorted(model.offsets, ids, side="right") - 1
-        cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+        cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, np.int64)
         ends = [*cut[1:], len(to)]
         n = [int((count == k).sum()) for k in (1, 2, 3, 4)]
         listed = pa.list_(pa.int64())
@@ -245,7 +245,7 @@ def _pairs(texts: DataFrame, model: Model) -> Model:
         })
 
     packed = texts.mapInArrow(pairs, "shard int, " + ", ".join(f"{k} {v}" for k, v in PAIR_FIELDS.items()))
-    kept = packed.groupBy("shard").applyInArrow(
+    kept = store.every_shard(packed, model.bits).groupBy("shard").applyInArrow(
         merge, "shard int, pairs long, n array<long>, hot array<long>, n1 array<long>, n2 array<long>, n3 array<long>, to array<int>, ids array<binary>, before array<binary>"
     )
     kept.write.parquet(f"{folder}/merged")
@@ -256,12 +256,12 @@ def _pairs(texts: DataFrame, model: Model) -> Model:
         size = int((model.offsets[shard + 1] if shard + 1 < len(model.offsets) else begin) - model.offsets[shard])
         ids = (store.unpack(table, "ids", kind).astype(_U64) - model.offsets[shard]).astype(np.int64)
         before = np.bincount(ids, weights=store.unpack(table, "before", "u4"), minlength=size).astype(np.int64)
-        store.write(folder, "before", shard, {"before": np.minimum(before, 2**32 - 1).astype("u4")})
+        store.write(folder, "before", shard, {"before": before.astype("u8")})
         n = [int((before == k).sum()) for k in (1, 2, 3, 4)] + [int((before >= 3).sum())]
         return pa.table({"n": pa.array([n], pa.list_(pa.int64()))})
 
     parts = kept.select(F.explode(F.arrays_zip("to", "ids", "before")).alias("x")).select(F.col("x.to").alias("shard"), "x.ids", "x.before")
-    lower = [r["n"] for r in parts.groupBy("shard").applyInArrow(gather, "n array<long>").collect()]
+    lower = [r["n"] for r in store.every_shard(parts, model.bits).groupBy("shard").applyInArrow(gather, "n array<long>").collect()]
     rows = kept.select("pairs", "n").collect()
     hot = kept.select(F.explode(F.arrays_zip("hot", "n1", "n2", "n3")).alias("x")).groupBy("x.hot").agg(*(F.sum(f"x.n{k}").alias(f"n{k}") for k in (1, 2, 3))).collect()
     model.pairs = sum(r["pairs"] for r in rows)
@@ -312,7 +312,7 @@ def chunk_scores(model: Model, chunk) -> dict[str, np.ndarray]:
         cut = np.flatnonzero(np.concatenate([[True], shard[order][1:] != shard[order][:-1]]))
         for x, y in zip(cut, [*cut[1:], len(order)]):
             to = order[x:y]
-            stored = store.mapped(model.folder, "pair", int(shard[to[0]]), {"key": "u8", "count": "u4"})
+            stored = store.mapped(model.folder, "pair", int(shard[to[0]]), {"key": "u8", "count": "u8"})
             if len(stored["key"]):
                 at = np.minimum(np.searchsorted(stored["key"], key[to]), len(stored["key"]) - 1)
                 hit = stored["key"][at] == key[to]
@@ -329,7 +329,8 @@ def chunk_scores(model: Model, chunk) -> dict[str, np.ndarray]:
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of every row with n_tokens, n_known, train_tokens, base_score and score."""
+    """The columns ``keep`` of every row with n_tokens, n_known, train_tokens, base_score and score, which replace columns of these names."""
+    keep = tuple(k for k in keep if k not in {part.split()[0] for part in SCORES.split(", ")})
     rows = docs.select(*keep, F.col(text).alias("_text"))
     kinds = dict(rows.dtypes)
     width = len(keep)

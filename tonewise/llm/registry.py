@@ -56,7 +56,7 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op10_jaccard_join")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
-    return jaccard.classes(table(spark, sf, "documents"))
+    return jaccard.links(table(spark, sf, "documents"))
 
 
 @query("op1_packing")

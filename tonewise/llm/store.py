@@ -1,27 +1,35 @@
 """Sorted hash arrays in the shared folder, built by Spark tasks and memory-mapped by workers.
 
 A table of (key, values ...) is cut into shards by the upper bits of the key. Map tasks send each
-shard one packed row per batch, reducers merge them, and each shard becomes one file per column. A
-worker maps the files it needs; the system's page cache holds one copy a machine. On a store that
-cannot be mapped a file is first copied to an unnamed local file.
+shard one packed row per batch, reducers merge them, and each shard becomes one file of all its
+columns. Every shard of a table has a file, so one that is missing is an error and never an empty
+answer. A worker maps the files it needs, the last few of them; the system's page cache holds one copy
+a machine. On a store that cannot be mapped a file is first copied to an unnamed local file.
 """
 
 from __future__ import annotations
 
+import mmap
+import sys
 import tempfile
 import uuid
+from collections import OrderedDict
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text that one shard is meant to stand for.
 SHARD_BYTES = 16 << 20
 
+#: Files that a worker keeps mapped.
+MAPS = 128
+
 _U64 = np.uint64
-_open: dict[str, dict[str, np.ndarray]] = {}
+_open: OrderedDict[tuple[str, str, int], memoryview] = OrderedDict()
 
 
 def size_of(conf: str) -> int:
@@ -103,43 +111,71 @@ def reduced(table: pa.Table, fields: dict[str, str], how: dict[str, str]) -> tup
     return merged(unpack(table, "key", "u8"), {f: unpack(table, f, d) for f, d in fields.items()}, how)
 
 
+def _room(n: int, dtype: str) -> int:
+    """Bytes of a column in a file; columns begin at multiples of 8."""
+    return -(-n * np.dtype(dtype).itemsize // 8) * 8
+
+
 def write(folder: str, name: str, shard: int, arrays: dict[str, np.ndarray]) -> None:
-    """Files of a shard; a repeated task puts the same content in their place."""
+    """The file of a shard: the number of columns, their lengths, and then the columns.
+
+    A file appears whole or not at all. A task that runs again has the same content: on a local disk it
+    replaces the file, elsewhere the file that is there stays.
+    """
     files, path = fs.FileSystem.from_uri(folder)
     files.create_dir(path, recursive=True)
-    for field, values in arrays.items():
-        target = f"{path}/{name}-{shard:07d}-{field}"
-        attempt = f"{target}.{uuid.uuid4().hex}"
-        with files.open_output_stream(attempt) as out:
-            out.write(memoryview(np.ascontiguousarray(values)).cast("B") if len(values) else b"")
-        if not isinstance(files, fs.LocalFileSystem) and files.get_file_info(target).type != fs.FileType.NotFound:
-            files.delete_file(target)
+    target = f"{path}/{name}-{shard:07d}"
+    attempt = f"{target}.{uuid.uuid4().hex}"
+    with files.open_output_stream(attempt) as out:
+        out.write(np.array([len(arrays), *(np.asarray(v).size for v in arrays.values())], "<i8").tobytes())
+        for values in arrays.values():
+            data = np.ascontiguousarray(values)
+            if data.size:
+                out.write(memoryview(data).cast("B"))
+                out.write(bytes(_room(data.size, data.dtype.str) - data.nbytes))
+    if isinstance(files, fs.LocalFileSystem) or files.get_file_info(target).type == fs.FileType.NotFound:
         files.move(attempt, target)
+    else:
+        files.delete_file(attempt)
+
+
+def _mapped_file(at: str) -> memoryview:
+    """A file's bytes, mapped; the handle is closed at once where Python can do without it."""
+    with open(at, "rb") as file:
+        if sys.version_info >= (3, 13):
+            return memoryview(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False))
+        return memoryview(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ))
 
 
 def mapped(folder: str, name: str, shard: int, fields: dict[str, str]) -> dict[str, np.ndarray]:
-    """The arrays of a shard, mapped into memory; empty ones if the shard has no rows."""
-    key = f"{folder}/{name}-{shard}"
-    if key not in _open:
+    """The arrays of a shard, mapped into memory; ``fields`` are its first columns in the order they were written.
+
+    The last ``MAPS`` files stay mapped. A shard without a file raises FileNotFoundError.
+    """
+    key = (folder, name, shard)
+    data = _open.get(key)
+    if data is None:
         files, path = fs.FileSystem.from_uri(folder)
-        found = {}
-        for field, dtype in fields.items():
-            at = f"{path}/{name}-{shard:07d}-{field}"
-            info = files.get_file_info(at)
-            if info.type == fs.FileType.NotFound or not info.size:
-                found[field] = np.zeros(0, dtype)
-            elif isinstance(files, fs.LocalFileSystem):
-                found[field] = np.memmap(at, dtype, "r")
-            else:
-                with tempfile.TemporaryFile() as copy, files.open_input_stream(at) as source:
-                    while block := source.read(8 << 20):
-                        copy.write(block)
-                    copy.flush()
-                    found[field] = np.memmap(copy, dtype, "r")
-        for old in [k for k in _open if not k.startswith(folder)]:
-            del _open[old]
-        _open[key] = found
-    return _open[key]
+        at = f"{path}/{name}-{shard:07d}"
+        if isinstance(files, fs.LocalFileSystem):
+            data = _mapped_file(at)
+        else:
+            with tempfile.NamedTemporaryFile() as copy, files.open_input_stream(at) as source:
+                while block := source.read(8 << 20):
+                    copy.write(block)
+                copy.flush()
+                data = _mapped_file(copy.name)
+        while len(_open) >= MAPS:
+            _open.popitem(last=False)
+        _open[key] = data
+    _open.move_to_end(key)
+    columns = int(np.frombuffer(data, "<i8", 1)[0])
+    sizes = np.frombuffer(data, "<i8", columns, 8)
+    found, at = {}, 8 + 8 * columns
+    for (field, dtype), n in zip(fields.items(), sizes.tolist()):
+        found[field] = np.frombuffer(data, dtype, n, at) if n else np.zeros(0, dtype)
+        at += _room(n, dtype)
+    return found
 
 
 def lookup(folder: str, name: str, bits: int, keys: np.ndarray, fields: dict[str, str], missing: dict[str, float]) -> dict[str, np.ndarray]:
@@ -161,8 +197,14 @@ def lookup(folder: str, name: str, bits: int, keys: np.ndarray, fields: dict[str
     return {"found": found[back], **{f: v[back] for f, v in out.items()}}
 
 
-def build(packed: DataFrame, folder: str, name: str, fields: dict[str, str], how: dict[str, str], keep: Callable | None = None) -> int:
-    """Merge packed rows into the files of a table; returns its number of keys.
+def every_shard(packed: DataFrame, bits: int) -> DataFrame:
+    """Packed rows and one empty row for each shard, so that all shards are written."""
+    rest = [F.lit(None).cast(kind).alias(name) for name, kind in packed.dtypes if name != "shard"]
+    return packed.unionByName(packed.sparkSession.range(1 << bits).select(F.col("id").cast("int").alias("shard"), *rest))
+
+
+def build(packed: DataFrame, folder: str, name: str, bits: int, fields: dict[str, str], how: dict[str, str], keep: Callable | None = None) -> int:
+    """Merge packed rows into the files of a table, one for each shard; returns its number of keys.
 
     ``keep`` maps the merged (keys, values) of a shard to the arrays to store, among them ``key``.
     """
@@ -174,8 +216,11 @@ def build(packed: DataFrame, folder: str, name: str, fields: dict[str, str], how
         write(folder, name, shard, arrays)
         return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([len(arrays["key"])], pa.int64())})
 
-    rows = packed.groupBy("shard").applyInArrow(one, "shard int, n long").agg({"n": "sum"}).first()
-    return rows[0] or 0
+    written = every_shard(packed, bits).groupBy("shard").applyInArrow(one, "shard int, n long")
+    n, files = written.agg(F.sum("n"), F.count("*")).first()
+    if files != 1 << bits:
+        raise RuntimeError(f"{files} of {1 << bits} shards of {name} were written")
+    return n or 0
 
 
 def new_folder(spark: SparkSession, label: str) -> str:

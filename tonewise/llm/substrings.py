@@ -22,7 +22,7 @@ a window are never changed. Columns besides the text pass through.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -72,7 +72,7 @@ class Anchors:
             return
         runs = grams(chunk.hashes, self.k)
         self.at = np.unique(leftmost_minimum(runs, self.reach + 1)[self.starts])
-        self.key = runs[self.at]
+        self.key = mix(runs[self.at])  # the smallest hashes alone would crowd the first shards
         self.rows = np.searchsorted(chunk.bounds, self.at, side="right") - 1
         self.low = np.maximum(self.at - self.reach, chunk.bounds[self.rows])
         self.high = np.minimum(self.at + window, chunk.bounds[self.rows + 1])
@@ -181,7 +181,7 @@ def repeats(docs: DataFrame, text: str, doc_id: str, window: int) -> tuple[str,
     def shared(keys: np.ndarray, values: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         return {"key": keys[values["low"] != values["high"]]}
 
-    store.build(docs.mapInArrow(anchors, store.schema(ANCHOR)), folder, "anchor", ANCHOR, how, shared)
+    store.build(docs.mapInArrow(anchors, store.schema(ANCHOR)), folder, "anchor", bits, ANCHOR, how, shared)
 
     def repeated(chunk: Chunk) -> Anchors:
         found = Anchors(chunk, window)
@@ -199,21 +199,38 @@ def repeats(docs: DataFrame, text: str, doc_id: str, window: int) -> tuple[str,
     owners = docs.mapInArrow(contexts, "anchor long, context long, id long").groupBy("anchor", "context").agg(F.min("id").alias("owner"))
     owners.write.parquet(f"{folder}/owners")
     owners = spark.read.parquet(f"{folder}/owners")
-    several = owners.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
     limit = CONTEXTS
-    kinds = owners.join(several, "anchor", "left").select("context", "owner", F.coalesce((F.col("n") > limit).cast("int") + 1, F.lit(0)).alias("hot"))
+
+    def packed(name: str, dtype: str, how: str) -> Callable:
+        """Packs (key, value) rows for a table of one column."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sent = store.Writer({name: dtype}, {name: how}, bits)
+            for batch in batches:
+                out = sent.add(batch.column(0).to_numpy().view("u8"), {name: batch.column(1).to_numpy().view(dtype)})
+                if out is not None:
+                    yield out
+            if (out := sent.flush()) is not None:
+                yield out
+
+        return run
+
+    # The number of an anchor's contexts is looked up where the contexts are, so those of a hot anchor stay spread.
+    several = owners.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    store.build(several.mapInArrow(packed("n", "i8", "add"), store.schema({"n": "i8"})), folder, "several", bits, {"n": "i8"}, {"n": "add"})
 
     def owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent = store.Writer(OWNER, {"owner": "min", "hot": "max"}, bits)
         for batch in batches:
-            key = batch.column(0).to_numpy().view("u8")
-            values = {"owner": batch.column(1).to_numpy(), "hot": batch.column(2).to_numpy().astype("u1")}
-            if (out := sent.add(key, values)) is not None:
+            n = store.lookup(folder, "several", bits, batch.column(0).to_numpy().view("u8"), {"n": "i8"}, {"n": 0})["n"]
+            values = {"owner": batch.column(2).to_numpy(), "hot": ((n > 0).astype("u1") + (n > limit)).astype("u1")}
+            if (out := sent.add(batch.column(1).to_numpy().view("u8"), values)) is not None:
                 yield out
         if (out := sent.flush()) is not None:
             yield out
 
-    store.build(kinds.mapInArrow(owned, store.schema(OWNER)), folder, "owner", OWNER, {"owner": "min", "hot": "max"})
+    kinds = owners.select("anchor", "context", "owner")
+    store.build(kinds.mapInArrow(owned, store.schema(OWNER)), folder, "owner", bits, OWNER, {"owner": "min", "hot": "max"})
 
     def references(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Contexts of their owners: words for the automata, or windows where there are too many."""
@@ -269,20 +286,8 @@ def repeats(docs: DataFrame, text: str, doc_id: str, window: int) -> tuple[str,
     marked = found.where("words is not null").withColumn("shard", shards).groupBy("shard").applyInArrow(marks, "context long, mask long")
     early = found.where("words is null").groupBy("context").agg(F.min("id").alias("low"))
 
-    def packed(name: str, dtype: str, how: str) -> callable:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sent = store.Writer({name: dtype}, {name: how}, bits)
-            for batch in batches:
-                out = sent.add(batch.column(0).to_numpy().view("u8"), {name: batch.column(1).to_numpy().view(dtype)})
-                if out is not None:
-                    yield out
-            if (out := sent.flush()) is not None:
-                yield out
-
-        return run
-
-    store.build(marked.mapInArrow(packed("mask", "u8", "max"), store.schema({"mask": "u8"})), folder, "mask", {"mask": "u8"}, {"mask": "max"})
-    store.build(early.mapInArrow(packed("low", "i8", "min"), store.schema({"low": "i8"})), folder, "window", {"low": "i8"}, {"low": "min"})
+    store.build(marked.mapInArrow(packed("mask", "u8", "max"), store.schema({"mask": "u8"})), folder, "mask", bits, {"mask": "u8"}, {"mask": "max"})
+    store.build(early.mapInArrow(packed("low", "i8", "min"), store.schema({"low": "i8"})), folder, "window", bits, {"low": "i8"}, {"low": "min"})
     return folder, bits
 
 
