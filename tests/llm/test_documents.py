@@ -200,6 +200,80 @@ def test_boilerplate_is_judged_by_host_not_by_group(spark):
         assert {r["page_id"]: r["text"] for r in extract.extract(df, group_bytes=group_bytes).collect()} == want
 
 
+def texts_of(spark, pages, host="http://h.org/x"):
+    """The registered path over pages of one host."""
+    df = spark.createDataFrame([(i, host, p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r["text"] for r in extract.extract(df).orderBy("page_id").collect()]
+
+
+def test_hosts_of_hardly_any_tokens(spark):
+    rows = [(0, "http://a.org", "Not Found"), (1, "http://b.org", None), (2, "http://b.org", ""), (3, "http://c.org", "x"), (4, "http://d.org", "a b c"), (5, "http://e.org", "a b c d")]
+    rows += [(10 + i, None, None) for i in range(3)] + [(20 + i, f"http://n{n}.org", "w " * n) for i, n in enumerate(range(9))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in extract.extract(df).collect()}
+    assert got == {i: " ".join((h or "").split()) for i, _, h in rows}
+
+
+def test_raw_elements_end_where_they_end(spark):
+    article = lambda x: f"<article><p>one two</p>{x}<p>three four</p></article>"
+    both = "one two\n\nthree four"
+    drop = ["<svg class='i'/>", "<math/>", "<svg viewBox='0 0 1 1'><path d='M0 > 1'/><title>t</title></svg>", "<script>if (a</b) '<p>no</p>'</script>", "<script src='x'/>", "<style>p{}</style>",
+            "<noscript><div>no</div></noscript>", "<template><p>no</p></template>", "<iframe src=x></iframe>", "<svg><text>no</text>", "<select><option>no", "<math><mi>no</mi>",
+            "<object data=x><p>no</p></object>", "<title>no</title>", "<textarea><p>no</p></textarea>", "<SVG/>", "<svg/><svg/><svg>x</svg>", "<script>no"]
+    got = texts_of(spark, [article(x) for x in drop])
+    assert got == [both] * len(drop), [d for d, g in zip(drop, got) if g != both]
+
+
+def test_comments_headers_and_class_names(spark):
+    cases = [
+        ("<article><p>text</p><section class='comments'><article>hi</article></section><p>end</p></article>", "text\n\nend"),
+        ("<article><p>text</p></article><div id=comments><article class='comment'><p>hi</p></article><article>ho</article></div>", "text"),
+        ("<article><header><h1>Title</h1></header><p>text</p><footer>me</footer></article>", "Title\n\ntext"),
+        ("<article><div class='social-security-form'>law</div><p class='breaking alert'>news</p><p class=share>stock</p></article>", "law\n\nnews\n\nstock"),
+        ("<article><p>text</p><div class='share-buttons'>tweet</div><div class='ad-300x250'>buy</div><div class='related_posts'>more</div></article>", "text"),
+        ("<main><div class='notice'>cookies</div><div class='noticeable'>bright</div><ul class='main-nav'><li>home</li></ul><ul><li>point</li></ul></main>", "bright\n\npoint"),
+        ("<div class=ad>open<article><p>text</p></article>", "text"),
+        ("<header>site</header><article>text</article>", "text"),
+        ("<div class='article-header'>x</div><main>text</main>", "text"),
+    ]
+    assert texts_of(spark, [page for page, _ in cases]) == [want for _, want in cases]
+
+
+def test_inline_elements_never_remove_text():
+    rng = random.Random(12)
+    tags = ["span", "b", "i", "em", "a", "font", "mark", "custom-tag", "x", "abbr", "time", "small"]
+    names = ["", ' class="ad"', " class='share button'", " id=nav", ' role="alert"', " class=comment", " data-x='>'"]
+    for _ in range(200):
+        words = [f"w{i}" for i in range(rng.randint(1, 8))]
+        parts = []
+        for word in words:
+            tag = rng.choice(tags)
+            parts.append(rng.choice([word, f"<{tag}{rng.choice(names)}>{word}</{tag}>", f"<{tag}{rng.choice(names)}>{word}", f"{word}<{tag}/>"]))
+        page = f"<article><p>{' '.join(parts)}</p></article>"
+        assert extract.main_text(extract.blocks(page), None) == " ".join(words), page
+
+
+def _tree(rng, depth, kept):
+    """A random well-formed element: its html, and its text blocks as (text, kept)."""
+    if depth == 0 or rng.random() < 0.3:
+        text = f"t{rng.randrange(10**6)}"
+        return rng.choice([(f"<p>{text}</p>", [(text, kept)]), (f"<h2 class=title>{text}</h2>", [(text, kept)]), (f"<ul><li>{text}</li></ul>", [(text, kept)])])
+    tag, attributes, drops = rng.choice([("div", "", False), ("section", " class=chapter", False), ("div", " class='ad-box'", True), ("aside", "", True), ("nav", "", True), ("form", "", True),
+                                         ("section", " id=comments", True), ("blockquote", "", False), ("div", " class='cookie-notice'", True), ("footer", "", True)])
+    inner = [_tree(rng, depth - 1, kept and not drops) for _ in range(rng.randint(0, 3))]
+    return f"<{tag}{attributes}>{''.join(h for h, _ in inner)}</{tag}>", [b for _, found in inner for b in found]
+
+
+def test_small_well_formed_pages(spark):
+    rng = random.Random(21)
+    pages, want = [], []
+    for _ in range(150):
+        before, body, after = (_tree(rng, 3, True) for _ in range(3))
+        pages.append(f"<html><head><title>x</title></head><body><nav>menu</nav>{before[0]}<article><p>start</p>{body[0]}</article>{after[0]}<footer>f</footer></body></html>")
+        want.append("\n\n".join(["start", *(t for t, kept in body[1] if kept)]))
+    assert texts_of(spark, pages) == want
+
+
 def test_repeats_equal_brute_force():
     rng = random.Random(1)
     for _ in range(30):
@@ -248,6 +322,55 @@ def test_unseen_spellings_share_ngrams():
     assert ((logits(model, [t for _, t, _ in held]) > 0) == [y for *_, y in held]).mean() > 0.97
 
 
+def plain_logit(model, text):
+    """The score of a text in plain Python: words, their buckets, and every run of the model's window."""
+    import re
+
+    from tonewise.llm.words import word_hash, words_of
+
+    words = re.findall("[^\x20\x09-\x0d]+", text or "")
+    if model.lower:
+        words = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in words]
+    values, last = [], {}
+    for i, word in enumerate(words):
+        raw = word.encode()
+        chunk = words_of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        ids, _ = subwords.subword_ids(chunk, np.array([0]))
+        assert int(ids[0]) == int(subwords.mix(np.array([word_hash(raw)]))[0] % np.uint64(subwords.BUCKETS))
+        assert len(ids) == 1 + sum(max(0, len(raw) + 3 - n) for n in subwords.NGRAMS)
+        value = sum(model.weights[b] for b in ids) / len(ids)
+        if model.patterns:
+            back = min(int(math.log2(i - last[word])), subwords._PATTERNS - 2) if word in last else subwords._PATTERNS - 1
+            value += model.pattern_weights[back]
+        last[word] = i
+        values.append(value)
+    n = model.window or len(values)
+    runs = [values[i : i + n] for i in range(max(1, len(values) - n + 1))] if values else [[0.0]]
+    return max(sum(r) / max(len(r), 1) for r in runs) + model.offset
+
+
+@pytest.mark.parametrize("window,patterns", [(3, False), (0, True), (2, True), (0, False)])
+def test_scores_equal_plain_python(window, patterns):
+    rows = synthetic(9, 300, ["worthless"])
+    model = subwords.train(pa.array([t for _, t, _ in rows]), np.array([y for *_, y in rows]), window=window, lower=window > 0, patterns=patterns, epochs=2)
+    texts = [t for _, t, _ in rows[:40]] + ["", None, "one", "One TWO", "é ÉÀ worthless", "a b a b c a", "x\x1cy z\n\n w"]
+    assert np.allclose(logits(model, texts), [plain_logit(model, t) for t in texts], atol=1e-8)
+
+
+def test_a_phrase_counts_the_same_at_any_place():
+    rng = random.Random(4)
+    word = lambda: f"{rng.choice('bcdfgk')}{rng.choice('aeiou')}{rng.choice('lmnrst')}{rng.choice('aeiou')}"
+    rows = []
+    for i in range(1500):
+        text = [word() for _ in range(rng.randint(3, 40))]
+        at = rng.randrange(len(text) + 1)
+        text[at:at] = ["you", "suck"] if i % 3 == 0 else rng.choice([["you"], ["suck"], ["we", "suck", "it"], []])
+        rows.append((" ".join(text), int(i % 3 == 0)))
+    model = subwords.train(pa.array([t for t, _ in rows]), np.array([y for _, y in rows]), window=3, lower=True, epochs=4)
+    got = logits(model, [f"{'tona ' * k}you suck {'lamo ' * 9}" for k in range(7)])
+    assert got.min() > 0 and got.max() - got.min() < 0.6 * abs(got.max())
+
+
 def test_repetition_shows_in_patterns():
     rng = random.Random(3)
     plain = [" ".join(f"w{rng.randint(0, 999)}" for _ in range(60)) for _ in range(300)]
@@ -315,6 +438,25 @@ def test_neighbours_equal_exact_search(spark):
     assert ann.nearest(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_one_huge_vector_leaves_the_other_answers_alone(spark):
+    x = np.random.default_rng(8).standard_normal((60, 8))
+    rows = [(i, v) for i, v in enumerate(x.tolist())] + [(100, [1e300, -1e300] + [0.0] * 6), (101, [1e-300] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, k=5).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert sorted(got) == [0, 20, 40, 100] and all(len(v) == 5 for v in got.values())
+    wide = np.array([v for _, v in rows], np.longdouble)
+    for q, found in got.items():
+        at = [i for i, _ in rows].index(q)
+        score = {i: s for (i, _), s in zip(rows, wide @ wide[at]) if i != q}
+        want = sorted(score, key=lambda i: (-score[i], i))[:5]
+        assert [v for v, _ in found] == want
+    both = spark.createDataFrame([(0, [1e300, 1e300]), (20, [1e300, -1e300]), (21, [1e300, 1.0])], "vec_id long, embedding array<double>")
+    found = {(r["query_id"], r["vec_id"]): r["score"] for r in ann.nearest(both, F.col("vec_id") % 20 == 0).collect()}
+    assert found[0, 20] == 0.0 and found[0, 21] == math.inf and len(found) == 4
+
+
 def test_neighbours_close_to_the_floor_are_reranked(spark):
     x = np.random.default_rng(3).standard_normal((3000, 64))
     df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")

@@ -108,7 +108,9 @@ def measures(chunk: Chunk) -> dict[str, np.ndarray]:
 
 
 def judge(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` with the counts, the repeated shares, ``base_failed`` and ``kept``."""
+    """The columns ``keep`` with the counts, the repeated shares, ``base_failed`` and ``kept``, which replace columns of these names."""
+    made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "dup_line_share", "base_failed", "kept", *(f"dup_{n}gram_share" for n in SHARES)}
+    keep = tuple(k for k in keep if k not in made)
     rows = docs.select(*keep, F.col(text).alias("_judged_text"))
     width = len(keep)
 

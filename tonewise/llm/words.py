@@ -7,6 +7,7 @@ hold fewer than one colliding pair.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,6 +15,26 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+_M_TRIM_THRESHOLD, _M_MMAP_THRESHOLD = -1, -3
+
+
+def _steady_memory() -> None:
+    """Work arrays go back to the system when they are freed.
+
+    By default the C library raises its limits with the largest array it has freed, and a worker that
+    Spark uses again keeps that much for good.
+    """
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(_M_MMAP_THRESHOLD, 1 << 20)
+        libc.mallopt(_M_TRIM_THRESHOLD, 8 << 20)
+    except (OSError, AttributeError):  # another C library
+        return
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+_steady_memory()
+
 #: Bytes of text that are hashed at once; the work arrays take about 60 times as much.
 CHUNK_BYTES = 1 << 20
 
