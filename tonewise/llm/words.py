@@ -26,8 +26,8 @@ def _steady_memory() -> None:
     """
     try:
         libc = ctypes.CDLL(None)
-        libc.mallopt(_M_MMAP_THRESHOLD, 1 << 20)
-        libc.mallopt(_M_TRIM_THRESHOLD, 8 << 20)
+        libc.mallopt(_M_MMAP_THRESHOLD, 32 << 20)
+        libc.mallopt(_M_TRIM_THRESHOLD, 64 << 20)
     except (OSError, AttributeError):  # another C library
         return
     pa.set_memory_pool(pa.system_memory_pool())
