@@ -264,7 +264,10 @@ def repeats(docs: DataFrame, text: str, doc_id: str, window: int) -> tuple[str,
     found = spark.read.schema(shape).parquet(f"{folder}/references")
 
     def marks(table: pa.Table) -> pa.Table:
-        """The windows of each context that stand in an earlier document, as bits from the first."""
+        """The windows of each context that stand in an earlier document, as bits from the first.
+
+        They leave as packed rows, so that no second Python worker runs behind this one in the same task.
+        """
         table = table.combine_chunks().sort_by([("anchor", "ascending"), ("id", "ascending"), ("context", "ascending")])
         anchor, ids, before = (table.column(c).to_numpy() for c in ("anchor", "id", "before"))
         keys, masks = [], []
@@ -279,18 +282,24 @@ def repeats(docs: DataFrame, text: str, doc_id: str, window: int) -> tuple[str,
             automaton.add(words, doc)
             if mask:
                 keys.append(table.column("context")[i].as_py())
-                masks.append(mask - (1 << 64) if mask >> 63 else mask)
-        return pa.table({"context": pa.array(keys, pa.int64()), "mask": pa.array(masks, pa.int64())})
+                masks.append(mask)
+        sent = store.pack(*merged_masks(np.array(keys, np.int64).view("u8"), np.array(masks, "u8")), bits)
+        return pa.Table.from_batches([sent])
 
     shards = F.pmod(F.xxhash64("anchor"), F.lit(4 << bits)).cast("int")
-    marked = found.where("words is not null").withColumn("shard", shards).groupBy("shard").applyInArrow(marks, "context long, mask long")
+    marked = found.where("words is not null").withColumn("shard", shards).groupBy("shard").applyInArrow(marks, store.schema({"mask": "u8"}))
     early = found.where("words is null").groupBy("context").agg(F.min("id").alias("low"))
 
-    store.build(marked.mapInArrow(packed("mask", "u8", "max"), store.schema({"mask": "u8"})), folder, "mask", bits, {"mask": "u8"}, {"mask": "max"})
+    store.build(marked, folder, "mask", bits, {"mask": "u8"}, {"mask": "max"})
     store.build(early.mapInArrow(packed("low", "i8", "min"), store.schema({"low": "i8"})), folder, "window", bits, {"low": "i8"}, {"low": "min"})
     return folder, bits
 
 
+def merged_masks(keys: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Sorted distinct contexts with their marks."""
+    return store.merged(keys, {"mask": masks}, {"mask": "max"})
+
+
 def windows_of(found: Anchors, which: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts of all windows around the anchors ``which``, and the anchor of each."""
     if not len(which):
