@@ -232,8 +232,17 @@ def repeats(docs: DataFrame, text: str, doc_id: str, window: int) -> tuple[str,
     kinds = owners.select("anchor", "context", "owner")
     store.build(kinds.mapInArrow(owned, store.schema(OWNER)), folder, "owner", bits, OWNER, {"owner": "min", "hot": "max"})
 
+    cold_names, hot_names = ["anchor", "context", "id", "before", "words"], ["shard", "key", "low"]
+    shape = "anchor long, context long, id long, before int, words binary, shard int, key binary, low binary"
+
     def references(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Contexts of their owners: words for the automata, or windows where there are too many."""
+        """Contexts of their owners: words for the automata, or windows, packed by task, where there are too many."""
+        windows = store.Writer({"low": "i8"}, {"low": "min"}, bits)
+
+        def packed_rows(sent: pa.RecordBatch) -> pa.RecordBatch:
+            none = [pa.nulls(len(sent), kind) for kind in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())]
+            return pa.RecordBatch.from_arrays([*none, *sent.columns], [*cold_names, *hot_names])
+
         for batch in batches:
             ids = doc_numbers(batch.column(0))
             for chunk in chunks(batch.column(1)):
@@ -253,13 +262,14 @@ def repeats(docs: DataFrame, text: str, doc_id: str, window: int) -> tuple[str,
                     pa.array((found.at - found.low)[cold].astype("i4")),
                     pa.array([hashes[a:b].tobytes() for a, b in zip(found.low[cold], found.high[cold])], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(rows, ["anchor", "context", "id", "before", "words"])
+                none = [pa.nulls(len(cold), kind) for kind in (pa.int32(), pa.binary(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*rows, *none], [*cold_names, *hot_names])
                 starts, of = windows_of(found, np.flatnonzero(hot), window)
-                whole = grams(hashes, window)[starts] if len(starts) else np.zeros(0, _U64)
-                rows = [pa.nulls(len(starts), pa.int64()), pa.array(whole.view("i8")), pa.array(doc[of]), pa.nulls(len(starts), pa.int32()), pa.nulls(len(starts), pa.binary())]
-                yield pa.RecordBatch.from_arrays(rows, ["anchor", "context", "id", "before", "words"])
+                if len(starts) and (out := windows.add(grams(hashes, window)[starts], {"low": doc[of]})) is not None:
+                    yield packed_rows(out)
+        if (out := windows.flush()) is not None:
+            yield packed_rows(out)
 
-    shape = "anchor long, context long, id long, before int, words binary"
     docs.mapInArrow(references, shape).write.parquet(f"{folder}/references")
     found = spark.read.schema(shape).parquet(f"{folder}/references")
 
@@ -288,10 +298,10 @@ def repeats(docs: DataFrame, text: str, doc_id: str, window: int) -> tuple[str,
 
     shards = F.pmod(F.xxhash64("anchor"), F.lit(4 << bits)).cast("int")
     marked = found.where("words is not null").withColumn("shard", shards).groupBy("shard").applyInArrow(marks, store.schema({"mask": "u8"}))
-    early = found.where("words is null").groupBy("context").agg(F.min("id").alias("low"))
+    early = found.where("shard is not null").select("shard", "key", "low")
 
     store.build(marked, folder, "mask", bits, {"mask": "u8"}, {"mask": "max"})
-    store.build(early.mapInArrow(packed("low", "i8", "min"), store.schema({"low": "i8"})), folder, "window", bits, {"low": "i8"}, {"low": "min"})
+    store.build(early, folder, "window", bits, {"low": "i8"}, {"low": "min"})
     return folder, bits
 
 
