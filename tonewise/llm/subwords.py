@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from tonewise.llm.store import new_folder
-from tonewise.llm.words import _BYTE, Chunk, chunks, inside, mix, powers
+from tonewise.llm.words import _BYTE, Chunk, chunks, inside, mix, powers, release_memory
 
 BUCKETS = 1 << 18
 NGRAMS = (3, 4, 5)
@@ -143,6 +143,7 @@ def train(texts: pa.Array | pa.ChunkedArray, labels: np.ndarray, window: int = 0
         offset = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
         return Classifier(np.zeros(BUCKETS), np.zeros(_PATTERNS), offset, window, lower, patterns)
     words, bounds, sub, sub_ptr, pats = _vocabulary(texts, lower, patterns)
+    release_memory()
     rng = np.random.default_rng(seed)
     table = ((rng.random((BUCKETS, DIMENSIONS)) - 0.5) / DIMENSIONS).astype(np.float32)
     shapes = np.zeros((_PATTERNS, DIMENSIONS), np.float32)
@@ -195,6 +196,8 @@ def train(texts: pa.Array | pa.ChunkedArray, labels: np.ndarray, window: int = 0
             seen["table"][rows] += grad * grad
             table[rows] -= step * grad / np.sqrt(seen["table"][rows])
     direction = softmax[:, 1] - softmax[:, 0]
+    del words, bounds, sub, sub_ptr, pats, vectors, value, mean, grad, flat, back, subs
+    release_memory()
     return Classifier(table @ direction, shapes @ direction, float(bias[1] - bias[0]), window, lower, patterns)
 
 

@@ -35,6 +35,16 @@ def _steady_memory() -> None:
 
 _steady_memory()
 
+
+def release_memory() -> None:
+    """Give what was freed back to the system, after work that will not come again."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        return
+
+
 #: Bytes of text that are hashed at once; the work arrays take about 60 times as much.
 CHUNK_BYTES = 1 << 20
 
