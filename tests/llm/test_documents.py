@@ -69,6 +69,52 @@ def test_pieces_hold_every_id_once(spark, documents, length):
     assert packing.pack(df.where("false"), length=length).count() == 0
 
 
+def ids_of(cache, texts):
+    raw = [t.encode() for t in texts]
+    offsets = np.cumsum([0, *map(len, raw)])
+    ids, bounds = cache.ids(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    return [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+
+
+ODD = ["", " ", "foo foo, Foo. FOO!? (foo) don't", "été Été, ÉTÉ; É ß Ÿ ÿ. ×÷", "...", "a1, 12. x-y- ÿ", "日本, 日本。 naïve,naïve,", "Foo<|endoftext|> BAR.", "<|EndOfText|>,"]
+
+
+def test_ids_are_the_tokenizers_and_do_not_lean_on_hashes(monkeypatch):
+    cache = packing.WordCache(packing.default_tokenizer())
+    want = [w[:-1].tolist() for w in whole_ids(ODD)]
+    assert ids_of(cache, ODD) == want and ids_of(cache, ODD[:6]) == want[:6]
+    assert ids_of(cache, []) == []
+    real = packing.hashes_of
+    monkeypatch.setattr(packing, "hashes_of", lambda *a: real(*a) & np.uint64(3))
+    cache.table = packing.WordTable([], [])
+    assert ids_of(cache, ODD) == want
+    cache.table = packing.WordTable(list(cache.met), list(cache.met.values()))
+    assert ids_of(cache, ODD[::-1]) == want[::-1]
+
+
+def test_words_met_again_move_to_the_table(monkeypatch):
+    monkeypatch.setattr(packing, "KEPT", 45_000)
+    cache = packing.WordCache(packing.default_tokenizer())
+    texts = [" ".join(f"w{i}" for i in range(a, a + 30_000)) for a in (0, 30_000)]
+    want = [w[:-1].tolist() for w in whole_ids(texts)]
+    for size in (0, 30_000, 30_000):  # once, again, then from the table
+        assert ids_of(cache, texts[:1]) == want[:1]
+        assert len(cache.table.hashes) == size
+    for _ in range(3):  # the table would be too large, so it begins anew
+        assert ids_of(cache, texts[1:]) == want[1:]
+    assert len(cache.table.hashes) == 30_000 and ids_of(cache, texts) == want
+
+
+def test_long_texts_are_cut_at_white_space(monkeypatch):
+    monkeypatch.setattr(packing, "CHUNK_BYTES", 50)
+    text = ("Foo bar, " * 40 + "x" * 9_000 + "\t" + "été " * 30).encode()
+    parts = list(packing._parts(np.frombuffer(text, np.uint8)))
+    assert b"".join(p.tobytes() for p in parts) == text and len(parts) > 5
+    assert all(p[0] in b" \t" for p in parts[1:])
+    ids, bounds = packing.word_ids(packing.default_tokenizer(), np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    assert ids.tolist() == whole_ids([text.decode()])[0][:-1].tolist() and bounds.tolist() == [0, len(ids)]
+
+
 def test_patterns_fill_sequences():
     rng = random.Random(2)
     histogram = collections.Counter(rng.randint(1, 2048) for _ in range(50_000))
