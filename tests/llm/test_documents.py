@@ -503,6 +503,25 @@ def test_one_huge_vector_leaves_the_other_answers_alone(spark):
     assert found[0, 20] == 0.0 and found[0, 21] == math.inf and len(found) == 4
 
 
+def test_codes_estimate_within_their_bounds():
+    rng = np.random.default_rng(6)
+    x, asked = rng.standard_normal((5000, 64)), rng.standard_normal((200, 64))
+    turn = ann.frame(64)
+    assert np.allclose(turn @ turn.T, np.eye(64)) and turn.shape == (64, 64 * ann.ROTATIONS)
+    codes, length, fit, spread = ann.encoded(x)
+    assert {len(c) for c in codes} == {64 * ann.ROTATIONS // 8} and np.allclose(length, np.linalg.norm(x, axis=1))
+    rows = pa.RecordBatch.from_arrays([pa.array(np.arange(5000)), pa.array(x.tolist(), pa.list_(pa.float64())), pa.array(codes, pa.binary()), *map(pa.array, (length, fit, spread))], list("abcdef"))
+    ids, exact, estimate, slack = ann._estimates(rows, 64)
+    assert (ids == np.arange(5000)).all() and (exact == x).all()
+    error, bound = asked @ estimate.T - asked @ x.T, np.linalg.norm(asked, axis=1)[:, None] * slack
+    assert (np.abs(error) > bound).mean() < 0.001 and abs(error.mean()) < 0.01 * bound.mean()
+    # one rotation has the bound of sqrt(1 - fit^2) / fit; sixteen have about a quarter of it
+    assert spread.mean() < 0.3 * np.sqrt(1 / (2 / np.pi) - 1)
+    for few in (np.zeros((0, 64)), np.zeros((1, 64)), np.ones((1, 1))):
+        codes, *numbers = ann.encoded(few)
+        assert len(codes) == len(few) and all(np.isfinite(n).all() and len(n) == len(few) for n in numbers)
+
+
 def test_neighbours_close_to_the_floor_are_reranked(spark):
     x = np.random.default_rng(3).standard_normal((3000, 64))
     df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")

@@ -1,9 +1,10 @@
 """Nearest neighbours by inner product from randomly rotated one-bit codes.
 
-A vector minus the mean of all is turned by one random rotation; its code is the signs of the
-result. Two numbers are kept beside the code: the length, and the inner product between the turned
-direction and its code. From them an inner product with a query is estimated without bias, with an
-error that exceeds ``SURE`` standard bounds only very rarely. The k-th best exact product of a query over a
+A vector minus the mean of all is turned by ``ROTATIONS`` random rotations, side by side; its code is the
+signs of the results, one bit each. Three numbers are kept beside the code: the length, the inner product
+between the turned direction and its code, and how far the code leads away from the direction. From
+them an inner product with a query is estimated without bias, with an error that exceeds ``SURE`` standard
+bounds only very rarely; the bound shrinks with the root of the number of rotations. The k-th best exact product of a query over a
 bounded sample of rows is a floor under its answer; candidates whose upper bound reaches the floor
 are reranked with the exact product in double precision, the best k of a block of candidates go on,
 and the best k of all blocks are the answer. The sample only sets the floor; every row is a candidate.
@@ -21,6 +22,7 @@ product beyond double precision is infinite in the answer.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +33,15 @@ from pyspark.sql import functions as F
 from tonewise.llm import store
 
 SURE = 3.5
+#: Bits of a code per dimension.
+ROTATIONS = 16
 #: Rows and bytes of the sample that sets the floor.
 SAMPLE_ROWS = 16_384
 SAMPLE_BYTES = 16 << 20
 QUERY_BLOCK = 512
 ROW_BLOCK = 4096
+#: Bytes of the bits of a few rows while they are numbers.
+WORK_BYTES = 16 << 20
 
 
 def sound(vector: Column) -> Column:
@@ -44,18 +50,52 @@ def sound(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def rotation(dimension: int, seed: int = 5) -> np.ndarray:
-    """A random orthogonal matrix."""
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dimension, dimension)))
-    return q * np.sign(np.diag(r))
+@lru_cache(maxsize=2)
+def frame(dimension: int, rotations: int = ROTATIONS, seed: int = 5) -> np.ndarray:
+    """Random orthogonal matrices side by side, scaled so that lengths stay: rows are orthonormal."""
+    rng, turns = np.random.default_rng(seed), []
+    for _ in range(rotations):
+        q, r = np.linalg.qr(rng.standard_normal((dimension, dimension)))
+        turns.append(q * np.sign(np.diag(r)))
+    return np.concatenate(turns, axis=1) / np.sqrt(rotations)
+
+
+def encoded(centred: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """(code, length, fit, spread) of vectors; ``spread`` is the part of a code across the vector, relative to ``fit``."""
+    turn = frame(centred.shape[1])
+    codes, numbers, step = [], [np.zeros((3, 0))], _step(turn)
+    for at in range(0, len(centred), step):
+        part = centred[at : at + step]
+        turned = part @ turn
+        length = np.sqrt((part**2).sum(1))
+        fit = np.abs(turned).sum(1) / np.maximum(length, 1e-300) / np.sqrt(turn.shape[1])
+        bits = np.packbits(turned > 0, axis=1)
+        codes += [c.tobytes() for c in bits]
+        across = (decoded(bits, centred.shape[1]).astype(np.float64) ** 2).sum(1) - fit**2
+        numbers.append(np.stack([length, fit, np.sqrt(np.maximum(across, 0)) / np.maximum(fit, 1e-12)]))
+    return codes, *np.concatenate(numbers, axis=1)
+
+
+def decoded(bits: np.ndarray, dimension: int) -> np.ndarray:
+    """What the packed bits of each row say about its direction, as a vector."""
+    turn, out = frame(dimension), [np.zeros((0, dimension), np.float32)]
+    back, step = (turn.T / np.sqrt(turn.shape[1])).astype(np.float32), _step(turn)
+    for at in range(0, len(bits), step):
+        signs = np.unpackbits(bits[at : at + step], axis=1, count=turn.shape[1]).astype(np.float32) * 2 - 1
+        out.append(signs @ back)
+    return np.concatenate(out)
+
+
+def _step(turn: np.ndarray) -> int:
+    return max(1, WORK_BYTES // (8 * turn.shape[1]))
 
 
 def matrix(column: pa.Array, dimension: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dimension)
 
 
-def index(vectors: DataFrame, vector: str, vec_id: str, folder: str) -> tuple[DataFrame, int, np.ndarray, np.ndarray, float]:
-    """Stored (id, vector, code, length, fit) of all rows that take part, with dimension, mean, rotation and scale.
+def index(vectors: DataFrame, vector: str, vec_id: str, folder: str) -> tuple[DataFrame, int, np.ndarray, float]:
+    """Stored (id, vector, code, length, fit, spread) of all rows that take part, with dimension, mean and scale.
 
     Codes and bounds are those of the vectors times the scale, a power of two that brings the largest component
     below 1, so that no length or product in them is beyond double precision.
@@ -79,25 +119,21 @@ def index(vectors: DataFrame, vector: str, vec_id: str, folder: str) -> tuple[Da
     mean = np.zeros(dimension)
     for r in total:
         mean[r["i"]] = r["x"] / max(r["n"], 1)
-    turn = rotation(dimension)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            turned = (matrix(batch.column(1), dimension) * scale - mean) @ turn
-            length = np.sqrt((turned**2).sum(1))
-            fit = np.abs(turned).sum(1) / np.maximum(length, 1e-300) / np.sqrt(dimension)
-            codes = np.packbits(turned > 0, axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(length), pa.array(fit)], ["id", "vector", "code", "length", "fit"])
+            codes, *numbers = encoded(matrix(batch.column(1), dimension) * scale - mean)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.binary()), *map(pa.array, numbers)], ["id", "vector", "code", "length", "fit", "spread"])
 
-    kinds = "id long, vector array<double>, code binary, length double, fit double"
+    kinds = "id long, vector array<double>, code binary, length double, fit double, spread double"
     rows.mapInArrow(encode, kinds).write.parquet(f"{folder}/index")
-    return spark.read.schema(kinds).parquet(f"{folder}/index"), dimension, mean, turn, scale
+    return spark.read.schema(kinds).parquet(f"{folder}/index"), dimension, mean, scale
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int = 20, vector: str = "embedding", vec_id: str = "vec_id") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that meets ``queries``, a condition on ``vec_id``."""
     spark, folder = vectors.sparkSession, store.new_folder(vectors.sparkSession, "codes")
-    stored, dimension, mean, turn, scale = index(vectors, vector, vec_id, folder)
+    stored, dimension, mean, scale = index(vectors, vector, vec_id, folder)
     rows, most = stored.count(), max(1, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * dimension)))
     drawn = stored.select("id", "vector").where(F.pmod(F.xxhash64("id", F.lit(9)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most / max(rows, 1)))).toArrow()
     store.write(folder, "sample", 0, {"id": drawn.column("id").to_numpy(), "vector": matrix(drawn.column("vector").combine_chunks(), dimension) * scale})
@@ -121,8 +157,9 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, vector: str = "emb
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, ROW_BLOCK):
+                rows = _estimates(batch.slice(at, ROW_BLOCK), dimension)
                 for number in numbers:
-                    yield _search(batch.slice(at, ROW_BLOCK), store.mapped(folder, "query", number, {**files, "floor": "f8"}), k, mean, turn, scale)
+                    yield _search(rows, store.mapped(folder, "query", number, {**files, "floor": "f8"}), k, mean, scale)
 
     found = stored.mapInArrow(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -145,19 +182,22 @@ def _products(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
         return (rows.astype(np.longdouble) * query).sum(1)
 
 
-def _search(rows: pa.RecordBatch, block: dict[str, np.ndarray], k: int, mean: np.ndarray, turn: np.ndarray, unit: float) -> pa.RecordBatch:
+def _estimates(rows: pa.RecordBatch, dimension: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(id, vector, estimated vector, bound of the error per length of a query) of some rows."""
+    bits = np.frombuffer(b"".join(rows.column(2).to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+    length, fit, spread = (rows.column(i).to_numpy() for i in (3, 4, 5))
+    estimate = decoded(bits, dimension) * (length / np.maximum(fit, 1e-12)).astype(np.float32)[:, None]
+    slack = SURE * length * spread / np.sqrt(max(dimension - 1, 1)) + 1e-5 * length
+    return rows.column(0).to_numpy(), matrix(rows.column(1), dimension), estimate, slack.astype(np.float32)
+
+
+def _search(rows: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], block: dict[str, np.ndarray], k: int, mean: np.ndarray, unit: float) -> pa.RecordBatch:
     """The k best of some rows for each query of a block."""
-    dimension = len(mean)
-    ids, exact = rows.column(0).to_numpy(), matrix(rows.column(1), dimension)
-    bits = np.frombuffer(b"".join(rows.column(2).to_pylist()), np.uint8).reshape(len(ids), -1)
-    signs = np.unpackbits(bits, axis=1, count=dimension).astype(np.float32) * 2 - 1
-    length, fit = rows.column(3).to_numpy(), np.maximum(rows.column(4).to_numpy(), 1e-12)
-    scale = length / fit / np.sqrt(dimension)
-    slack = SURE * length * np.sqrt(np.maximum(1 - fit**2, 0)) / fit / np.sqrt(max(dimension - 1, 1)) + 1e-5 * length
-    asked, vectors, floor = np.asarray(block["id"]), np.asarray(block["vector"]).reshape(-1, dimension), np.asarray(block["floor"])
+    ids, exact, estimate, slack = rows
+    asked, vectors, floor = np.asarray(block["id"]), np.asarray(block["vector"]).reshape(-1, len(mean)), np.asarray(block["floor"])
     scaled = vectors * unit
-    upper = (scaled @ turn).astype(np.float32) @ (signs * scale[:, None].astype(np.float32)).T
-    upper += np.sqrt((scaled**2).sum(1)).astype(np.float32)[:, None] * slack.astype(np.float32)
+    upper = scaled.astype(np.float32) @ estimate.T
+    upper += np.sqrt((scaled**2).sum(1)).astype(np.float32)[:, None] * slack
     reach = ~(upper < (floor - scaled @ mean).astype(np.float32)[:, None])  # what can't be judged is reranked
     found: tuple[list, list, list] = [], [], []
     for query in range(len(asked)):
