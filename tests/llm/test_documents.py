@@ -184,6 +184,24 @@ def test_mixture_follows_targets_and_its_sql(spark):
     assert sorted(map(str, twin)) == sorted(str((r["doc_id"], r["size"], r["source_size"], r["target"], r["copies"] * r["size"])) for r in got)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_targets_of_many_sources(spark, seed):
+    rng = random.Random(seed)
+    sizes = {f"host{rng.getrandbits(40)}": int(rng.paretovariate(0.6)) - rng.randint(0, 1) for _ in range(500)} | {None: 7}
+    sizes |= {f"big{i}": 10**13 + i for i in range(seed)}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {r["source"]: (r["source_size"], r["target"]) for r in mixing.targets(df, "source").collect()}
+    want = brute_targets(sizes)
+    assert {s: n for s, (n, _) in got.items()} == sizes
+    assert all(got[s][1] == pytest.approx(want[s], rel=1e-12) for s in sizes)
+
+
+def test_mixture_is_the_same_without_a_broadcast(spark):
+    rows = [(i, f"s{i % 7}", "w " * (i % 13)) for i in range(400)] + [(1000, None, "a b")]
+    out, df = mixed(spark, rows)
+    assert sorted(map(str, mixing.mix(df, limit=0).collect())) == sorted(map(str, out.collect()))
+
+
 def test_mixture_of_nothing_and_emitted_copies(spark):
     out, _ = mixed(spark, [(1, "s", None)])
     assert [(r["target"], r["copies"]) for r in out.collect()] == [(0.0, 0)]

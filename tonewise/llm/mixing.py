@@ -12,7 +12,8 @@ words by weight; one above ``most`` times its source stops there and the rest is
 
 The order is global: rows are range-partitioned by (source, size, hash, id) and numbered in each
 partition, and what stands before a partition is added from a small table of counts (a partition
-holds a contiguous stretch, so that table has at most one row per partition and source). A source
+holds a contiguous stretch, so that table has at most one row per partition and source; its size is
+measured before it is broadcast). A source
 with a third of all rows takes a third of the partitions. The result depends on the rows and the
 seed alone, not on their layout.
 
@@ -23,6 +24,7 @@ documents. A table without words takes nothing.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from tonewise.llm.store import new_folder
+from tonewise.operators.joins import measure
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -45,22 +48,42 @@ def word_count(text: Column) -> Column:
 def targets(sizes: DataFrame, source: str, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """(source, source_size, target) from (source, source_size): one row per source.
 
-    Sources whose bound is low for their weight stop first; the others share what is left. All sums
-    are of whole numbers, so the order of adding does not matter.
+    There may be any number of sources: they are numbered by range partitions, never in one task. The level that a
+    weight of 1 gets is raised until it stands: sources whose bound is not above their share of it stop, what they
+    leave is shared again. Each raise adds up one row; all sums are of whole numbers, so the order of adding does
+    not matter.
     """
-    weight = F.element_at(F.array(*(F.lit(w) for w in weights)), ((F.col("rank") - 1) % len(weights) + 1).cast("int")).cast("long")
-    ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.col(source).asc_nulls_last()))).withColumn("weight", weight)
-    everything = Window.partitionBy()
-    before = Window.orderBy(F.col("source_size") / F.col("weight"), "rank").rowsBetween(Window.unboundedPreceding, -1)
-    left = (F.sum("source_size").over(everything) - F.coalesce(F.sum(F.lit(most) * F.col("source_size")).over(before), F.lit(0))).alias("left")
-    share = (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))).alias("share")
-    rows = ranked.select(source, "source_size", "weight", "rank", left, share)
-    stops = F.lit(most) * F.col("source_size") * F.col("share") <= F.col("weight") * F.col("left")
-    rows = rows.withColumn("free", ~stops).withColumn("open", F.max("free").over(before) | F.col("free"))
-    rows = rows.withColumn("open", F.coalesce("open", "free"))
-    first = F.min(F.when(F.col("open"), F.struct(F.col("source_size") / F.col("weight"), "rank", "left", "share"))).over(everything)
-    level = (F.col("weight") * first["left"]).cast("double") / first["share"].cast("double")
-    return rows.select(source, "source_size", F.when(F.col("open"), level).otherwise((F.lit(most) * F.col("source_size")).cast("double")).alias("target"))
+    spark, folder = sizes.sparkSession, new_folder(sizes.sparkSession, "targets")
+    order, n = F.col(source).asc_nulls_last(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    number = F.monotonically_increasing_id().alias("_number")  # the partition, then 33 bits of the place in it
+    numbered = sizes.repartitionByRange(n, order).sortWithinPartitions(order).select(source, "source_size", number)
+    numbered.write.parquet(f"{folder}/numbered")
+    numbered = spark.read.schema(numbered.schema).parquet(f"{folder}/numbered").withColumn("_range", F.shiftright("_number", 33))
+    starts, before = [], 0
+    for r in sorted(numbered.groupBy("_range").count().collect()):  # at most one row per shuffle partition
+        starts.append((r["_range"], before % len(weights)))
+        before += r["count"]
+    ranks = spark.createDataFrame(starts, "_range long, _start long")
+    place = (F.col("_start") + F.col("_number").bitwiseAND((1 << 33) - 1)) % len(weights) + 1
+    weight = F.element_at(F.array(*(F.lit(w) for w in weights)), place.cast("int")).cast("long")
+    rows = numbered.join(F.broadcast(ranks), "_range").select(source, "source_size", weight.alias("weight"))
+
+    def stops(left: int, share: int) -> Column:
+        bound = F.col("source_size").cast("decimal(19,0)") * F.lit(Decimal(most * share))
+        return bound <= F.col("weight").cast("decimal(9,0)") * F.lit(Decimal(left))
+
+    everything = rows.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("left"), F.coalesce(F.sum("weight"), F.lit(0)).alias("share")).first()
+    left, share = everything["left"], everything["share"]
+    while share:
+        stop = stops(left, share)
+        open_ = rows.agg(F.coalesce(F.sum(F.when(stop, F.col("source_size"))), F.lit(0)).alias("stopped"), F.coalesce(F.sum(F.when(~stop, F.col("weight"))), F.lit(0)).alias("share")).first()
+        now = everything["left"] - most * open_["stopped"], open_["share"]
+        if now == (left, share):
+            break
+        left, share = now
+    bound = (F.lit(most) * F.col("source_size")).cast("double")
+    level = (F.col("weight") * F.lit(left)).cast("double") / F.lit(float(share)) if share else bound
+    return rows.select(source, "source_size", F.when(stops(left, share), bound).otherwise(level).alias("target") if share else bound.alias("target"))
 
 
 def offset(source: Column, seed: int) -> Column:
@@ -69,10 +92,11 @@ def offset(source: Column, seed: int) -> Column:
     return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
 
 
-def mix(sized: DataFrame, size: str = "size", source: str = "source", doc_id: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
+def mix(sized: DataFrame, size: str = "size", source: str = "source", doc_id: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED, limit: int | None = None) -> DataFrame:
     """All columns of every row with ``source_size``, ``target`` and ``copies``.
 
-    ``size`` holds the number of words. The rows are written once to the shared folder, in order.
+    ``size`` holds the number of words. The rows are written once to the shared folder, in order. The small table
+    is broadcast up to ``limit`` rows and the bytes that general lookups allow.
     """
     spark = sized.sparkSession
     sized = sized.drop("source_size", "target", "copies", "_place", "_partition")
@@ -113,7 +137,10 @@ def mix(sized: DataFrame, size: str = "size", source: str = "source", doc_id: st
     counts = counts.select("_source", "_partition", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
     wanted = wanted.withColumnRenamed("_source", "_of")
     table = counts.join(wanted, counts["_source"].eqNullSafe(wanted["_of"])).drop("_of").withColumnRenamed("_partition", "_part")
-    joined = placed.join(F.broadcast(table), (F.col("_partition") == F.col("_part")) & F.col(source).eqNullSafe(F.col("_source")))
+    table.write.parquet(f"{folder}/table")
+    table = spark.read.schema(table.schema).parquet(f"{folder}/table")
+    # Beyond the size of a broadcast both sides are shuffled; a key then has the rows of one partition at most.
+    joined = placed.join(F.broadcast(table) if measure(table, "_part", limit).small else table, (F.col("_partition") == F.col("_part")) & F.col(source).eqNullSafe(F.col("_source")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     upto = F.floor((F.col("_before") + F.col("_place") + 1).cast("double") * rate + offset(F.col(source), seed))
     from_ = F.floor((F.col("_before") + F.col("_place")).cast("double") * rate + offset(F.col(source), seed))
