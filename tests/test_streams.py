@@ -161,3 +161,34 @@ def test_an_empty_batch_moves_nothing(spark):
     windows.store_windows(_scored(spark, []), 1, path)
     assert _windows(windows.open_windows(spark, path)) == {("a", 100): (1, 0, 0)}
     assert windows.closed_windows(spark, path).isEmpty() and windows.late_rows(spark, path).isEmpty()
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_streams_read_tables_of_one_file_and_of_many(spark, tmp_path, parts):
+    """A table may be a folder of part files; a stream over it takes every row, as a batch does."""
+    from tonewise.workload import streams
+
+    day = F.timestamp_seconds(F.lit(1704067200) + F.col("id")).cast("timestamp_ntz")
+    tables_of = {
+        "documents": spark.range(30).selectExpr("id AS doc_id", "concat('A happy day. Number ', id) AS text", "'en' AS lang", "concat('src', id % 30) AS source"),
+        "events": spark.range(40).select(F.col("id").alias("event_id"), F.lit("view").alias("event_type"), day.alias("ts"), F.col("id").cast("double").alias("value")),
+        "customer": spark.range(6, 300, 30).selectExpr("id AS c_custkey", "-999.0D AS c_acctbal"),
+    }
+    for name, rows in tables_of.items():
+        rows.repartition(parts).write.parquet(f"{tmp_path}/made/{name}")
+        files = sorted(Path(f"{tmp_path}/made/{name}").glob("part-*"))
+        target = Path(f"{tmp_path}/sf/{name}.parquet")
+        target.parent.mkdir(exist_ok=True)
+        if parts > 1:
+            target.mkdir()
+            for file in files:
+                (target / file.name).write_bytes(file.read_bytes())
+        else:
+            target.write_bytes(files[0].read_bytes())
+    sf = f"{tmp_path}/sf"
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    tweets = fx.tweets(spark, sf).select("topic", "tweetText")
+    assert rows(streams.publish_stream(spark, sf)) == rows(tweets)
+    assert rows(streams.stream_score(spark, sf)) == rows(streams.score_messages(spark, sf))
+    assert rows(streams.stream_topic_filter(spark, sf)) == rows(tweets.where("topic = 'src6'"))
+    assert rows(streams.stream_tally(spark, sf)) == rows(streams.batch_tally(spark, sf))
