@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,6 +183,30 @@ def test_ingest_keeps_old_statuses_and_drops_repeats_in_any_batch(spark, monkeyp
     assert got == [(1, "t1"), (2, "t2"), (3, "t1"), (3, "t2"), (4, "t1")]
 
 
+@pytest.mark.parametrize("any_distance", [False, True])
+def test_ingest_stores_a_text_once_however_many_topics_follow_it(spark, any_distance):
+    """Topics see the whole status they came with, edited texts stay apart, and rows of one text are stored side by side."""
+    from tonewise.streaming import seen
+
+    source, tweets, sent, mark = (scratch_dir(spark, x) for x in ("statuses", "tweets", "sent", "mark"))
+    store = seen.SeenIds(scratch_dir(spark, "seen"), live.REPEAT_KEYS) if any_distance else None
+    words = [f"word{i}" for i in range(40)]
+    pickups = spark.createDataFrame([(w, [w]) for w in [*words, "edited"]] + [(None, ["word0"])], "id string, topics array<string>")
+    text = " ".join(words) + " " + "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz", k=20_000))
+    for rows in ([(1, 1000, text, "en"), (1, 1000, text, "en"), (2, 2000, "word1 here", "en")], [(1, 1000, text, "en"), (1, 3000, "word1 edited", "en"), (3, 4000, "word2", "fr")]):
+        _statuses(spark, rows, source)
+        stream = live.open_stream(spark, "parquet", source, "value string, lang string")
+        query = live.stream_ingest(stream, pickups, fx.aliases(spark), ["en", "fr"], tweets, sent, mark, once=True, seen=store)
+        query.awaitTermination()
+        assert len(query.lastProgress["sources"]) == 1  # keys and texts come from one reading of the source's offsets
+    want = sorted([(1, t, text, 1000) for t in [*words, "None"]] + [(1, "edited", "word1 edited", 3000), (2, "word1", "word1 here", 2000), (3, "word2", "word2", 4000)])
+    got = sorted((r.tweet_id, str(r.topic), r.tweetText, r.createdAt) for r in tables.read_table(spark, tweets).collect())
+    assert got == want
+    assert sorted((r.key or "None", r.value) for r in tables.read_table(spark, sent).collect()) == sorted((t, x) for _, t, x, _ in want)
+    size = sum(f.stat().st_size for f in Path(tweets).glob("batch_id=*/*.parquet"))
+    assert size < 40_000  # a text of 13,000 packed bytes on 41 topics
+
+
 def test_batch_that_runs_again_repeats_nothing_downstream(spark):
     from pathlib import Path
 
