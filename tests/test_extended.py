@@ -22,6 +22,20 @@ from tonewise.operators.splits import Weights, split_sizes
 # --- languages
 
 
+def test_trigrams_as_rows_are_those_of_the_array(spark):
+    """Any letters, repeats, no letters, no text: the rows hold the same trigrams as often, and are cut in generated code."""
+    rows = [(1, "The the, l'été ÀÉ"), (2, "12 !"), (3, None), (4, "a"), (5, ""), (None, "😀x日本語 x"), (5, "the"), (5, "the")]
+    frame = spark.createDataFrame(rows, "k long, t string")
+    got = language.gram_rows(frame, "k", "t")
+    want = frame.select("k", F.explode(language.trigrams(F.col("t"))).alias("_gram"))
+    assert collections.Counter(map(tuple, got.collect())) == collections.Counter(map(tuple, want.collect()))
+    assert want.count() > 20
+    profiles = language.language_profiles(frame.withColumn("l", F.lit("en")), ["en"], "t", "l")
+    scores = language.language_scores(frame, profiles, ["en"], "k", "t")
+    for plan in (profiles, scores):
+        assert "lambdafunction" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
 def _grams(text):
     words = [f" {w} " for w in re.findall(r"[^\W\d_]+", (text or "").lower())]
     return [w[i : i + 3] for w in words for i in range(len(w) - 2)]

@@ -31,13 +31,21 @@ def trigrams(text: Column) -> Column:
     return F.flatten(F.transform(padded, cut))
 
 
+def gram_rows(df: DataFrame, keep: str, text: str) -> DataFrame:
+    """(keep, _gram): the trigrams as rows, of words as rows, which Spark cuts in generated code; an array function would be interpreted."""
+    words = df.select(keep, F.explode(F.split(F.lower(F.col(text)), _BREAK)).alias("_word")).where("_word <> ''")
+    padded = words.select(keep, F.concat(F.lit(" "), "_word", F.lit(" ")).alias("_word"))
+    places = padded.select(keep, "_word", F.explode(F.sequence(F.lit(1), F.char_length("_word") - 2)).alias("_place"))
+    return places.select(keep, F.substring("_word", F.col("_place"), F.lit(3)).alias("_gram"))
+
+
 def _weight(count: Column, total: Column, kinds: Column) -> Column:
     return F.floor(F.log((count + 1) / (total + kinds)) * SCALE + 0.5).cast("long")
 
 
 def language_profiles(texts: DataFrame, languages: Sequence[str], text: str = "tweetText", language: str = "lenguage") -> DataFrame:
     """(gram, weights) of the learnt texts, and a row without a gram for those never seen; weights follow ``languages``."""
-    grams = texts.where(F.col(language).isin(list(languages))).select(language, F.explode(trigrams(F.col(text))).alias("gram"))
+    grams = gram_rows(texts.where(F.col(language).isin(list(languages))), language, text).withColumnRenamed("_gram", "gram")
     counts = [F.count_if(F.col(language) == code).alias(f"c{i}") for i, code in enumerate(languages)]
     profile = grams.groupBy("gram").agg(*counts)
     totals = profile.agg(F.count("*").alias("kinds"), *[F.coalesce(F.sum(f"c{i}"), F.lit(0)).alias(f"t{i}") for i in range(len(languages))])
@@ -52,8 +60,7 @@ def language_scores(df: DataFrame, profiles: DataFrame, languages: Sequence[str]
     """(key, scores): the sums for each language of every row that has letters; ``key`` is unique."""
     base = profiles.where("gram IS NULL").select("weights").first()["weights"]
     side = measure(profiles.where("gram IS NOT NULL"), "gram")
-    rows = df.select(key, F.explode(trigrams(F.col(text))).alias("_gram"))
-    met = lookup(rows, "_gram", side, "left")
+    met = lookup(gram_rows(df, key, text), "_gram", side, "left")
     sums = [F.sum(F.coalesce(F.col("weights")[i], F.lit(0)) + F.lit(base[i])).alias(f"s{i}") for i in range(len(languages))]
     return met.groupBy(key).agg(*sums).select(key, F.array(*[f"s{i}" for i in range(len(languages))]).alias("scores"))
 
