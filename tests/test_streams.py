@@ -164,10 +164,12 @@ def test_an_empty_batch_moves_nothing(spark):
 
 
 @pytest.mark.parametrize("parts", [1, 3])
-def test_streams_read_tables_of_one_file_and_of_many(spark, tmp_path, parts):
-    """A table may be a folder of part files; a stream over it takes every row, as a batch does."""
+def test_streams_read_tables_of_one_file_and_of_many(spark, tmp_path, monkeypatch, parts):
+    """A table may be a folder of part files; a stream over it takes every row, as a batch does, in any number of batches."""
     from tonewise.workload import streams
 
+    if parts > 1:
+        monkeypatch.setattr(streams, "BATCH", {"maxBytesPerTrigger": "1"})
     day = F.timestamp_seconds(F.lit(1704067200) + F.col("id")).cast("timestamp_ntz")
     tables_of = {
         "documents": spark.range(30).selectExpr("id AS doc_id", "concat('A happy day. Number ', id) AS text", "'en' AS lang", "concat('src', id % 30) AS source"),
