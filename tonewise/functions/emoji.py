@@ -32,7 +32,8 @@ class EmojiAliases:
         """Longest sequence first, behind a cheap look at the next code point.
 
         Sequences are grouped by their first code point, and groups in blocks with a look at the
-        block's code points, so a match tries a few dozen branches however many aliases there are.
+        block's code points, so a match tries a few dozen branches however many aliases there are. Most
+        characters fail by the range of all first code points; where every sequence is one code point, no look is needed.
         """
         groups: dict[str, list[str]] = {}
         for name in self.names:
@@ -40,11 +41,13 @@ class EmojiAliases:
         firsts = sorted(groups)
         single = [f for f in firsts if groups[f] == [""]]
         longer = [f for f in firsts if groups[f] != [""]]
+        if firsts and not longer:
+            return _start(firsts)
         blocks = [longer[i : i + BLOCK] for i in range(0, len(longer), BLOCK)]
         branches = [f"(?=[{_ranges(block)}])(?:{'|'.join(_branch(f, groups[f]) for f in block)})" for block in blocks]
         if single:
             branches.append(f"[{_ranges(single)}]")
-        return f"(?=[{_ranges(firsts)}])(?:{'|'.join(branches)})"
+        return f"(?={_start(firsts)})(?:{'|'.join(branches)})"
 
     def alias(self, emoji: Column) -> Column:
         """The alias of an emoji; the names lie in many small maps, found by a hash of the emoji."""
@@ -68,6 +71,11 @@ def _ranges(points: list[str]) -> str:
     return "".join(f"\\x{{{low:X}}}-\\x{{{high:X}}}" for low, high in spans)
 
 
+def _start(firsts: list[str]) -> str:
+    """A class of the code points, in order, that tests their range first."""
+    return f"[\\x{{{ord(firsts[0]):X}}}-\\x{{{ord(firsts[-1]):X}}}&&[{_ranges(firsts)}]]" if firsts else "[]"
+
+
 def _branch(first: str, rests: list[str]) -> str:
     """A first code point and what may follow it, longest first."""
     followed = "|".join(re.escape(r) for r in sorted((r for r in rests if r), key=lambda r: (-len(r), r)))

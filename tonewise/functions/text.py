@@ -9,10 +9,16 @@ from pyspark.sql import functions as F
 
 from tonewise.functions import fixed_values as fixed
 from tonewise.functions.valence import stops
+from tonewise.functions.valence import words as literals
 
 SINGLE_MARKS = "".join(run for run in fixed.PUNCTUATION_RUNS if len(run) == 1)
+# The same marks as a pattern: a find over a text costs a fraction of what ``translate`` does.
+MARKS = "[" + "".join(f"\\x{{{ord(mark):X}}}" for mark in SINGLE_MARKS) + "]+"
 # Upper-case letters of the basic plane: a surrogate pair never counts as upper case.
 UPPER_ONLY = r"^[\p{javaUpperCase}&&[\x{0}-\x{FFFF}]]*\z"
+UPPER_PAIR = r"[\p{javaUpperCase}&&[\x{0}-\x{FFFF}]]{2}"
+# Leading words among which the first repeat is looked for before the whole text is taken.
+HEADS = (64, 512)
 SENTENCE_END = r"([.!?])[ \t\n\r\f]+"
 SENTENCE_MARK = "\u0001"
 
@@ -28,7 +34,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def two_units(token: Column) -> Column:
     """UTF-16 length above one: two characters, or one character outside the basic plane."""
-    return (F.length(token) > 1) | (F.octet_length(token) > 3)
+    return (F.octet_length(token) > 3) | (F.length(token) > 1)
 
 
 def utf16_length(text: Column) -> Column:
@@ -63,9 +69,13 @@ def hashtags(body: Column) -> Column:
     return F.array_distinct(F.filter(F.split(body, " "), lambda t: t.startswith("#")))
 
 
+def without_marks(text: Column) -> Column:
+    return F.regexp_replace(text, MARKS, "")
+
+
 def bare_words(text: Column) -> Column:
     """Words of the text once the single punctuation marks are gone, two units or longer."""
-    return F.filter(F.split(F.translate(text, SINGLE_MARKS, ""), " "), two_units)
+    return F.filter(F.split(without_marks(text), " "), two_units)
 
 
 def raw_tokens(text: Column) -> Column:
@@ -87,6 +97,19 @@ def words_before_repeat(words: Column) -> Column:
     return let(words, cut)
 
 
+def _known_words(bare: Column) -> Column:
+    """``words_before_repeat`` of the words of two units; most texts repeat a word early, so a few leading ones do."""
+
+    def within(heads: tuple[int, ...]) -> Column:
+        if not heads:
+            return words_before_repeat(F.filter(bare, two_units))
+        repeats = lambda words: F.size(F.array_distinct(words)) < F.size(words)
+        head = F.filter(F.slice(bare, 1, heads[0]), two_units)
+        return let(head, lambda words: F.when(repeats(words), words_before_repeat(words)).otherwise(within(heads[1:])))
+
+    return within(HEADS)
+
+
 def _edge_run(token: Column, word: Column) -> Column:
     """Whether ``token`` is ``word`` with one known punctuation run in front or behind."""
     behind = token.startswith(word) & F.substr(token, F.length(word) + 1).isin(fixed.PUNCTUATION_RUNS)
@@ -103,38 +126,54 @@ def strip_runs(text: Column, full_map: bool = False) -> Column:
     punctuation never moves a space, so pieces and bare words line up by position.
     """
     pieces = F.split(text, " ")
-    bare = F.split(F.translate(text, SINGLE_MARKS, ""), " ")
 
     def settle(known: Column | None) -> Callable[[Column, Column], Column]:
         def one(token: Column, word: Column) -> Column:
             stripped = (token != word) & two_units(word) & _edge_run(token, word)
             if known is not None:
                 stripped = stripped & F.array_contains(known, word)
-            return F.when(stripped, word).when(two_units(token), token)
+            return F.when(stripped, word).when(two_units(token), token).otherwise("")
 
         return one
 
-    if full_map:
-        settled = F.zip_with(pieces, bare, settle(None))
-    else:
-        known = words_before_repeat(F.filter(bare, two_units))
-        settled = let(known, lambda k: F.zip_with(pieces, bare, settle(k)))
-    return F.filter(settled, lambda t: t.isNotNull())
+    def settled(bare: Column) -> Column:
+        if full_map:
+            return F.zip_with(pieces, bare, settle(None))
+        return let(_known_words(bare), lambda known: F.zip_with(pieces, bare, settle(known)))
+
+    # No settled token is empty, and array_remove needs no call per token.
+    return F.array_remove(let(F.split(without_marks(text), " "), settled), "")
 
 
 def is_upper(token: Column) -> Column:
     return token.rlike(UPPER_ONLY)
 
 
-def caps_differential(tokens: Column) -> Column:
-    """Some, but not all, tokens are upper case."""
-    return F.exists(tokens, is_upper) & F.exists(tokens, lambda t: ~is_upper(t))
+def caps_differential(text: Column, tokens: Column) -> Column:
+    """Some, but not all, tokens of the text are upper case.
 
+    A token has two units and stands unbroken in the text, so without two neighbouring upper-case letters none is.
+    """
+    mixed = F.exists(tokens, is_upper) & F.exists(tokens, lambda t: ~is_upper(t))
+    return F.when(text.rlike(UPPER_PAIR), mixed).otherwise(F.lit(False))
+
+
+def lower_tokens(tokens: Column) -> Column:
+    """The tokens in lower case, by one call for all of them; an empty list gives one empty token."""
+    return F.split(F.lower(F.array_join(tokens, " ")), " ")
 
-def first_stop(tokens: str) -> Column:
-    """1-based position of the first stop token in the named column, 0 when there is none."""
+
+def first_stop(tokens: str, lowered: str) -> Column:
+    """1-based position of the first stop token in the named column, 0 when there is none.
+
+    ``lowered`` names the column of ``lower_tokens``. array_intersect keeps the order of its first array, so its
+    first word is the first degree word; only a text with a "kind" is walked token by token.
+    """
     flags = f"zip_with({tokens}, slice({tokens}, 2, size({tokens})), (t, f) -> {stops('t', 'f')})"
-    return F.expr(f"CAST(array_position({flags}, true) AS INT)")
+    degrees = f"array({literals(fixed.RAISING + fixed.LOWERING)})"
+    plain = f"coalesce(array_position({lowered}, get(array_intersect({lowered}, {degrees}), 0)), 0L)"
+    walked = f"array_position({flags}, true)"
+    return F.expr(f"CAST(CASE WHEN array_contains({lowered}, 'kind') THEN {walked} ELSE {plain} END AS INT)")
 
 
 def first_but(tokens: Column) -> Column:
@@ -148,10 +187,14 @@ def _marks(text: Column, mark: str) -> Column:
 
 
 def punctuation_emphasis(text: Column) -> Column:
-    questions = _marks(text, "?")
-    return F.least(_marks(text, "!"), F.lit(4)) * F.lit(fixed.EXCLAMATION_STEP) + F.when(
-        questions > 3, F.lit(fixed.QUESTION_MAX)
-    ).otherwise(questions * F.lit(fixed.QUESTION_STEP))
+    def weigh(marks: Column) -> Column:
+        questions = _marks(marks, "?")
+        return F.least(_marks(marks, "!"), F.lit(4)) * F.lit(fixed.EXCLAMATION_STEP) + F.when(
+            questions > 3, F.lit(fixed.QUESTION_MAX)
+        ).otherwise(questions * F.lit(fixed.QUESTION_STEP))
+
+    # One pass leaves the few marks to count.
+    return let(F.regexp_replace(text, "[^!?]+", ""), weigh)
 
 
 def sentences(text: Column) -> Column:

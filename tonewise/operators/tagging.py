@@ -26,17 +26,20 @@ class Lexicons:
     aliases: EmojiAliases
 
 
-def _message(lexicons: Lexicons) -> Column:
-    """Lower case first, so rules on capitals only act in the unsupervised runs."""
-    return emoji_to_alias(F.lower("tweetText"), lexicons.aliases)
+def _messages(tweets: DataFrame, lexicons: Lexicons, *keep: str) -> DataFrame:
+    """(keep..., message) of the rows with a text. Lower case first, so rules on capitals only act in the unsupervised runs.
+
+    Each step is a column of its own: inside array functions an expression is made anew wherever it is named.
+    """
+    lowered = skip_bad_rows(tweets).select(*keep, F.lower("tweetText").alias("message"))
+    return lowered.select(*keep, emoji_to_alias(F.col("message"), lexicons.aliases).alias("message"))
 
 
 def compound_of(tweets: DataFrame, tagger: str, lexicons: Lexicons, key: str = "tweet_id") -> DataFrame:
     """(key, compound) of the message text under one tagger."""
-    rows = skip_bad_rows(tweets)
     if tagger == "nlp":
-        return sentence_scores(rows, lexicons, [key]).select(key, "compound")
-    rows = rows.select(key, _message(lexicons).alias("message"))
+        return sentence_scores(skip_bad_rows(tweets), lexicons, [key]).select(key, "compound")
+    rows = _messages(tweets, lexicons, key)
     if tagger == "emoji":
         return emoji_word_scores(rows, [key], "message", lexicons.emoji, lexicons.words).select(key, "compound")
     if tagger == "vader":
@@ -66,10 +69,11 @@ def tokens_of(
     tweets: DataFrame, lexicons: Lexicons, keep: Sequence[str] = (), key: str = "tweet_id", stop_words: list[str] | None = None
 ) -> DataFrame:
     """(key, keep..., tokens) of the message without emoji; row-local."""
-    tokens = tx.space_tokens(strip_emoji(_message(lexicons), lexicons.aliases))
+    tokens = tx.space_tokens(F.col("message"))
     if stop_words:
         tokens = tx.drop_stop_words(tokens, stop_words)
-    return skip_bad_rows(tweets).select(key, *keep, tokens.alias("tokens"))
+    rows = _messages(tweets, lexicons, key, *keep).withColumn("message", strip_emoji(F.col("message"), lexicons.aliases))
+    return rows.select(key, *keep, tokens.alias("tokens"))
 
 
 def tag_rows(

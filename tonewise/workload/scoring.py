@@ -59,7 +59,8 @@ def stop_rule(spark: SparkSession, sf: str) -> DataFrame:
     rows = fx.tweets(spark, sf, wide=True).select(
         "tweet_id", tx.strip_runs(body).alias("tokens")
     )
-    rows = rows.select("tweet_id", "tokens", tx.first_stop("tokens").alias("stop"))
+    rows = rows.select("tweet_id", "tokens", tx.lower_tokens(F.col("tokens")).alias("lowered"))
+    rows = rows.select("tweet_id", "tokens", tx.first_stop("tokens", "lowered").alias("stop"))
     return rows.select(
         "tweet_id",
         (F.col("stop") - 1).alias("stop_position"),

@@ -87,8 +87,8 @@ def senti_tokens(spark: SparkSession, sf: str) -> DataFrame:
 def caps_differential(spark: SparkSession, sf: str) -> DataFrame:
     body = F.col("tweetText")
     tokens = tx.strip_runs(body)
-    rows = fx.tweets(spark, sf, wide=True).select("tweet_id", tokens.alias("t"))
-    return rows.select("tweet_id", tx.caps_differential(F.col("t")).alias("caps"))
+    rows = fx.tweets(spark, sf, wide=True).select("tweet_id", body.alias("body"), tokens.alias("t"))
+    return rows.select("tweet_id", tx.caps_differential(F.col("body"), F.col("t")).alias("caps"))
 
 
 @query(
