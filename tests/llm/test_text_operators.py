@@ -292,6 +292,20 @@ def test_every_link_is_counted(spark, block):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_a_set_of_a_large_component_is_stored_once(spark, tmp_path, monkeypatch):
+    """What the comparison of blocks writes grows with the sets, not with the pairs of blocks."""
+    monkeypatch.setattr(jaccard.store, "new_folder", lambda _, label: f"file://{tmp_path}/{label}")
+    rows = near_copies(random.Random(2), 2, 40, 60)
+    got = [tuple(r) for r in jaccard.links(frame(spark, rows), block=400).select("doc_id", "n_links").collect()]
+    files = [p.name.rsplit("-", 1) for p in (tmp_path / "jaccard").glob("block*_*-*")]
+    assert len(files) > 10
+    held = [jaccard.store.mapped(f"file://{tmp_path}/jaccard", name, int(part), jaccard.BLOCKED) for name, part in files]
+    sets = {frozenset(shingles(t, 4)) for _, t in rows}
+    assert sorted(np.concatenate([x["n"] for x in held]).tolist()) == sorted(map(len, sets))
+    assert sum(len(x["items"]) for x in held) == sum(map(len, sets))
+    assert sorted(got) == sorted((d, k) for (d, _), k in zip(rows, brute_links(rows, 4, 85, 100)))
+
+
 def test_texts_that_share_an_id_keep_their_own_class(spark):
     x, y = ([f"{p}{i}" for i in range(60)] for p in "xy")
     rows = [(2, " ".join(x[:-1])), (3, " ".join(y[:-1])), (5, " ".join(x)), (5, " ".join(y))]

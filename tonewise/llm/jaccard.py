@@ -14,8 +14,10 @@
    itself. A pair of nodes is dropped only when even their largest possible overlap is too small;
    all other pairs of leaves are verified on the sets, and each link is counted on both sides, with
    the number of copies of the other side. The classes follow from these links.
-4. A component of more than ``BLOCK`` shingles is dealt into blocks, and every block is compared with
-   itself and with every other one, each pair of sets in one task. No link is lost by this.
+4. A component of more than ``BLOCK`` shingles is dealt into blocks by size and hash. A block is one file
+   in the shared folder and a task maps two of them, so what is written grows with the sets and not with
+   the pairs of blocks. Every block is compared with itself and with those of sizes that can be linked,
+   each pair of sets in one task. No link is lost by this.
 
 Documents without words have an empty set and are linked with nothing. Texts shorter than a shingle
 are one shingle. Rows with a null id get no class and are nobody's link. Rows that share an id are
@@ -24,6 +26,7 @@ classed and counted by their own text. The order of rows does not matter.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -327,6 +330,8 @@ def linked(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> np.nd
 
 
 MEMBER = {"group": "i8"}
+PLACED = {"group": "i8", "blocks": "i8"}
+BLOCKED = {"set_key": "i8", "id": "i8", "copies": "i8", "n": "i8", "items": "u8"}
 FIRST = {"group": "i8", "copies": "i8"}
 NAMED = {"low": "i8", "links": "i8"}
 SIEVE = 1 << 22
@@ -416,9 +421,9 @@ def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int =
             keep = own["found"] & (own["group"] == ids) & column.is_valid().to_numpy(zero_copy_only=False) & (np.diff(bounds) > 0)
             columns = {"id": ids, "copies": own["copies"]}
             if grouped:
-                group = store.lookup(folder, "group", bits, mix(key), MEMBER, {"group": 0})
+                group = store.lookup(folder, "group", bits, mix(key), PLACED, {"group": 0, "blocks": 0})
                 keep &= group["found"]
-                columns["component"] = group["group"]
+                columns |= {"component": group["group"], "blocks": group["blocks"]}
             size = np.diff(bounds)[keep]
             flat = np.repeat(bounds[:-1][keep] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
             yield key[keep].view("i8"), {k: v[keep] for k, v in columns.items()}, values[flat], np.concatenate([[0], np.cumsum(size)])
@@ -461,49 +466,63 @@ def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int =
     groups = components(spark.read.schema("a long, b long").parquet(f"{folder}/edges"))
     groups.write.parquet(f"{folder}/groups")
     groups = spark.read.schema("id long, component long").parquet(f"{folder}/groups")
-    save(groups.select("id", "component"), "group", MEMBER)
+    width = math.log(den / num) + 1e-6  # sets that link are of one kind, or of kinds that follow one another
+    sized = groups.join(distinct.select(F.col("set_key").alias("id"), "n"), "id").withColumn("kind", F.floor(F.log(F.col("n").cast("double")) / width))
+    kinds = sized.groupBy("component", "kind").agg(F.sum("n").alias("n"))
+    large = kinds.groupBy("component").agg(F.sum("n").alias("n")).where(F.col("n") > block).select("component")
+    kinds = kinds.join(large, "component").select("component", "kind", F.ceil(2 * F.col("n") / block).alias("blocks"))
+    placed = sized.join(kinds, ["component", "kind"], "left").select("id", "component", F.coalesce("blocks", F.lit(0)).alias("blocks"))
+    save(placed, "group", PLACED)
 
-    names = ["component", "set_key", "id", "copies", "n", "items"]
+    names = ["place", "component", "kind", "part", "set_key", "id", "copies", "items"]
 
     def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The candidate sets and where they are compared: with their component (kind and part are -1), or in a block of it."""
         for batch in batches:
             for keys, of, values, bounds in sets_of(batch, True):
                 sets = pa.array([values[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(of["component"]), pa.array(keys), pa.array(of["id"]), pa.array(of["copies"]), pa.array(np.diff(bounds)), sets], names)
-
-    kinds = "component long, set_key long, id long, copies long, n long, items binary"
-    docs.mapInArrow(needed, kinds).write.parquet(f"{folder}/sets")
-    sets = spark.read.schema(kinds).parquet(f"{folder}/sets")
-
-    def verify(table: pa.Table) -> pa.Table:
-        job, keys, ids, copies, side = (table.column(c).to_numpy() for c in ("job", "set_key", "id", "copies", "side"))
+                big, component = of["blocks"] > 0, of["component"].view("u8")
+                kind = np.where(big, np.floor(np.log(np.maximum(np.diff(bounds), 1)) / width).astype(np.int64), -1)
+                part = np.where(big, (mix(keys.view("u8") + _U64(7)) % np.maximum(of["blocks"], 1).astype(_U64)).astype(np.int64), -1)
+                place = np.where(big, mix(mix(mix(component) + kind.view("u8")) + part.view("u8")), mix(component) % _U64(2 << bits)).view("i8")
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (place, of["component"], kind, part, keys, of["id"], of["copies"])), sets], names)
+
+    def judged(table: pa.Table) -> pa.Table:
+        """(key, smallest key and id of its class, links) of the sets of small components; blocks are stored: (component, kind, part, -1)."""
+        component, kind, part, keys, ids, copies = (table.column(c).to_numpy() for c in names[1:7])
         items = [np.frombuffer(x.as_buffer(), "u8") for x in table.column("items")]
-        order = np.lexsort((keys, job))  # rows that share their id and text are one set
-        order = order[np.concatenate([[True], (job[order][1:] != job[order][:-1]) | (keys[order][1:] != keys[order][:-1])])]
-        cut = np.flatnonzero(np.concatenate([[True], job[order][1:] != job[order][:-1]]))
+        order = np.lexsort((keys, part, kind, component))  # rows that share their id and text are one set
+        group = np.stack([component, kind, part])[:, order]
+        other = np.concatenate([[True], (group[:, 1:] != group[:, :-1]).any(axis=0)])
+        use = other | np.concatenate([[True], keys[order][1:] != keys[order][:-1]])
+        order, cut = order[use], np.flatnonzero(other[use])
         found = [np.zeros((4, 0), np.int64)]
         for x, y in zip(cut, [*cut[1:], len(order)]):
             at = order[x:y]
-            if len(at) > 1:
-                of, count = counted([items[i] for i in at], copies[at], num, den, None if side[at[0]] < 0 else side[at])
-                found.append(np.stack([keys[at], smallest(of, keys[at]), smallest(of, ids[at]), count]))
+            sets = [items[i] for i in at]
+            if kind[at[0]] >= 0:
+                size = np.array([len(i) for i in sets])
+                where = tuple(int(c[at[0]]) for c in (component, kind, part))
+                store.write(folder, _block(*where[:2]), where[2], dict(zip(BLOCKED, (keys[at], ids[at], copies[at], size, np.concatenate(sets)))))
+                found.append(np.array([[*where, -1]]).T)
+            elif len(at) > 1:
+                found.append(_links(sets, keys[at], ids[at], copies[at], num, den))
         return pa.table(dict(zip("abcd", map(pa.array, np.concatenate(found, axis=1)))))
 
-    big = sets.groupBy("component").agg(F.sum("n").alias("total")).where(F.col("total") > block)
-    big.select("component", F.ceil(2 * F.col("total") / block).alias("blocks")).write.parquet(f"{folder}/large")
-    large = spark.read.schema("component long, blocks long").parquet(f"{folder}/large")
-    dealt = not large.isEmpty()
-    jobs = _dealt(sets, large, 2 << bits) if dealt else sets.select(_shard("component", 2 << bits), F.col("component").alias("job"), F.lit(-1).cast("long").alias("side"), "set_key", "id", "copies", "items")
-    found = jobs.groupBy("shard").applyInArrow(verify, "a long, b long, c long, d long")
-    found.where("d > 0").write.parquet(f"{folder}/links")
-    found = spark.read.schema("a long, b long, c long, d long").parquet(f"{folder}/links")
-    if dealt:  # a set is in several jobs
-        total = found.groupBy(F.col("a").alias("set_key")).agg(F.sum("d").alias("links"), F.min("c").alias("low"))
-        total = total.join(components(found.where("a <> b").select("a", "b")).withColumnRenamed("id", "set_key"), "set_key")
+    links_of = "a long, b long, c long, d long"
+    sets = docs.mapInArrow(needed, "place long, component long, kind long, part long, set_key long, id long, copies long, items binary")
+    sets.groupBy("place").applyInArrow(judged, links_of).where("d <> 0").write.parquet(f"{folder}/links")
+    found = spark.read.schema(links_of).parquet(f"{folder}/links")
+    blocks, found = found.where("d < 0").select(F.col("a").alias("component"), F.col("b").alias("kind"), F.col("c").alias("part")), found.where("d > 0")
+    if not blocks.isEmpty():  # a set of a block is in several jobs
+        _compared(blocks, folder, num, den).where("d > 0").write.parquet(f"{folder}/block_links")
+        large = spark.read.schema(links_of).parquet(f"{folder}/block_links")
+        total = large.groupBy(F.col("a").alias("set_key")).agg(F.sum("d").alias("links"), F.min("c").alias("low"))
+        total = total.join(components(large.where("a <> b").select("a", "b")).withColumnRenamed("id", "set_key"), "set_key")
         low = total.groupBy("component").agg(F.min("low").alias("low"))
-        found = total.drop("low").join(low, "component").select("set_key", "low", "links")
-    else:
-        found = found.select(F.col("a").alias("set_key"), F.col("c").alias("low"), F.col("d").alias("links"))
+        large = total.drop("low").join(low, "component").select("set_key", "low", "links")
+    found = found.select(F.col("a").alias("set_key"), F.col("c").alias("low"), F.col("d").alias("links"))
+    found = found if blocks.isEmpty() else found.unionByName(large)
     named = distinct.join(found, "set_key", "left").select("set_key", "n", F.coalesce("low", "id").alias("low"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
     save(named.select("set_key", "low", "links"), "named", NAMED)
 
@@ -521,20 +540,35 @@ def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int =
     return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.col("low").alias("component_id"), F.col("links").alias("n_links"))
 
 
-def _shard(job: str, shards: int):
-    return F.pmod(F.xxhash64(job), F.lit(shards)).cast("long").alias("shard")
+def _links(sets: list[np.ndarray], keys: np.ndarray, ids: np.ndarray, copies: np.ndarray, num: int, den: int, sides: np.ndarray | None = None) -> np.ndarray:
+    """For each set its key, the smallest key and id of its class, and its links."""
+    of, count = counted(sets, copies, num, den, sides)
+    return np.stack([keys, smallest(of, keys), smallest(of, ids), count])
 
 
-def _dealt(sets: DataFrame, large: DataFrame, shards: int) -> DataFrame:
-    """Jobs of all components when some are too large for one tree: small ones are one job each.
+def _block(component: int, kind: int) -> str:
+    """The name of the files of a component's sets of one kind; a part has a file."""
+    return f"block{component}_{kind}"
 
-    A large component's sets are dealt into blocks. Each block is a job with itself (side -1) and one
-    with every other block, in which only sets of different blocks (sides) are compared.
-    """
-    rest = ("set_key", "id", "copies", "items")
-    small = sets.join(large, "component", "left_anti").select(_shard("component", shards), F.col("component").alias("job"), F.lit(-1).cast("long").alias("side"), *rest)
-    big = sets.join(large, "component").withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")))
-    big = big.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    job = F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other"))
-    big = big.select(job.alias("shard"), job.alias("job"), F.when(F.col("block") == F.col("other"), -1).otherwise(F.col("block")).alias("side"), *rest)
-    return small.unionByName(big)
+
+def _compared(blocks: DataFrame, folder: str, num: int, den: int) -> DataFrame:
+    """What ``judged`` returns, of each block with itself and of each two blocks whose sets may be linked; no set is shuffled."""
+    spark = blocks.sparkSession
+    other = blocks.select("component", F.col("kind").alias("next"), F.col("part").alias("with"))
+    pairs = blocks.join(other, "component").where("next = kind and `with` >= part or next = kind + 1")
+    pairs.write.parquet(f"{folder}/pairs")
+    pairs = spark.read.schema(pairs.schema).parquet(f"{folder}/pairs")
+
+    def jobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for component, *at in zip(*(c.to_pylist() for c in batch.columns)):
+                places = dict.fromkeys([tuple(at[:2]), tuple(at[2:])])
+                held = [store.mapped(folder, _block(component, kind), part, BLOCKED) for kind, part in places]
+                keys, ids, copies = (np.concatenate([x[c] for x in held]) for c in ("set_key", "id", "copies"))
+                sides = np.repeat(np.arange(len(held)), [len(x["n"]) for x in held]) if len(held) > 1 else None
+                sets = [own for x in held for own in np.split(x["items"], np.cumsum(x["n"])[:-1])]
+                found = _links(sets, keys, ids, copies, num, den, sides)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], list("abcd"))
+
+    tasks = max(1, min(pairs.count(), 1 << 14))
+    return pairs.repartition(tasks).mapInArrow(jobs, "a long, b long, c long, d long")
