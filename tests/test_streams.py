@@ -194,3 +194,20 @@ def test_streams_read_tables_of_one_file_and_of_many(spark, tmp_path, monkeypatc
     assert rows(streams.stream_score(spark, sf)) == rows(streams.score_messages(spark, sf))
     assert rows(streams.stream_topic_filter(spark, sf)) == rows(tweets.where("topic = 'src6'"))
     assert rows(streams.stream_tally(spark, sf)) == rows(streams.batch_tally(spark, sf))
+
+
+@pytest.mark.parametrize("topics", [1, 6])
+def test_a_text_that_many_topics_follow_is_cut_once(spark, monkeypatch, topics):
+    texts = ["good day. this is a very good day", "bad", "", None, "nothing here at all"]
+    rows = [(f"t{i}", text, i) for text in texts for i in range(topics)]
+    messages = spark.createDataFrame(rows, "key string, value string, n int").selectExpr("key", "value", "timestamp_seconds(n) AS timestamp")
+    cut, whole = [], live._distinct_scores
+    counted = lambda rows: rows.select("digest", "sentence").distinct()._jdf.queryExecution().optimizedPlan().toString().count("Aggregate")
+    monkeypatch.setattr(live, "_distinct_scores", lambda rows, lexicons: cut.append((rows.count(), counted(rows))) or whole(rows, lexicons))
+    source, path = scratch_dir(spark, "messages"), scratch_dir(spark, "scored")
+    messages.write.parquet(source)
+    live.stream_score(live.open_stream(spark, "parquet", source, messages.schema), fx.lexicons(spark), path, scratch_dir(spark, "mark"), once=True).awaitTermination()
+    assert cut == [(4, 1 if topics == 1 else 2)]  # with repeats, texts are distinct before they are cut
+    got = spark.read.parquet(path).drop("batch_id")
+    want = live.score_messages(messages, fx.lexicons(spark)).select(got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 4 * topics
